@@ -1,0 +1,315 @@
+"""Content-cut phrases: how the byte and the word operators find repeated windows.
+
+A *unit* is a byte or a word, a *window* is ``width`` consecutive units of one
+document. A rolling hash over short grams of units picks in every window a
+trigger, the gram with the least hash (the leftmost of equals). Consecutive
+windows with the same trigger form one *phrase*; phrases overlap by
+``width - 1`` units, so each window lies in exactly one phrase, and equal
+windows, wherever they stand, have equal triggers.
+
+1. Every document becomes rows (trigger, signature, place): its parse. No text
+   travels.
+2. Triggers are counted, combined before the shuffle. One that stands once, or
+   for ``earlier`` in one document, is dropped: none of its windows repeats.
+3. Where all phrases of a trigger are the same, all of their windows repeat.
+4. Of the other triggers each distinct phrase (the dictionary) is cut out of
+   one document, packed and sent to its trigger's bucket, where its windows
+   are sorted by content. A phrase repeated a million times travels once.
+5. A trigger with more than ``max_bucket`` distinct phrases would make a large
+   bucket, so its windows are spread by a 128-bit hash and counted by Spark.
+6. What was found for a phrase of the dictionary is joined back to its places.
+
+Long documents are cut into segments that overlap by ``width - 1`` units; that
+only splits phrases. Nothing is capped, sampled or left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldmark.llm.common import map_batches, stage
+
+#: Units handled at once, and windows sorted at once.
+BLOCK, SORTED = 1 << 20, 1 << 16
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_POSITION = np.uint64((1 << 24) - 1)
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([i]), 7) for i in range(256)], np.uint64)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of ``base`` and of its inverse, modulo 2**64."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        size = max(n, 2 * BLOCK)
+        _powers[base] = tuple(np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))
+    return _powers[base]
+
+
+def split(text: bytes, unit: str) -> np.ndarray | list[bytes]:
+    return np.frombuffer(text, np.uint8) if unit == "byte" else text.split()
+
+
+def hashed(units: np.ndarray | list[bytes], unit: str) -> np.ndarray:
+    """A random-looking 64-bit value for each unit."""
+    if unit == "byte":
+        return _BYTES[units]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w) for w in units), np.uint64, len(units))
+
+
+def prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(base, len(values))[0][: len(values)], out=sums[1:])
+    return sums
+
+
+def between(sums: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of ``[start, stop)``, the same wherever the units stand."""
+    return (sums[stop] - sums[start]) * powers(base, len(sums))[1][start]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
+    """The least of each ``size`` consecutive values, in time that does not depend on ``size``."""
+    n = len(x) - size + 1
+    rows = np.concatenate((x, np.full(-len(x) % size, ~np.uint64(0)))).reshape(-1, size)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[size - 1 : size - 1 + n])
+
+
+def parse(segments: list[np.ndarray], width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Phrases of hashed segments, each of ``width`` units at least: segment, start, windows, trigger, signature."""
+    lengths = np.array([len(s) for s in segments])
+    units = np.concatenate(segments)
+    sums, n = prefix_sums(units, _BASES[0]), len(units)
+    at = np.arange(n - gram + 1)
+    grams = mixed(between(sums, at, at + gram, _BASES[0]))
+    least = sliding_least((grams & ~_POSITION) | at.astype(np.uint64), width - gram + 1)
+    ends = np.cumsum(lengths)
+    segment = np.repeat(np.arange(len(lengths)), lengths)[: n - width + 1]
+    whole = np.arange(n - width + 1) + width <= ends[segment]
+    new = np.ones(n - width + 1, bool)
+    new[1:] = (least[1:] != least[:-1]) | (segment[1:] != segment[:-1]) | (whole[1:] != whole[:-1])
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], n - width + 1)
+    start, stop = start[whole[start]], stop[whole[start]]
+    segment = segment[start]
+    trigger = grams[(least[start] & _POSITION).astype(np.int64)]
+    signature = mixed(between(sums, start, stop + width - 1, _BASES[0]) ^ (stop - start).astype(np.uint64))
+    return segment, start - (ends - lengths)[segment], stop - start, trigger, signature
+
+
+def unzip(packed: bytes | None) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` of ``(rk_id, rk_text, text)`` with the text compressed, for a shuffle that carries every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(3)
+        for b in batches:
+            texts = b.column("text").cast(pa.large_binary()).to_pylist()
+            z = pa.array([press.compress(t) if t else None for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("rk_id"), b.column("rk_text"), z], ["rk_id", "rk_text", "z"])
+
+    return map_batches(docs, run, "rk_id long, rk_text long, z binary")
+
+
+def parses(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
+    """The phrases of every document of ``(rk_id, rk_text, text)``."""
+
+    def rows(keys: list[tuple], segments: list[np.ndarray]) -> pa.RecordBatch:
+        ids, texts, base = (np.array(x, np.int64) for x in zip(*keys, strict=True))
+        segment, start, n, trigger, signature = parse(segments, width, gram)
+        values = ids[segment], texts[segment], base[segment] + start, n.astype(np.int32), trigger.view(np.int64), signature.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in values], ["rk_id", "rk_text", "start", "n", "trigger", "signature"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, segments, held = [], [], 0
+        for b in batches:
+            for rk_id, rk_text, text in zip(*(b.column(c).to_pylist() for c in ("rk_id", "rk_text")), b.column("text").cast(pa.large_binary()), strict=True):
+                units = split(text.as_py() or b"", unit)
+                for at in range(0, len(units) - width + 1, BLOCK):
+                    segments.append(hashed(units[at : at + BLOCK + width - 1], unit))
+                    keys.append((rk_id, rk_text, at))
+                    held += len(segments[-1])
+                    if held >= BLOCK:
+                        yield rows(keys, segments)
+                        keys, segments, held = [], [], 0
+        if keys:
+            yield rows(keys, segments)
+
+    return map_batches(docs, run, "rk_id long, rk_text long, start long, n int, trigger long, signature long")
+
+
+_PHRASE = "trigger long, signature long, times long, first long, hot boolean, phrase binary"
+
+
+def cut_out(reps: DataFrame, unit: str, width: int) -> DataFrame:
+    """The dictionary's phrases with their content; ``reps`` has a compressed text and the phrases to cut from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, wanted in zip(b.column("z").to_pylist(), b.column("wanted").to_pylist(), strict=True):
+                units = split(unzip(text), unit)
+                pieces = [units[w["start"] : w["start"] + w["n"] + width - 1] for w in wanted]
+                phrases = [p.tobytes() if unit == "byte" else b" ".join(p) for p in pieces]
+                columns = [pa.array([w[c] for w in wanted]) for c in ("trigger", "signature", "times", "first", "hot")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(phrases, pa.binary())], [x.split()[0] for x in _PHRASE.split(", ")])
+
+    return map_batches(reps, run, _PHRASE)
+
+
+def as_codes(phrases: list[bytes], unit: str) -> list[np.ndarray]:
+    """Units as numbers of a fixed size; equal numbers for equal units, exactly."""
+    if unit == "byte":
+        return [np.frombuffer(p, np.uint8) for p in phrases]
+    known: dict[bytes, int] = {}
+    return [np.array([known.setdefault(w, len(known)) for w in p.split()], np.int32) for p in phrases]
+
+
+def content_order(codes: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The phrase of every window, and its content's rank among all windows sorted by content."""
+    counts = np.array([len(c) - width + 1 for c in codes])
+    base = np.cumsum([0, *(len(c) for c in codes)])[:-1]
+    owner = np.repeat(np.arange(len(codes)), counts)
+    at = base[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    flat = np.concatenate(codes)
+    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, width)[at])
+    return owner, np.unique(windows.view(f"V{windows.shape[1] * windows.itemsize}").ravel(), return_inverse=True)[1].ravel()
+
+
+def settle(phrases: DataFrame, unit: str, width: int, earlier: bool) -> DataFrame:
+    """``(trigger, signature, off, len, first)``: which windows of each phrase repeat, by sorting each bucket's windows.
+
+    The suffixes of the dictionary are sorted by their first ``width`` units.
+    Equal neighbours are one place in corpus order, taken as often as the
+    parse has their phrases.
+    """
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        rows = list({r[:2]: r for r in rows}.values())
+        owner, rank = content_order(as_codes([r[4] for r in rows], unit), width)
+        times, first = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        if earlier:
+            least = np.full(rank.max() + 1, 2**63 - 1, np.int64)
+            np.minimum.at(least, rank, first[owner])
+            value, flag = least[rank], np.ones(len(rank), bool)
+        else:
+            flag = np.bincount(rank, times[owner])[rank] >= 2
+            value = np.zeros(len(rank), np.int64)
+        new = np.ones(len(rank), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (flag[1:] != flag[:-1]) | (value[1:] != value[:-1])
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(rank)))
+        opens = np.searchsorted(owner, np.arange(len(rows)))
+        start, size = start[flag[start]], size[flag[start]]
+        of = owner[start]
+        keys = np.array([r[:2] for r in rows], np.int64).reshape(-1, 2)
+        columns = keys[of, 0], keys[of, 1], (start - opens[of]).astype(np.int32), size.astype(np.int32), value[start]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["trigger", "signature", "off", "len", "first"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("trigger", "signature", "times", "first", "phrase")), strict=True):
+                if row[0] != last and size >= SORTED:
+                    yield solve(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4]) if unit == "byte" else row[4].count(b" ")
+                last = row[0]
+        if held:
+            yield solve(held)
+
+    bucketed = phrases.where("not hot").repartition("trigger").sortWithinPartitions("trigger", "signature")
+    return map_batches(bucketed, run, "trigger long, signature long, off int, len int, first long")
+
+
+def settle_spread(phrases: DataFrame, unit: str, width: int, earlier: bool) -> DataFrame:
+    """As ``settle`` for the phrases of hot triggers: a row for each window, spread by its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for trigger, signature, times, first, phrase in zip(*(b.column(c).to_pylist() for c in ("trigger", "signature", "times", "first", "phrase")), strict=True):
+                values = hashed(split(phrase, unit), unit)
+                at = np.arange(len(values) - width + 1)
+                pair = [mixed(between(prefix_sums(values, base), at, at + width, base)).view(np.int64) for base in _BASES]
+                same = [pa.array(np.full(len(at), x, np.int64)) for x in (trigger, signature, times, first)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, pair), *same, pa.array(at.astype(np.int32))], ["w1", "w2", "trigger", "signature", "times", "first", "off"])
+
+    windows = map_batches(phrases.where("hot"), run, "w1 long, w2 long, trigger long, signature long, times long, first long, off int")
+    windows = stage(windows.dropDuplicates(["trigger", "signature", "off"]), "windows")
+    found = windows.groupBy("w1", "w2").agg(F.sum("times").alias("total"), F.min("first").alias("least"))
+    found = stage(found.where("total >= 2"), "window-counts")
+    found = windows.drop("times", "first").join(found, ["w1", "w2"]).withColumn("first", F.col("least") if earlier else F.lit(0).cast("long"))
+    island = F.expr("off - row_number() over (partition by trigger, signature, first order by off)")
+    ranges = found.withColumn("island", island).groupBy("trigger", "signature", "first", "island")
+    return ranges.agg(F.min("off").alias("off"), F.count("*").cast("int").alias("len")).select("trigger", "signature", "off", "len", "first")
+
+
+def repeated_spans(docs: DataFrame, unit: str, width: int, gram: int, earlier: bool, max_bucket: int = 512) -> DataFrame:
+    """``(rk_id, rk_text, spans)``: the units ``[start, stop)`` covered by repeated windows; spans are sorted and may overlap.
+
+    ``docs`` has ``(rk_id, rk_text, text)``. A window repeats if it starts
+    anywhere else too, or with ``earlier`` if it also starts in a document with
+    a smaller ``rk_id``. Documents without any are left out.
+    """
+    parsed = parses(docs, unit, width, gram)
+    counts = [F.count("*").alias("times"), F.min("signature").alias("lo"), F.max("signature").alias("hi")]
+    ids = [F.min("rk_id").alias("first"), F.max("rk_id").alias("last")] if earlier else []
+    shared = parsed.groupBy("trigger").agg(*counts, *ids).where("first < last" if earlier else "times > 1")
+    shared = stage(shared.select("trigger", F.expr("lo != hi").alias("differ"), F.col("first") if earlier else F.lit(0).cast("long").alias("first")), "triggers")
+    places = stage(parsed.join(shared, "trigger"), "places")
+
+    same = places.where("not differ")
+    same = same.where("rk_id > first") if earlier else same
+    same = same.select("rk_id", "rk_text", "start", (F.col("start") + F.col("n") + width - 1).alias("stop"))
+
+    mixed_places = places.where("differ")
+    one = F.struct("rk_id", "rk_text", "start", "n")
+    words = mixed_places.groupBy("trigger", "signature").agg(F.count("*").alias("times"), F.min("rk_id").alias("first"), F.min(one).alias("at"))
+    words = stage(words, "dictionary")
+    sizes = words.groupBy("trigger").agg(F.count("*").alias("size")).where(F.col("size") > max_bucket).select("trigger", F.lit(True).alias("hot"))
+    wanted = words.join(sizes, "trigger", "left").select(
+        F.col("at.rk_id").alias("rk_id"), F.col("at.rk_text").alias("rk_text"),
+        F.struct("at.start", "at.n", "trigger", "signature", "times", "first", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"),
+    )
+    wanted = wanted.groupBy("rk_id", "rk_text").agg(F.collect_list("w").alias("wanted"))
+    reps = packed_texts(docs).join(wanted, ["rk_id", "rk_text"])
+    phrases = stage(cut_out(reps, unit, width), "phrases")
+    ranges = stage(settle(phrases, unit, width, earlier).unionByName(settle_spread(phrases, unit, width, earlier)), "ranges")
+    some = mixed_places.drop("first", "n").join(ranges, ["trigger", "signature"])
+    some = some.where("rk_id > first") if earlier else some
+    some = some.select("rk_id", "rk_text", (F.col("start") + F.col("off")).alias("start"), (F.col("start") + F.col("off") + F.col("len") + width - 1).alias("stop"))
+    return same.unionByName(some).groupBy("rk_id", "rk_text").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+
+
+def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of sorted spans."""
+    if not len(start):
+        return start, stop
+    reach = np.maximum.accumulate(stop)
+    new = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+    return start[new], reach[np.append(new[1:], len(start)) - 1]
+
+
+def span_lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The merged spans of each row of an array of lists of ``(start, stop)``; null is none."""
+    empty = np.zeros(0, np.int64)
+    for row in column:
+        values = row.values if row.is_valid else None
+        yield merged(values.field("start").to_numpy(), values.field("stop").to_numpy()) if values is not None else (empty, empty)
