@@ -1,15 +1,59 @@
-"""The corpus pipeline: quality, near-duplicates, repeated text, benchmark leaks, then the mix."""
+"""The corpus pipeline: quality, near-duplicates, repeated text, benchmark leaks, then the mix.
+
+Each stage takes what its predecessor kept. All but the last return the columns
+of documents; the last adds the leaf of the mix and how often a row is taken.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from fieldmark.llm import decontaminate, mixing, quality, registry, simhash, suffix_dedup
+from fieldmark.llm.common import scratch
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scored = quality.scored(docs, registry.table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.keep_one(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings that repeat are cut out of the texts."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.clean_documents(docs, registry.table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken to the target weights."""
+    return mixing.mix(docs, registry.MIX_SHARE, registry.MIX_EPOCHS, registry.MIX_WEIGHTS, registry.MIX_SEED)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("simhash near-dedup", simhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources", mix_sources),
+]
+#: Hashing votes, suffix sorting and the classifier are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    docs = registry.table(spark, sf_dir, "documents")
+    for k, (_, function) in enumerate(STAGES):
+        path = scratch(spark, f"pipeline-{k}")
+        function(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import components, map_batches, stage
+from fieldmark.llm.common import components, map_batches, stage, with_row_key
 
 SEED = 42
 N_PIVOTS = 16
@@ -58,15 +58,16 @@ def fingerprint_of(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` of every row of ``docs``; fp is the fingerprint as a signed long."""
+    """``(rk_id, rk_text, fp)`` of every row of ``docs``; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             fps = np.array([fingerprint_of(t, shingle) if t else 0 for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("rk_id"), batch.column("rk_text"), pa.array(fps, pa.int64())], ["rk_id", "rk_text", "fp"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
+    keyed = with_row_key(docs.select("doc_id", F.col("text").cast("string"))).select("rk_id", "rk_text", "text")
+    return map_batches(keyed, run, "rk_id long, rk_text long, fp long")
 
 
 def pivots(n: int = N_PIVOTS) -> list[int]:
@@ -112,16 +113,32 @@ def links(distinct: DataFrame, max_bits: int = 3, n_pivots: int = N_PIVOTS) -> D
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, n_pivots: int = N_PIVOTS) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
+    """``(doc_id, fingerprint, component_id, rk_id, rk_text, class_fp)``, one row per row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links of at most
     ``max_bits`` differing bits. A null doc_id is never the smallest unless
-    its component holds no other.
+    its component holds no other. ``class_fp`` tells components apart even
+    where doc_ids are repeated.
     """
     fps = stage(fingerprints(docs, shingle), "fingerprints")
-    reps = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    reps = stage(fps.groupBy("fp").agg(F.min("rk_id").alias("rep")), "distinct-fingerprints")
     member = components(links(reps.select("fp"), max_bits, n_pivots)).withColumnRenamed("node", "fp").join(reps, "fp")
     least = member.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = member.join(least, "root").select("fp", "least")
-    classes = stage(reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "classes")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = member.join(least, "root").select("fp", "root", "least")
+    classes = reps.join(linked, "fp", "left")
+    classes = stage(classes.select("fp", F.coalesce("root", "fp").alias("class_fp"), F.coalesce("least", "rep").alias("component")), "classes")
+    no_id = 2**63 - 1
+    return fps.join(classes, "fp").select(
+        F.when(F.col("rk_id") != no_id, F.col("rk_id")).alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.when(F.col("component") != no_id, F.col("component")).alias("component_id"),
+        "rk_id", "rk_text", "class_fp",
+    )
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: that with the smallest doc_id, once."""
+    near = near_duplicates(docs, shingle, max_bits)
+    kept = near.groupBy("class_fp").agg(F.min(F.struct("rk_id", "rk_text")).alias("k")).select("k.*")
+    rows = with_row_key(docs).join(kept, ["rk_id", "rk_text"], "left_semi")
+    return rows.dropDuplicates(["rk_id", "rk_text"]).select(*docs.columns)

@@ -29,6 +29,17 @@ from fieldmark.llm.common import map_batches, with_row_key
 from fieldmark.llm.phrases import packed_texts, repeated_spans, span_lists, unzip
 
 
+def stripped(texts: list[bytes], spans: pa.Array) -> list[pa.Array]:
+    """Of each text: its bytes, removed bytes, removed runs, and what is kept."""
+    rows = []
+    for text, (start, stop) in zip(texts, span_lists(spans), strict=True):
+        edges = [0, *np.stack((start, stop), 1).ravel().tolist(), len(text)]
+        kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
+        rows.append((len(text), len(text) - len(kept), len(start), kept))
+    columns = zip(*rows, strict=True) if rows else [()] * 4
+    return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+
+
 def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 32) -> DataFrame:
     """``(doc_id, rk_id, rk_text, n_bytes, n_removed, n_spans, kept)`` for every row of ``docs``.
 
@@ -39,19 +50,34 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 32) -> DataFra
     texts = keyed.select("rk_id", "rk_text", "text")
     spans = repeated_spans(texts, "byte", width, gram, earlier=False)
 
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for z, (start, stop) in zip(b.column("z").to_pylist(), span_lists(b.column("spans")), strict=True):
-                text = unzip(z)
-                edges = [0, *np.stack((start, stop), 1).ravel().tolist(), len(text)]
-                kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-                rows.append((len(text), len(text) - len(kept), len(start), kept))
-            n_bytes, n_removed, n_spans, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
-            columns = [b.column("rk_id"), b.column("rk_text"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["rk_id", "rk_text", "n_bytes", "n_removed", "n_spans", "kept"])
+            columns = stripped([unzip(z) for z in b.column("z").to_pylist()], b.column("spans"))
+            names = ["rk_id", "rk_text", "n_bytes", "n_removed", "n_spans", "kept"]
+            yield pa.RecordBatch.from_arrays([b.column("rk_id"), b.column("rk_text"), *columns], names)
 
     joined = packed_texts(texts).join(spans, ["rk_id", "rk_text"], "left")
     done = map_batches(joined, run, "rk_id long, rk_text long, n_bytes long, n_removed long, n_spans long, kept binary")
     doc_id = F.when(F.col("rk_id") != 2**63 - 1, F.col("rk_id")).alias("doc_id")
     return done.select(doc_id, "rk_id", "rk_text", "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def without_repeats(docs: DataFrame, width: int = 200, gram: int = 32) -> DataFrame:
+    """Every row and column of ``docs``, its ``text`` without repeated strings and ``n_chars``, if there, to match.
+
+    A character that a removed run cuts through is removed whole.
+    """
+    keyed = with_row_key(docs.withColumn("text", F.col("text").cast("string")))
+    spans = repeated_spans(keyed.select("rk_id", "rk_text", "text"), "byte", width, gram, earlier=False)
+    schema = docs.withColumn("text", F.col("text").cast("string")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given = b.column("text").cast(pa.large_binary()).to_pylist()
+            kept = stripped([t or b"" for t in given], b.column("spans"))[3].to_pylist()
+            texts = pa.array([None if t is None else k.decode("utf-8", "ignore") for t, k in zip(given, kept, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if f.name == "text" else b.column(f.name) for f in schema], schema.names)
+
+    done = map_batches(keyed.join(spans, ["rk_id", "rk_text"], "left").select(*schema.names, "spans"), run, schema)
+    return done.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else done
