@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import decontaminate, html_text, media, mixing, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from fieldmark.llm import decontaminate, html_text, media, mixing, oracle, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 #: Target weights of the mix; what is not listed weighs 1.
 MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
@@ -77,4 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_benchmark_decontamination": oracle.DECONTAMINATION,
+        "op8_substring_dedup": oracle.SUBSTRING_DEDUP,
+        "op9_mixing": oracle.mixing(MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS, MIX_SEED),
+    }
