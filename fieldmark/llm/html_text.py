@@ -45,7 +45,7 @@ BLOCKS = frozenset(
 ENDS_PARAGRAPH = BLOCKS - frozenset("body button dd dt html li option select tbody td textarea tfoot th thead tr".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 #: Words in class, id or role; what each kind means is learned.
-ASIDE_WORDS = frozenset("ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu footer header masthead sidebar aside widget cookie cookies consent notice alert popup modal overlay share social related recommended comment comments reply replies disqus newsletter subscribe signup breadcrumb breadcrumbs pagination pager login search form tags legal copyright".split())
+ASIDE_WORDS = frozenset("ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu footer header masthead sidebar aside widget cookie cookies consent notice alert popup modal overlay share social related recommended comment comments reply replies disqus newsletter subscribe signup breadcrumb breadcrumbs pagination pager login search form tags legal copyright complementary contentinfo".split())
 MAIN_WORDS = frozenset("article content post entry body main story text".split())
 GROUPS = {tag: tag for tag in "nav header footer aside form article main section div p a li table pre blockquote body html".split()}
 GROUPS |= {"#root": "root", "#text": "text"}

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 MAIN_OPEN, MAIN_CLOSE = "<!--main-->", "<!--/main-->"
 
+TITLE_TOP = "<header><h1>{s}</h1><p>{s}</p></header>"
+NAMED_TOP = '<div id="header"><h2>{s}</h2><p>{s}</p></div>'
 NAV = '<nav><ul><li><a href="{u}">{s}</a></li><li><a href="{u}">{s}</a></li><li><a href="{u}">{s}</a></li></ul></nav>'
 MENU = '<div class="menu"><a href="{u}">{s}</a> <a href="{u}">{s}</a> <a href="{u}">{s}</a></div>'
 TOP = '<header class="site-header"><a href="/">{s}</a><p>{s}</p></header>'
@@ -21,10 +23,13 @@ NOTICE = '<div class="cookie-notice" role="alert"><p>{t}</p><button>{s}</button>
 FORM = '<form action="/join"><label>{s}</label><p>{t}</p><input name="q"><select><option>{s}</option></select><button>{s}</button></form>'
 COMMENTS = '<section class="comments"><h3>{s}</h3><div class="comment"><b>{s}</b><p>{t}</p></div><div class="comment"><p>{t}</p></div><p>{t}</p></section>'
 COMMENT_LIST = '<ol id="comments"><li><p>{t}</p></li><li><p>{t}</p><p>{t}</p></li></ol>'
+COMMENT_ARTICLES = '<section id="comments"><h2>{s}</h2><article class="comment"><p>{t}</p></article><article class="comment"><p>{t}</p><p>{t}</p></article></section>'
+ROLES = '<div role="complementary"><p>{t}</p></div><div role="contentinfo"><p>{s}</p></div>'
+COMMENT_DIVS = '<div class="comments"><p>{s}</p><p>{t}</p><div>{s}</div></div>'
 SHARE = '<div class="share"><a href="{u}">{s}</a><a href="{u}">{s}</a></div>'
 RELATED = '<div class="related"><h4>{s}</h4><ul><li><a href="{u}">{t}</a></li><li><a href="{u}">{t}</a></li></ul></div>'
 BODY = "[[<h1>{s}</h1><p>{t}</p><p>{t} <b>{s}</b> {t}</p><p>{s}</p><p>{t}</p>]]"
-RICH = '[[<h1>{s}</h1><p>{t}</p><h2>{s}</h2><p>{t} <a href="{u}">{s}</a> {t}</p><ul><li>{s}</li><li>{t}</li></ul><blockquote><p>{t}</p></blockquote><table><tr><th>{s}</th><td>{s}</td></tr></table><pre><code>{s}</code></pre><figure><figcaption>{s}</figcaption></figure>]]'
+RICH = '[[<h1>{s}</h1><p>{t}</p><h2>{s}</h2><p>{t} <a href="{u}">{s}</a> {t}</p><h3>{s}</h3><p>{t}</p><ul><li>{s}</li><li>{t}</li></ul><blockquote><p>{t}</p></blockquote><table><tr><th>{s}</th><td>{s}</td></tr></table><pre><code>{s}</code></pre><figure><figcaption>{s}</figcaption></figure>]]'
 SHORT = "[[<h1>{s}</h1><p>{s}</p>]]"
 DIVS = '[[<div class="body"><div>{t}</div><div>{t}<br>{t}</div><span>{s}</span></div>]]'
 
@@ -42,8 +47,18 @@ LAYOUTS = [
     f"<body>{BODY}</body>",
     TOP + f'<section class="article-body">{DIVS}</section>' + AD + FORM + COMMENTS + FOOT,
     NAV + f"<article><header>[[<h1>{{s}}</h1>]]</header>{AD}[[<p>{{t}}</p><p>{{t}}</p>]]<footer>{{s}}</footer></article>" + FOOT,
+    TITLE_TOP + NAV + f"<main><article>{BODY}</article></main>" + COMMENT_ARTICLES + SIDE_TEXT + FOOT,
+    NAMED_TOP + MENU + f'<div class="wrap">{SIDE_TEXT}<div class="content">{RICH}</div></div>' + FOOT_LINKS,
+    TITLE_TOP + f"<article>{RICH}</article>" + COMMENT_ARTICLES + FOOT,
+    '<div role="banner">{s}</div>' + f'<div role="main">{BODY}</div>' + ROLES,
+    NAMED_TOP + f"<article>{BODY}</article>" + FORM + ROLES + COMMENTS,
+    TOP + "<main><article>[[<h1>{s}</h1><p>{t}</p>]]<aside><h3>{s}</h3><p>{t}</p></aside>[[<p>{t}</p><p>{t}</p>]]<aside><p>{t}</p></aside></article></main>" + FOOT,
+    f"<article>{SHORT}{COMMENT_DIVS}</article>",
+    NAV + f"<article>[[<p>{{s}}</p>]]{AD}{COMMENT_DIVS}</article>" + FOOT,
     PROMO + f"<main><section>{BODY}</section><section>[[<h2>{{s}}</h2><p>{{t}}</p>]]</section></main>" + SIDE + FOOT_LINKS,
 ]
+#: Pages without the usual frame.
+BARE = ["[[{t}]]", "[[<p>{t}</p><p>{s}</p>]]", f"<article>{SHORT}{COMMENT_DIVS}</article>", NAV + f"<article>{BODY}</article>" + FOOT]
 
 
 def pages() -> list[str]:
@@ -51,9 +66,9 @@ def pages() -> list[str]:
     out = []
     for words in (6, 30, 120):
         filling = {"t": " ".join(["word"] * words), "s": "two words", "u": "/place"}
-        for layout in LAYOUTS:
+        for layout in LAYOUTS + BARE:
             marked = layout.replace("[[", MAIN_OPEN).replace("]]", MAIN_CLOSE)
             for key, value in filling.items():
                 marked = marked.replace("{" + key + "}", value)
-            out.append(f"<html><head><title>two words</title></head><body>{marked}</body></html>")
+            out.append(marked if layout in BARE else f"<html><head><title>two words</title></head><body>{marked}</body></html>")
     return out
