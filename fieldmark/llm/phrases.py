@@ -15,8 +15,9 @@ windows, wherever they stand, have equal triggers.
 4. Of the other triggers each distinct phrase (the dictionary) is cut out of
    one document, packed and sent to its trigger's bucket, where its windows
    are sorted by content. A phrase repeated a million times travels once.
-5. A trigger with more than ``max_bucket`` distinct phrases would make a large
-   bucket, so its windows are spread by a 128-bit hash and counted by Spark.
+5. A trigger whose distinct phrases hold more than ``max_bucket`` windows would
+   outgrow a task's memory (``width`` bytes a window), so its windows are spread
+   by a 128-bit hash and counted by Spark.
 6. What was found for a phrase of the dictionary is joined back to its places.
 
 Long documents are cut into segments that overlap by ``width - 1`` units; that
@@ -261,7 +262,7 @@ def settle_spread(phrases: DataFrame, unit: str, width: int, earlier: bool) -> D
     return ranges.agg(F.min("off").alias("off"), F.count("*").cast("int").alias("len")).select("trigger", "signature", "off", "len", "first")
 
 
-def repeated_spans(docs: DataFrame, unit: str, width: int, gram: int, earlier: bool, max_bucket: int = 512) -> DataFrame:
+def repeated_spans(docs: DataFrame, unit: str, width: int, gram: int, earlier: bool, max_bucket: int = 1 << 19) -> DataFrame:
     """``(rk_id, rk_text, spans)``: the units ``[start, stop)`` covered by repeated windows; spans are sorted and may overlap.
 
     ``docs`` has ``(rk_id, rk_text, text)``. A window repeats if it starts
@@ -283,7 +284,7 @@ def repeated_spans(docs: DataFrame, unit: str, width: int, gram: int, earlier: b
     one = F.struct("rk_id", "rk_text", "start", "n")
     words = mixed_places.groupBy("trigger", "signature").agg(F.count("*").alias("times"), F.min("rk_id").alias("first"), F.min(one).alias("at"))
     words = stage(words, "dictionary")
-    sizes = words.groupBy("trigger").agg(F.count("*").alias("size")).where(F.col("size") > max_bucket).select("trigger", F.lit(True).alias("hot"))
+    sizes = words.groupBy("trigger").agg(F.sum("at.n").alias("size")).where(F.col("size") > max_bucket).select("trigger", F.lit(True).alias("hot"))
     wanted = words.join(sizes, "trigger", "left").select(
         F.col("at.rk_id").alias("rk_id"), F.col("at.rk_text").alias("rk_text"),
         F.struct("at.start", "at.n", "trigger", "signature", "times", "first", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"),
