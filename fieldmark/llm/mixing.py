@@ -73,14 +73,14 @@ def shared_out(children: DataFrame, parents: list[str], level: str) -> DataFrame
 
 def leaf_budgets(leaves: DataFrame, budget_share: float, max_epochs: int, weights: Weights) -> DataFrame:
     """``leaves`` (domain, lang, source, tokens) with the ``budget`` of each, from ``budget_share`` of all tokens."""
-    total = leaves.agg(F.floor(F.sum("tokens") * F.lit(budget_share)).cast("long").alias("budget"))
+    total = leaves.agg(F.coalesce(F.floor(F.sum("tokens") * F.lit(budget_share)).cast("long"), F.lit(0))).first()[0]
     weighted = leaves.withColumns({f"w_{x}": weight_of(x, weights) for x in LEVELS} | {"cap": F.col("tokens") * max_epochs})
     weighted = weighted.where(" and ".join(f"w_{x} > 0" for x in LEVELS))
-    out = total
+    out = None
     for depth, level in enumerate(LEVELS):
         path = LEVELS[: depth + 1]
         nodes = weighted.groupBy(*path).agg(F.sum("cap").alias("cap"), F.first(f"w_{level}").alias("weight"))
-        nodes = nodes.join(out, path[:-1]) if depth else nodes.join(F.broadcast(out))  # one row: the whole budget
+        nodes = nodes.join(out, path[:-1]) if depth else nodes.withColumn("budget", F.lit(total).cast("long"))
         out = shared_out(nodes, path[:-1], level).select(*path, "budget")
     return out.join(leaves, LEVELS)
 
