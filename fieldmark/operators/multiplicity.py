@@ -115,4 +115,4 @@ def mode_histogram(audit: DataFrame) -> DataFrame:
     """Files by mode (over 0 only), and the median of the modes on every row."""
     mode = audit.where(F.col("mode_rows_per_timestamp") > 0)
     counted = mode.groupBy("mode_rows_per_timestamp").agg(F.count(F.lit(1)).alias("files"))
-    return counted.join(F.broadcast(mode.agg(F.median("mode_rows_per_timestamp").alias("median_mode"))))  # one row
+    return counted.withColumn("median_mode", F.lit(mode.agg(F.median("mode_rows_per_timestamp")).first()[0]).cast("double"))
