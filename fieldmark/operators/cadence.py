@@ -7,7 +7,7 @@ date: a recording that crosses midnight shows one backward interval.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions import flags, scalars
@@ -15,25 +15,54 @@ from fieldmark.operators.sampling import at_least
 from fieldmark.schemas import GAP_MULTIPLIER
 
 
-def in_file_order() -> Window:
-    return Window.partitionBy("file").orderBy("pos")
+#: Rows of a recording, and microseconds of a sorted one, that one window holds; a long recording is many windows.
+CHUNK_ROWS, CHUNK_US = 1 << 20, 600_000_000
+
+
+def with_interval(rows: DataFrame, chunk: Column, order: list[str], bridge: bool = False) -> DataFrame:
+    """``rows`` with the difference to the row before in ``order``, which ``chunk`` must follow.
+
+    Windows run inside a chunk of a file, so no recording is one task. A
+    chunk's first row takes the last time of the chunk before, from a summary of
+    one row a chunk. With ``bridge`` the row before is the last valid one.
+    """
+    rows = rows.withColumn("chunk", chunk)
+    place = F.struct(*order)
+    last = F.max_by("time_us", F.when(F.col("time_us").isNotNull(), place)) if bridge else F.max_by("time_us", place)
+    ends = rows.groupBy("file", "chunk").agg(last.alias("end"))
+    ends = ends.where(F.col("end").isNotNull()) if bridge else ends
+    ends = ends.select("file", "chunk", F.lag("end").over(Window.partitionBy("file").orderBy("chunk")).alias("carried"))
+    inside = Window.partitionBy("file", "chunk").orderBy(*order)
+    nth = F.row_number().over(inside)
+    if bridge:
+        before = F.coalesce(F.last("time_us", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried"))
+    else:
+        before = F.when(nth == 1, F.col("carried")).otherwise(F.lag("time_us").over(inside))
+    joined = rows.join(ends, ["file", "chunk"], "left")
+    return joined.withColumn("interval_us", F.col("time_us") - before).drop("chunk", "carried")
 
 
 def bridged_intervals(sensor: DataFrame) -> DataFrame:
     """Valid rows with the difference to the valid row before; invalid rows are bridged."""
     valid = sensor.where(F.col("time_us").isNotNull())
-    return valid.withColumn("interval_us", F.col("time_us") - F.lag("time_us").over(in_file_order()))
+    return with_interval(valid, F.floor(F.col("pos") / CHUNK_ROWS), ["pos"], bridge=True)
 
 
 def adjacent_intervals(sensor: DataFrame) -> DataFrame:
     """All rows with the difference to the row before; null beside an invalid row."""
-    return sensor.withColumn("interval_us", F.col("time_us") - F.lag("time_us").over(in_file_order()))
+    return with_interval(sensor, F.floor(F.col("pos") / CHUNK_ROWS), ["pos"])
 
 
 def sorted_intervals(sensor: DataFrame) -> DataFrame:
     """Valid rows with the difference to the next smaller time of their file."""
     valid = sensor.where(F.col("time_us").isNotNull())
-    return valid.withColumn("interval_us", F.col("time_us") - F.lag("time_us").over(Window.partitionBy("file").orderBy("time_us", "pos")))
+    return with_interval(valid, F.floor(F.col("time_us") / CHUNK_US), ["time_us", "pos"])
+
+
+def interval_counts(intervals: DataFrame) -> DataFrame:
+    """How often each difference stands in each file and where first: far fewer rows than the readings of a steady sensor."""
+    known = intervals.where(F.col("interval_us").isNotNull())
+    return known.groupBy("file", "interval_us").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("seen"))
 
 
 def time_validity(sensor: DataFrame) -> DataFrame:
@@ -55,10 +84,13 @@ def positive_interval_stats(intervals: DataFrame) -> DataFrame:
 
 def mode_interval(intervals: DataFrame) -> DataFrame:
     """The most frequent positive interval in whole milliseconds; ties go to the first seen. Null where there is none."""
-    rounded = F.when(F.col("interval_us") > 0, scalars.round_ms(F.col("interval_us")))
-    counted = intervals.groupBy("file", rounded.alias("ms")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("seen"))
-    rank = F.when(F.col("ms").isNotNull(), F.struct(-F.col("n"), F.col("seen")))
-    return counted.groupBy("file").agg(F.min_by("ms", rank).alias("mode_interval_seconds"))
+    return mode_of_counts(interval_counts(intervals), intervals.select("file").distinct())
+
+
+def mode_of_counts(counts: DataFrame, files: DataFrame) -> DataFrame:
+    rounded = counts.where("interval_us > 0").groupBy("file", scalars.round_ms(F.col("interval_us")).alias("ms")).agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    modes = rounded.groupBy("file").agg(F.min_by("ms", F.struct(-F.col("n"), F.col("seen"))).alias("mode_interval_seconds"))
+    return files.join(modes, "file", "left").select("file", "mode_interval_seconds")
 
 
 def frequency(modes: DataFrame) -> DataFrame:
@@ -68,12 +100,18 @@ def frequency(modes: DataFrame) -> DataFrame:
 
 def large_gaps(intervals: DataFrame, multiplier: float = GAP_MULTIPLIER) -> DataFrame:
     """Positive intervals longer than ``multiplier`` times their file's median: how many, and the longest."""
+    found = gaps_of_counts(interval_counts(intervals), multiplier)
+    files = intervals.select("file").distinct().join(found, "file", "left")
+    return files.select("file", F.coalesce("large_gap_count", F.lit(0)).alias("large_gap_count"), "largest_gap_seconds")
+
+
+def gaps_of_counts(counts: DataFrame, multiplier: float) -> DataFrame:
     at_least(multiplier, 1, "multiplier", strict=True)
-    d = F.when(F.col("interval_us") > 0, F.col("interval_us"))
-    medians = intervals.groupBy("file").agg(F.median(d).alias("median_us"))
+    positive = counts.where("interval_us > 0")
+    medians = positive.groupBy("file").agg(F.percentile("interval_us", 0.5, F.col("n")).alias("median_us"))
     gap = F.col("interval_us") > F.col("median_us") * multiplier
-    found = intervals.join(medians, "file").groupBy("file")
-    return found.agg(F.count_if(gap).alias("large_gap_count"), scalars.seconds(F.max(F.when(gap, F.col("interval_us")))).alias("largest_gap_seconds"))
+    found = positive.join(medians, "file").where(gap).groupBy("file")
+    return found.agg(F.sum("n").alias("large_gap_count"), scalars.seconds(F.max("interval_us")).alias("largest_gap_seconds"))
 
 
 def signed_duration(sensor: DataFrame) -> DataFrame:
@@ -103,37 +141,33 @@ def heart_rate_quality(sensor: DataFrame) -> DataFrame:
 
 
 def file_audit(sensor: DataFrame, multiplier: float = GAP_MULTIPLIER) -> DataFrame:
-    """The cadence record of every file, from two passes that both keep the partitioning by file.
-
-    The lag over all rows looks back to the last valid time, so one window
-    serves valid and invalid rows alike and feeds every aggregate.
-    """
+    """The cadence record of every file: one aggregate over the rows, the others over the counted intervals."""
     at_least(multiplier, 1, "multiplier", strict=True)
-    before = F.last("time_us", ignorenulls=True).over(in_file_order().rowsBetween(Window.unboundedPreceding, -1))
-    d = F.col("interval_us")
-    rows = sensor.withColumn("interval_us", F.col("time_us") - before)
-    rows = rows.withColumn("median_us", F.median(F.when(d > 0, d)).over(Window.partitionBy("file")))
-    valid, positive, gap = F.col("time_us").isNotNull(), F.when(d > 0, d), d > F.col("median_us") * multiplier
-    at, name, rate = F.when(valid, F.col("pos")), scalars.clean_identity(F.col("player_name")), F.col("heart_rate")
+    valid, rate, name = F.col("time_us").isNotNull(), F.col("heart_rate"), scalars.clean_identity(F.col("player_name"))
+    at, names = F.when(valid, F.col("pos")), F.array_sort(F.collect_set(name))
     expected = scalars.expected_identity(F.first("team"), F.first("player_id"))
-    names = F.array_sort(F.collect_set(name))
-    audit = rows.groupBy("file").agg(
+    base = sensor.groupBy("file").agg(
         F.first("team").alias("team"), F.first("player_id").alias("player_id"),
         expected.alias("expected_player_name"), F.array_join(names, ";").alias("observed_player_names"),
-        ((F.size(names) == 1) & (F.get(names, F.lit(0)) == expected)).alias("player_name_matches"),
+        F.coalesce((F.size(names) == 1) & (F.get(names, F.lit(0)) == expected), F.lit(False)).alias("player_name_matches"),
         F.count(F.lit(1)).alias("rows_inspected"),
         F.min_by("time", "pos").alias("first_time"), F.max_by("time", "pos").alias("last_time"),
         scalars.seconds(F.when(F.count("time_us") >= 2, F.max_by("time_us", at) - F.min_by("time_us", at))).alias("block_duration_seconds"),
         F.count_if(valid).alias("valid_timestamp_rows"), F.count_if(~valid).alias("invalid_timestamp_rows"),
-        F.count_if(d == 0).alias("duplicate_intervals"), F.count_if(d < 0).alias("backward_intervals"), F.count_if(d > 0).alias("positive_intervals"),
-        scalars.seconds(F.first("median_us")).alias("median_interval_seconds"),
-        scalars.seconds(F.min(positive)).alias("minimum_interval_seconds"), scalars.seconds(F.max(positive)).alias("maximum_interval_seconds"),
-        F.count_if(gap).alias("large_gap_count"), scalars.seconds(F.max(F.when(gap, d))).alias("largest_gap_seconds"),
         F.count_if(flags.zero_heart_rate(rate)).alias("heart_rate_zero_rows"),
         F.count_if(flags.bad_heart_rate_nonzero(rate)).alias("suspicious_nonzero_heart_rate_rows"),
     )
-    modes = frequency(mode_interval(rows.where(valid)))
-    return audit.join(modes, "file", "left").withColumn("player_name_matches", F.coalesce("player_name_matches", F.lit(False)))
+    counts, d, n = interval_counts(bridged_intervals(sensor)), F.col("interval_us"), F.col("n")
+    positive, none = F.when(d > 0, d), F.lit(0)
+    stats = counts.groupBy("file").agg(
+        F.sum(F.when(d == 0, n).otherwise(none)).alias("duplicate_intervals"), F.sum(F.when(d < 0, n).otherwise(none)).alias("backward_intervals"), F.sum(F.when(d > 0, n).otherwise(none)).alias("positive_intervals"),
+        scalars.seconds(F.percentile(positive, 0.5, n)).alias("median_interval_seconds"),
+        scalars.seconds(F.min(positive)).alias("minimum_interval_seconds"), scalars.seconds(F.max(positive)).alias("maximum_interval_seconds"),
+    )
+    parts = [stats, gaps_of_counts(counts, multiplier), frequency(mode_of_counts(counts, base.select("file")))]
+    for part in parts:
+        base = base.join(part, "file", "left")
+    return base.na.fill(0, ["duplicate_intervals", "backward_intervals", "positive_intervals", "large_gap_count"])
 
 
 def rollup(audit: DataFrame) -> DataFrame:

@@ -87,6 +87,16 @@ def test_intervals_bridge_or_not(spark):
     assert ordered == [None, 1_000_000, 1_000_000]
 
 
+def test_chunks_do_not_change_intervals(spark, monkeypatch):
+    times = [None if i % 7 == 0 or 20 <= i < 29 else f"00:{i * 13 % 60:02d}:01.{i}" for i in range(60)]
+    rows = readings(spark, times)
+    kinds = (cadence.bridged_intervals, cadence.adjacent_intervals, cadence.sorted_intervals)
+    whole = [[r.interval_us for r in f(rows).orderBy("pos").collect()] for f in kinds]
+    monkeypatch.setattr(cadence, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(cadence, "CHUNK_US", 70_000_000)
+    assert [[r.interval_us for r in f(rows).orderBy("pos").collect()] for f in kinds] == whole
+
+
 def test_durations_signed_and_sorted(spark):
     rows = readings(spark, ["00:00:05.0", "00:00:01.0", "00:00:02.0"])
     assert cadence.signed_duration(rows).first().block_duration_seconds == -3.0
