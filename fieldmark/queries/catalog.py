@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldmark.functions import scalars
@@ -26,9 +29,6 @@ def written(df, kind, columns, schema):
 
 def sink_folder(spark):
     """A fresh folder in the shared place that the cluster names, or a temporary one in local runs."""
-    import tempfile
-    import uuid
-
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/sinks-{uuid.uuid4().hex[:12]}"
 

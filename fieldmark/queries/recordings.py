@@ -8,7 +8,7 @@ from fieldmark.functions import flags, scalars
 from fieldmark.operators import cadence, multiplicity, sampling, values
 from fieldmark.operators import outcomes as out
 from fieldmark.queries.catalog import sink_folder, written
-from fieldmark.queries.fixtures import BRIDGED, COARSE, MEDIANS, MODES, SENSOR, SIZES, VALUES, r6, register, rounded, sensor
+from fieldmark.queries.fixtures import BRIDGED, COARSE, MEDIANS, MODES, SENSOR, SIZES, VALUES, r6, register, rounded, sensor, table
 from fieldmark.sources import sinks
 
 GAP = 2.0
@@ -73,16 +73,12 @@ def _(spark, d):
 
 @register("fn_to_numeric", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 9 = 0 THEN 'x' || value WHEN event_id % 7 = 0 THEN NULL ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS number FROM events")
 def _(spark, d):
-    from fieldmark.queries.fixtures import table
-
     text = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("x"), F.col("value").cast("string"))).when(F.col("event_id") % 7 == 0, None).otherwise(F.col("value").cast("string"))
     return table(spark, d, "events").select("event_id", scalars.to_numeric(text).alias("number"))
 
 
 @register("fn_parse_timestamp_utc", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events")
 def _(spark, d):
-    from fieldmark.queries.fixtures import table
-
     text = F.when(F.col("event_id") % 5 == 0, F.lit("no time")).when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     return table(spark, d, "events").select("event_id", F.date_format(scalars.parse_timestamp(text), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
