@@ -284,7 +284,8 @@ def repeated_spans(docs: DataFrame, unit: str, width: int, gram: int, earlier: b
     one = F.struct("rk_id", "rk_text", "start", "n")
     words = mixed_places.groupBy("trigger", "signature").agg(F.count("*").alias("times"), F.min("rk_id").alias("first"), F.min(one).alias("at"))
     words = stage(words, "dictionary")
-    sizes = words.groupBy("trigger").agg(F.sum("at.n").alias("size")).where(F.col("size") > max_bucket).select("trigger", F.lit(True).alias("hot"))
+    sizes = words.groupBy("trigger").agg(F.sum("at.n").alias("size")).where(F.col("size") > max_bucket)
+    sizes = stage(sizes.select("trigger", F.lit(True).alias("hot")), "hot-triggers")  # few or none: Spark sees its size and need not shuffle the dictionary
     wanted = words.join(sizes, "trigger", "left").select(
         F.col("at.rk_id").alias("rk_id"), F.col("at.rk_text").alias("rk_text"),
         F.struct("at.start", "at.n", "trigger", "signature", "times", "first", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"),
