@@ -130,13 +130,20 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 
 def parses(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
-    """The phrases of every document of ``(rk_id, rk_text, text)``."""
+    """The phrases of every document of ``(rk_id, rk_text, text)``; one that a document repeats is one row with all its starts."""
 
     def rows(keys: list[tuple], segments: list[np.ndarray]) -> pa.RecordBatch:
         ids, texts, base = (np.array(x, np.int64) for x in zip(*keys, strict=True))
         segment, start, n, trigger, signature = parse(segments, width, gram)
-        values = ids[segment], texts[segment], base[segment] + start, n.astype(np.int32), trigger.view(np.int64), signature.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in values], ["rk_id", "rk_text", "start", "n", "trigger", "signature"])
+        order = np.lexsort((signature, trigger, segment))
+        segment, start, n, trigger, signature = (x[order] for x in (segment, start, n, trigger, signature))
+        new = np.ones(len(order), bool)
+        new[1:] = (segment[1:] != segment[:-1]) | (trigger[1:] != trigger[:-1]) | (signature[1:] != signature[:-1])
+        first = np.flatnonzero(new)
+        starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(base[segment] + start))
+        of = segment[first]
+        columns = [pa.array(ids[of]), pa.array(texts[of]), starts, *(pa.array(x[first]) for x in (n.astype(np.int32), trigger.view(np.int64), signature.view(np.int64)))]
+        return pa.RecordBatch.from_arrays(columns, ["rk_id", "rk_text", "starts", "n", "trigger", "signature"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, segments, held = [], [], 0
@@ -153,7 +160,7 @@ def parses(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
         if keys:
             yield rows(keys, segments)
 
-    return map_batches(docs, run, "rk_id long, rk_text long, start long, n int, trigger long, signature long")
+    return map_batches(docs, run, "rk_id long, rk_text long, starts array<long>, n int, trigger long, signature long")
 
 
 _PHRASE = "trigger long, signature long, times long, first long, hot boolean, phrase binary"
@@ -269,8 +276,8 @@ def repeated_spans(docs: DataFrame, unit: str, width: int, gram: int, earlier: b
     anywhere else too, or with ``earlier`` if it also starts in a document with
     a smaller ``rk_id``. Documents without any are left out.
     """
-    parsed = parses(docs, unit, width, gram)
-    counts = [F.count("*").alias("times"), F.min("signature").alias("lo"), F.max("signature").alias("hi")]
+    parsed, tail = parses(docs, unit, width, gram), width - 1
+    counts = [F.sum(F.size("starts")).alias("times"), F.min("signature").alias("lo"), F.max("signature").alias("hi")]
     ids = [F.min("rk_id").alias("first"), F.max("rk_id").alias("last")] if earlier else []
     shared = parsed.groupBy("trigger").agg(*counts, *ids).where("first < last" if earlier else "times > 1")
     shared = stage(shared.select("trigger", F.expr("lo != hi").alias("differ"), F.col("first") if earlier else F.lit(0).cast("long").alias("first")), "triggers")
@@ -278,11 +285,11 @@ def repeated_spans(docs: DataFrame, unit: str, width: int, gram: int, earlier: b
 
     same = places.where("not differ")
     same = same.where("rk_id > first") if earlier else same
-    same = same.select("rk_id", "rk_text", "start", (F.col("start") + F.col("n") + width - 1).alias("stop"))
+    same = same.select("rk_id", "rk_text", F.expr(f"transform(starts, s -> struct(s as start, s + n + {tail} as stop))").alias("spans"))
 
-    mixed_places = places.where("differ")
-    one = F.struct("rk_id", "rk_text", "start", "n")
-    words = mixed_places.groupBy("trigger", "signature").agg(F.count("*").alias("times"), F.min("rk_id").alias("first"), F.min(one).alias("at"))
+    varied = places.where("differ")
+    one = F.struct("rk_id", "rk_text", F.get("starts", F.lit(0)).alias("start"), "n")
+    words = varied.groupBy("trigger", "signature").agg(F.sum(F.size("starts")).alias("times"), F.min("rk_id").alias("first"), F.min(one).alias("at"))
     words = stage(words, "dictionary")
     sizes = words.groupBy("trigger").agg(F.sum("at.n").alias("size")).where(F.col("size") > max_bucket)
     sizes = stage(sizes.select("trigger", F.lit(True).alias("hot")), "hot-triggers")  # few or none: Spark sees its size and need not shuffle the dictionary
@@ -293,11 +300,13 @@ def repeated_spans(docs: DataFrame, unit: str, width: int, gram: int, earlier: b
     wanted = wanted.groupBy("rk_id", "rk_text").agg(F.collect_list("w").alias("wanted"))
     reps = packed_texts(docs).join(wanted, ["rk_id", "rk_text"])
     phrases = stage(cut_out(reps, unit, width), "phrases")
-    ranges = stage(settle(phrases, unit, width, earlier).unionByName(settle_spread(phrases, unit, width, earlier)), "ranges")
-    some = mixed_places.drop("first", "n").join(ranges, ["trigger", "signature"])
-    some = some.where("rk_id > first") if earlier else some
-    some = some.select("rk_id", "rk_text", (F.col("start") + F.col("off")).alias("start"), (F.col("start") + F.col("off") + F.col("len") + width - 1).alias("stop"))
-    return same.unionByName(some).groupBy("rk_id", "rk_text").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    ranges = settle(phrases, unit, width, earlier).unionByName(settle_spread(phrases, unit, width, earlier))
+    ranges = stage(ranges.groupBy("trigger", "signature").agg(F.collect_list(F.struct("off", "len", "first")).alias("ranges")), "ranges")
+    some = varied.select("rk_id", "rk_text", "starts", "trigger", "signature").join(ranges, ["trigger", "signature"])
+    some = some.withColumn("ranges", F.expr("filter(ranges, r -> r.first < rk_id)")) if earlier else some
+    spans = F.expr(f"flatten(transform(starts, s -> transform(ranges, r -> struct(s + r.off as start, s + r.off + r.len + {tail} as stop))))")
+    some = some.where(F.size("ranges") > 0).select("rk_id", "rk_text", spans.alias("spans"))
+    return same.unionByName(some).groupBy("rk_id", "rk_text").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
