@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmark.llm import decontaminate, mixing, quality, registry, simhash, suffix_dedup
+from fieldmark.llm import decontaminate, mixing, near_copies, quality, registry, suffix_dedup
 from fieldmark.llm.common import scratch
 
 
@@ -18,9 +18,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where("predicted = 1").select(*docs.columns)
 
 
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_copy_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_classifier),
-    ("simhash near-dedup", simhash_near_dedup),
+    ("near-copy dedup", near_copy_dedup),
     ("suffix-array dedup", suffix_array_dedup),
     ("benchmark decontamination", benchmark_decontamination),
     ("mixing sources", mix_sources),

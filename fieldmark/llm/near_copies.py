@@ -1,0 +1,166 @@
+"""Near copies by the exact Jaccard similarity of five-word shingles, for the pipeline.
+
+SimHash bits cannot settle a similarity of 0.8 (such pairs are up to 11 of 64
+bits apart), so pairs are found by an exact set-similarity join that misses none:
+
+1. Shingles are ordered by how full their hash bucket is, then by hash. A text
+   of ``n`` shingles is entered under its first ``n - ceil(0.8 n) + 1``; two
+   texts with a similarity of 0.8 or more share one of those (prefix filter).
+   Any fixed order is right; this one puts what many texts hold last.
+2. Pairs that share such a shingle and whose sizes and positions leave 0.8
+   possible are compared by their whole sets, and linked from 0.8 on.
+3. Where more than ``BIG`` texts share a shingle, all are first compared with a
+   few leaders. After that only pairs in different components are looked at,
+   so a large group of copies does not cost the square of its size.
+
+Cases: texts without words have the empty set and are copies of each other;
+texts of fewer than five words are one shingle; equal sets are one node; an empty
+table gives an empty result; further columns are kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from fieldmark.llm.common import components, map_batches, stage, with_row_key
+from fieldmark.llm.simhash import SEED
+
+SHINGLE = 5
+#: Buckets that shingles are counted in: 4 MB of counts whatever the input.
+BUCKETS = 1 << 20
+#: Texts that share a shingle beyond which leaders are compared first, and how many leaders.
+BIG, LEADERS = 16, 6
+#: Parts that the pairs of one text are spread over.
+SALT = 64
+
+
+def shingles_of(text: bytes | None) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending."""
+    words = (text or b"").lower().split()
+    size = min(SHINGLE, len(words))
+    digest = xxhash.xxh64_intdigest
+    hashes = (digest(b" ".join(words[i : i + size]), SEED) for i in range(len(words) - size + 1)) if words else ()
+    return np.unique(np.fromiter(hashes, np.uint64))
+
+
+def prefix_of(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles that a text is entered under, in the common order."""
+    n = len(shingles)
+    order = np.lexsort((shingles, counts[shingles % np.uint64(BUCKETS)]))
+    return shingles[order[: n + (-4 * n) // 5 + 1]] if n else shingles
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.large_binary()).to_pylist()
+
+
+def bucket_counts(docs: DataFrame) -> np.ndarray:
+    """How many shingles of ``docs`` fall in each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in _texts(batch):
+                np.add.at(counts, (shingles_of(text) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        some = np.flatnonzero(counts)
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], ["bucket", "n"])
+
+    found = map_batches(docs.select("text"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int32)
+    counts[found.column("bucket").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
+    return counts
+
+
+def entered(keyed: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``(rk_id, rk_text, node, n, prefix)``: the row, its set's hash and size, and what it is entered under."""
+    shared = keyed.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles_of(t) for t in _texts(batch)]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            prefixes = pa.array([prefix_of(s, shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            columns = [batch.column("rk_id"), batch.column("rk_text"), pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int64()), prefixes]
+            yield pa.RecordBatch.from_arrays(columns, ["rk_id", "rk_text", "node", "n", "prefix"])
+
+    return map_batches(keyed.select("rk_id", "rk_text", "text"), run, "rk_id long, rk_text long, node long, n long, prefix array<long>")
+
+
+def whole_sets(rows: DataFrame) -> DataFrame:
+    """``(node, shingles)`` of ``rows`` ``(node, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingles_of(t).view(np.int64) for t in _texts(batch)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "shingles"])
+
+    return map_batches(rows.select("node", "text"), run, "node long, shingles array<long>")
+
+
+def possible(a: str, b: str) -> Column:
+    """Whether sizes and places of the shared shingle leave a similarity of 0.8 possible."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * rest >= 4 * (n + m))
+
+
+def pair(a: str, b: str) -> list[Column]:
+    x, y = F.col(f"{a}.node"), F.col(f"{b}.node")
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` ``(a, b)`` whose sets have a Jaccard similarity of 0.8 or more."""
+    # a text with very many pairs is spread over SALT parts on either side
+    salted = both = pairs.withColumns({"sa": F.pmod(F.xxhash64("b"), F.lit(SALT)), "sb": F.pmod(F.xxhash64("a"), F.lit(SALT))})
+    for side in "ab":
+        spread = salted.select(side, f"s{side}").distinct().join(sets, F.col(side) == F.col("node"))
+        both = both.join(spread.select(side, f"s{side}", F.col("shingles").alias(f"set_{side}")), [side, f"s{side}"])
+    common, total = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+    return both.where(9 * common >= 4 * total).select("a", "b")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one document of each component of near copies: that with the smallest doc_id, once."""
+    keyed = with_row_key(docs.withColumn("text", F.col("text").cast("string")))
+    rows = stage(entered(keyed, bucket_counts(keyed)), "prefixes")
+    row = F.struct("rk_id", "rk_text")
+    nodes = stage(rows.groupBy("node").agg(F.min(row).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+    keys = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = stage(keys.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), "shared")
+    a, b = shared.where(F.col("m") <= BIG).alias("a"), shared.alias("b")
+    few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & possible("a", "b")).select(*pair("a", "b"))
+    big = shared.where(F.col("m") > BIG)
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "pos")) for k in range(LEADERS)]
+    leaders = big.groupBy("key").agg(F.array_distinct(F.transform(F.array(*first), lambda x: x.dropFields("h"))).alias("l"))
+    leaders = leaders.select("key", F.explode("l").alias("l")).select("key", "l.*").alias("a")
+    led = big.alias("b").join(leaders, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") != F.col("b.node")) & possible("a", "b")).select(*pair("a", "b"))
+    pairs = stage(few.unionByName(led).distinct(), "pairs")
+
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(big.select("node")).distinct()
+    texts = nodes.join(wanted, "node").select("node", "rep.*")
+    sets = stage(whole_sets(keyed.join(texts, ["rk_id", "rk_text"])).dropDuplicates(["node"]), "sets")
+    links = stage(verified(pairs, sets), "links")
+
+    part = big.join(components(links), "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("c"))
+    part = stage(part, "parts")
+    largest = part.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("most"))
+    # of two texts in different components one at least is outside the largest
+    outside = part.join(largest, "key").where("c != most").alias("a")
+    across = (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("a.most")) | (F.col("a.node") < F.col("b.node")))
+    left = outside.join(part.alias("b"), (F.col("a.key") == F.col("b.key")) & across & possible("a", "b")).select(*pair("a", "b"))
+    left = stage(left.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(verified(left, sets))
+
+    of = rows.select("rk_id", "rk_text", "node").join(components(links), "node", "left")
+    kept = of.groupBy(F.coalesce("root", "node").alias("class")).agg(F.min(row).alias("k")).select("k.*")
+    chosen = with_row_key(docs).join(kept, ["rk_id", "rk_text"], "left_semi")
+    return chosen.dropDuplicates(["rk_id", "rk_text"]).select(*docs.columns)

@@ -1,0 +1,82 @@
+"""The pipeline's near-copy stage against brute-force Jaccard similarity."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from llm import brute
+
+import corpus_pipeline
+from fieldmark.llm import near_copies
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+STAGE = corpus_pipeline.STAGES[1][1]
+
+
+def kept(rows):
+    """The (doc_id, text) that stay: the smallest of each component of five-word Jaccard >= 0.8."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(brute.LOWER))
+        n = min(5, len(w))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+    of = list(range(len(rows)))
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y) and x:
+                of[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r), r, key=lambda r: brute.key(r[0]))
+    return sorted(least.values(), key=repr)
+
+
+def edited(words, n, rng):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"new{rng.random()}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize(("big", "leaders"), [(16, 6), (2, 1)])
+def test_stage_equals_brute_force_jaccard(spark, monkeypatch, big, leaders):
+    monkeypatch.setattr(near_copies, "BIG", big)
+    monkeypatch.setattr(near_copies, "LEADERS", leaders)
+    rng = random.Random(7)
+    texts = [None, "", " \t", "One two", "one  TWO", "one two three"]
+    for g in range(30):  # pairs on both sides of 0.8
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(30, 300))]
+        texts += [" ".join(words), edited(words, rng.randrange(1, 2 + len(words) // 40), rng)]
+    base = [f"b{i}" for i in range(120)]
+    texts += [edited(base, rng.randrange(4), rng) for _ in range(60)]  # one large group
+    line = " ".join(f"line{i}" for i in range(12))  # one line that many short texts hold
+    texts += [f"{line} {' '.join(f't{rng.random()}' for _ in range(rng.randrange(1, 9)))}" for _ in range(60)]
+    rows = list(enumerate(texts)) + [(None, "no id at all in this row"), (None, "")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS).repartition(5)
+    got = STAGE(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == kept(rows)
+
+
+def test_pairs_beyond_three_bits_are_found(spark):
+    rng = random.Random(1)
+    rows = []
+    for g in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, edited(words, 3, rng))]  # Jaccard about 0.86
+    assert sum(bin(brute.fingerprint(x) ^ brute.fingerprint(y)).count("1") > 3 for (_, x), (_, y) in zip(rows[::2], rows[1::2], strict=True)) > 5
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS)
+    assert sorted(r.doc_id for r in STAGE(spark, docs, "").collect()) == [2 * g for g in range(20)]
+
+
+def test_empty_table(spark):
+    assert STAGE(spark, spark.createDataFrame([], DOCS), "").collect() == []
