@@ -38,6 +38,7 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^
 #: Fixed values of HTML: elements without content, with raw text, and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style template head noscript svg iframe object canvas title".split())
+IN_HEAD = frozenset("title meta link script style base basefont bgsound noframes noscript template head".split())
 RAW = frozenset("script style title textarea noscript iframe".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul button textarea".split()
@@ -77,6 +78,8 @@ class Tree:
         stack, unseen, at, main = [0], 0, 0, False
         while at < len(page):
             m = TOKEN.search(page, at)
+            if m is None or m.start() > at:
+                unseen -= self._close_head(stack, page[at : m.start() if m else None])
             if not unseen and (m is None or m.start() > at):
                 self._text(stack[-1], html.unescape(page[at : m.start() if m else None]), main)
             if m is None:
@@ -98,6 +101,8 @@ class Tree:
                 elif tag in ("p", "br"):
                     self.texts.append((stack[-1], " "))
                 continue
+            if tag not in IN_HEAD:
+                unseen -= self._close_head(stack)
             unseen -= self._close_before(tag, stack)
             if tag in ("br", "hr"):
                 self.texts.append((stack[-1], " "))
@@ -114,6 +119,14 @@ class Tree:
             stack.append(node)
             unseen += tag in UNSEEN
 
+    def _close_head(self, stack: list[int], text: str = "x") -> int:
+        """Pop an open head before what cannot stand in one, a start tag or ``text``; how many were unseen."""
+        closed = 0
+        while self.tag[stack[-1]] == "head" and not text.isspace():
+            stack.pop()
+            closed += 1
+        return closed
+
     def _close_before(self, tag: str, stack: list[int]) -> int:
         """Pop what a start tag ends unasked; how many of those were unseen."""
         closed, names = 0, None

@@ -178,6 +178,13 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("head", ["<html><head><title>T</title>", "<head><meta charset=utf-8><script>x</script>\n<style>y</style>", "<head><head><base href=x>"])
+def test_head_ends_without_its_end_tag(head):
+    assert html_text.main_text(f"{head}<article><p>some text</p></article>") == "some text"
+    tree = html_text.Tree(f"{head} words <p>more</p>")
+    assert " ".join(x for _, x in tree.texts).split() == ["words", "more"]
+
+
 def test_deep_nesting_needs_no_recursion():
     assert html_text.main_text("<div>" * 3000 + "<p>deep text</p>") in ("deep text", "")
 
