@@ -185,6 +185,14 @@ def test_head_ends_without_its_end_tag(head):
     assert " ".join(x for _, x in tree.texts).split() == ["words", "more"]
 
 
+def test_signs_come_from_whole_attribute_names():
+    for attributes in (' href="/hidden-lake"', " alt='Hidden falls'", ' href="/page?id=comment-12"', " href=/a?class=nav", ' data-id="comment" data-hidden title="style=display:none"'):
+        assert html_text.hint_of(attributes) == "none", attributes
+    for attributes in (" hidden", ' href="x" HIDDEN=""', " aria-hidden = 'true'", ' class="a"style="display: none"'):
+        assert html_text.hint_of(attributes) == "hidden", attributes
+    assert html_text.hint_of(' alt="x" id=comment-12') == "aside" and html_text.hint_of("\nclass='postBody'") == "main"
+
+
 def test_deep_nesting_needs_no_recursion():
     assert html_text.main_text("<div>" * 3000 + "<p>deep text</p>") in ("deep text", "")
 
