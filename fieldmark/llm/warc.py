@@ -1,11 +1,15 @@
 """WARC archives: writing with revisits, and a salvage reader.
 
-Archives are ``.warc.gz`` files with one gzip member per record. The reader
-goes from member to member. A member that does not unpack, or whose record
-fails its checks (version line, headers, Content-Length, block and payload
-digest), is not the end: the reader searches for the next gzip magic, or in
-plain bytes for the next ``WARC/1.`` line, from which a whole valid record can
-be read, goes on there, and logs the bytes between as a quarantined gap.
+Archives are ``.warc.gz`` files with one gzip member per record; the reader
+also takes members of many records. It goes from member to member. A record
+that fails its checks (version line, headers, Content-Length, block and payload
+digest) is not the end: inside a member that unpacks, the reader goes on at the
+next ``WARC/1.`` of the content from which a whole valid record can be read. A
+damaged member is unpacked up to the error and read the same way, as far as
+block digests vouch for its records; from there, and from anything else that is
+no record, the next gzip magic, or in plain bytes the next ``WARC/1.`` line, is
+searched in the file. All that is passed over is logged as a quarantined gap;
+a gap inside a member has the member's place and says which bytes of its content.
 
 Cases: a null html is an empty payload; of equal payloads of at least
 ``revisit_bytes`` bytes the record with the largest page_id is the response
@@ -33,6 +37,7 @@ ARCHIVE_BYTES = 64 << 20
 WINDOW = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = b"\x1f\x8b\x08"
+CUT = "the member is cut short"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -91,6 +96,50 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return fields, block, stop + 4
 
 
+def _up_to_error(unpack, data: bytes) -> Iterator[bytes]:
+    """What ``data`` unpacks to before the byte that fails."""
+    step = len(data)
+    while step := step // 2:
+        before = unpack.copy()
+        try:
+            out = unpack.decompress(data[:step])
+        except zlib.error:
+            unpack = before
+            continue
+        yield out
+        data = data[step:]
+        step = len(data) + 1
+
+
+def records_in(data: bytes, damage: str = "") -> Iterator[tuple]:
+    """``("record", start, end, fields, block)`` and ``("gap", start, end, reason, None)`` of a member's content.
+
+    If the member has ``damage``, only records that a digest vouches for count,
+    and where it is cut, only those that more content follows.
+    """
+    at, gap, why = 0, None, ""
+    while at < len(data):
+        try:
+            fields, block, end = parse_record(data, at)
+            if damage and "warc-block-digest" not in fields:
+                raise BadRecord(f"{damage}, and no block digest")
+            if damage == CUT and end == len(data):
+                raise BadRecord(damage)
+        except BadRecord as e:
+            gap, why = (at, str(e)) if gap is None else (gap, why)
+            at = data.find(b"WARC/1.", at + 1)
+            if at < 0:
+                break
+            continue
+        if gap is not None:
+            yield "gap", gap, at, why, None
+            gap = None
+        yield "record", at, end, fields, block
+        at = end
+    if gap is not None:
+        yield "gap", gap, len(data), why, None
+
+
 class Source:
     """Random access over an archive; at most the asked range is held."""
 
@@ -112,19 +161,34 @@ class Source:
             at += len(data) - keep
         return self.size
 
-    def member(self, at: int) -> tuple[bytes, int]:
-        """The content of the gzip member at ``at`` and where it ends."""
+    def member(self, at: int) -> tuple[bytes, int, str]:
+        """The content of the gzip member at ``at``, where it ends, and what is wrong with it: then the content goes up to there."""
         unpack, out, start = zlib.decompressobj(31), [], at
-        try:
-            while not unpack.eof:
-                data = self.read(at, WINDOW if at > start else 1 << 16)
-                if not data:
-                    raise BadRecord("the member is cut short")
+        while not unpack.eof:
+            data = self.read(at, WINDOW if at > start else 1 << 16)
+            if not data:
+                return b"".join(out), at, CUT
+            before = unpack.copy()
+            try:
                 out.append(unpack.decompress(data))
-                at += len(data) - len(unpack.unused_data)
-        except zlib.error as e:
-            raise BadRecord(str(e)) from e
-        return b"".join(out), at
+            except zlib.error as e:
+                return b"".join([*out, *_up_to_error(before, data)]), at, str(e)
+            at += len(data) - len(unpack.unused_data)
+        return b"".join(out), at, ""
+
+    def packed(self, at: int, n: int) -> int:
+        """A place in the member at ``at`` before which at most ``n`` bytes are unpacked from."""
+        unpack, size = zlib.decompressobj(31), 0
+        while data := self.read(at, WINDOW):
+            for p in range(0, len(data), 16):
+                try:
+                    size += len(unpack.decompress(data[p : p + 16]))
+                except zlib.error:
+                    return at + p
+                if size > n or unpack.eof:
+                    return at + p
+            at += len(data)
+        return at
 
     def plain(self, at: int) -> tuple[dict[str, str], bytes, int]:
         """The uncompressed record at ``at``, from as many bytes as it names."""
@@ -146,32 +210,37 @@ def salvage(file: pa.NativeFile) -> Iterator[tuple]:
     """What can be read: ``("record", start, end, fields, block)`` and ``("gap", start, end, reason, None)``."""
     source, at, gap, why = Source(file), 0, None, ""
     while at < source.size:
-        found, head = [], source.read(at, 8)
+        found, damage, good, head = [], "", 0, source.read(at, 8)
         try:
             if head.startswith(_MAGIC):
-                data, end = source.member(at)
-                p = 0
-                while p < len(data):
-                    fields, block, p = parse_record(data, p)
-                    found.append((fields, block))
+                data, end, damage = source.member(at)
+                found = list(records_in(data, damage))
+                good = max((x[2] for x in found if x[0] == "record"), default=0)
+                if not good and (data or damage):
+                    raise BadRecord(damage or found[0][3])
             elif head.startswith(b"WARC/1."):
                 fields, block, end = source.plain(at)
-                found.append((fields, block))
+                found.append(("record", at, end, fields, block))
             else:
                 raise BadRecord("neither a member nor a version line")
         except BadRecord as e:
             if gap is None:
                 gap, why = at, str(e)
-            for fields, block in found:  # valid records before the bad one in its member
-                yield "record", at, at, fields, block
             at = source.find((_MAGIC, b"WARC/1."), at + 1)
             continue
         if gap is not None:
             yield "gap", gap, at, why, None
             gap = None
-        for fields, block in found:
-            yield "record", at, end, fields, block
-        at = end
+        for kind, start, stop, what, block in found:
+            if kind == "record":
+                yield "record", at, at if damage else end, what, block
+            elif not damage or start < good:
+                yield "gap", at, end, f"{what}; bytes {start} to {stop} of the member's content", None
+        if damage:  # what follows the last whole record is a gap up to the next place to read from
+            gap, why = source.packed(at, good), f"{damage}; after byte {good} of the member's content"
+            at = source.find((_MAGIC, b"WARC/1."), max(gap, at + 1))
+        else:
+            at = end
     if gap is not None:
         yield "gap", gap, source.size, why, None
 

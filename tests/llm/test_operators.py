@@ -284,6 +284,33 @@ def test_archive_query(spark):
     assert by_text(registry.op10_warc(spark, TINY).collect()) == by_text(pages(rows))
 
 
+@pytest.mark.parametrize("level", [0, 6])
+@pytest.mark.parametrize("damage", ["record", "bytes", "cut", "checksum"])
+def test_salvage_goes_on_inside_a_member(level, damage):
+    rng = np.random.default_rng(5)
+    parts = [warc.record(i, "u", rng.bytes(30_000), None) for i in range(8)]
+    if damage == "record":
+        for k in (2, 5):
+            parts[k] = parts[k][:9000] + b"!!!" + parts[k][9003:]
+    at = np.cumsum([0, *map(len, parts)]).tolist()
+    one, last = gzip.compress(b"".join(parts), level, mtime=0), gzip.compress(warc.record(8, "u", b"after", None), mtime=0)
+    if damage == "bytes":  # everything after the third record is overwritten
+        cut = len(one) * 3 // 8 + 4000
+        one = one[:cut] + b"\xff" * (len(one) - cut)
+    elif damage == "cut":
+        one = one[: len(one) * 3 // 8 + 4000]
+    elif damage == "checksum":
+        one = one[:-8] + bytes(4) + one[-4:]
+    found = list(warc.salvage(pa.BufferReader(one + last)))
+    ids, gaps = [x[3]["x-page-id"] for x in found if x[0] == "record"], [x for x in found if x[0] == "gap"]
+    assert ids == {"record": list("0134678"), "bytes": list("0128"), "cut": list("0128"), "checksum": list("012345678")}[damage]
+    if damage == "record":
+        assert [x[1:3] for x in gaps] == [(0, len(one))] * 2
+        assert [f"bytes {at[k]} to {at[k + 1]} of" in x[3] for k, x in zip((2, 5), gaps, strict=True)] == [True, True]
+    else:
+        assert [x[2] for x in gaps] == [len(one)] and 0 < gaps[0][1] < len(one)
+
+
 @pytest.mark.parametrize("zipped", [True, False])
 def test_salvage_recovers_and_logs_gaps(zipped):
     parts = [warc.record(i, "u", bytes([65 + i]) * 3000, None) for i in range(8)]
