@@ -1,15 +1,10 @@
-"""Removal of repeated byte strings by prefix-free parsing.
-
-Rolling-hash triggers cut every document into overlapping phrases; the
-distinct ones are the dictionary, their sequence the parse (see ``phrases``).
-The suffixes of the dictionary are sorted within each trigger's bucket and the
-parse's counts say how many places of the corpus each stands for, so corpus
-order comes from both and highly repetitive text costs one phrase however
-often it stands. Equal neighbours of ``width`` bytes are repeats.
-
-The order is only needed up to ``width`` bytes and phrases overlap by
-``width - 1``, so no comparison runs past a phrase and the parse needs no
-suffix array of its own beyond its counts.
+"""Removal of repeated byte strings by minimiser buckets, as in ``substring_dedup``.
+
+Every document is cut into overlapping phrases by its windows' minimisers, and
+the distinct phrases of a minimiser are sorted by their windows in one bucket
+(see ``phrases``). There is no prefix-free parse and no suffix array: only the
+equality of windows of one ``width`` is asked for, and no order of the corpus.
+Highly repetitive text costs one phrase however often it stands.
 
 Cases: a null text is empty; a text shorter than ``width`` keeps all its bytes;
 matches never cross documents; a repeated row is a document of its own, so both
