@@ -14,7 +14,8 @@ that the same join is shuffled, by document positions without their text.
 
 Cases: a null or empty text has no words and no hits; a null item_id can hit
 but is not listed; equal windows of several items count for each; repeated rows
-each get their result; empty tables give an empty or an all-clean result.
+each get their result; further columns, whatever their names, are ignored and by
+``clean_documents`` kept; empty tables give an empty or an all-clean result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import ascii_lower, stage, with_row_key
+from fieldmark.llm.common import ascii_lower, doc_id, keyed_rows, keyed_texts, stage
 
 #: After lower-casing, words are runs of digits, a-z and whatever is not ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,7 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shingl
     ``n_hit`` counts the document's words inside any occurrence of a window;
     ``items`` lists the items with occurring windows, sorted as strings.
     """
-    keyed = with_row_key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).drop("doc_id")
+    keyed = keyed_texts(docs)
     windows, items = benchmark_windows(benchmark, width)
     found = stage(hits(keyed, windows, shingle, broadcast_mb), "hits")
     span = F.when(F.col("win").isNotNull(), F.struct("start", (F.col("start") + F.col("size")).alias("stop")))
@@ -119,7 +120,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shingl
     listing = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = covered.cast("long")
     return done.select(
-        F.when(F.col("rk_id") != 2**63 - 1, F.col("rk_id")).alias("doc_id"), "rk_id", "rk_text", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
+        doc_id(), "rk_id", "rk_text", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
         F.size(listing).cast("long").alias("n_items"), listing.alias("items"), (n_hit > 0).alias("contaminated"),
     )
 
@@ -127,4 +128,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shingl
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs`` that hold no window of a benchmark item."""
     hit = contamination(docs, benchmark, width).where("contaminated").select("rk_id", "rk_text").distinct()
-    return with_row_key(docs).join(hit, ["rk_id", "rk_text"], "left_anti").select(*docs.columns)
+    return keyed_rows(docs).join(hit, ["rk_id", "rk_text"], "left_anti").select("row.*")

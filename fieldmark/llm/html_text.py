@@ -4,18 +4,19 @@ Elements and runs of text are the nodes of a tree of hidden states: all of its
 text is main text, none is, or both. A node's own signs (its tag, words in its
 class and id, how much of its text is links, how long its text is) give a node
 potential, and each edge has a potential for the states of parent and child.
+What a tag or a class word stands for is learned, none is listed here.
 Sum-product messages go up from the leaves and down from the root; their
 product is each node's exact marginal. A run of text that is main text with a
-marginal of one half or more is kept. All potentials are smoothed counts over labelled pages
-(``labelled_pages``).
+marginal of one half or more is kept. All potentials are smoothed counts over
+labelled pages (``labelled_pages``), taken once on the driver and broadcast.
 
 Scripts, styles, templates, comments of the markup and the head are never text.
 Messages run over arrays in document order, so deep nesting needs no recursion.
 
 Cases: a null or empty html has an empty text; so has a page whose text is all
 outside main text; broken markup (unclosed, stray or cut-off tags) is read as
-browsers do in the common cases; repeated rows each get their result; an empty
-table gives an empty result.
+browsers do in the common cases, in time linear in the page; repeated rows each
+get their result; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -46,26 +48,47 @@ BLOCKS = frozenset(
 )
 ENDS_PARAGRAPH = BLOCKS - frozenset("body button dd dt html li option select tbody td textarea tfoot th thead tr".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Words in class, id or role; what each kind means is learned.
-ASIDE_WORDS = frozenset("ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu footer header masthead sidebar aside widget cookie cookies consent notice alert popup modal overlay share social related recommended comment comments reply replies disqus newsletter subscribe signup breadcrumb breadcrumbs pagination pager login search form tags legal copyright complementary contentinfo".split())
-MAIN_WORDS = frozenset("article content post entry body main story text".split())
 GROUPS = {tag: tag for tag in "nav header footer aside form article main section div p a li table pre blockquote body html".split()}
 GROUPS |= {"#root": "root", "#text": "text"}
 GROUPS |= dict.fromkeys("button input select option textarea label fieldset legend".split(), "control") | dict.fromkeys("h1 h2".split(), "title") | dict.fromkeys("h3 h4 h5 h6".split(), "heading") | dict.fromkeys("ul ol dl menu".split(), "list") | dict.fromkeys("tr td th tbody thead tfoot".split(), "cell")
 #: States of a node: all of its text is main text, none is, or both.
 MAIN, ELSE, BOTH = range(3)
 STATES, NEUTRAL = 3, (1.0, 1.0, 1.0)
+#: Node potentials that are kept for the next page; the others are computed again.
+MOST_KNOWN = 1 << 16
+#: The hint of a node without class, id and role, and of one that is not shown.
+NOTHING, HIDDEN = ("none",), ("hidden",)
+
+
+class Stack:
+    """Open elements, and how many there are of each tag, so that a stray end tag costs no search."""
+
+    def __init__(self, tags: list[str]) -> None:
+        self.tags, self.nodes, self.open = tags, [0], Counter()
+
+    @property
+    def top(self) -> int:
+        return self.nodes[-1]
+
+    def push(self, node: int) -> None:
+        self.nodes.append(node)
+        self.open[self.tags[node]] += 1
+
+    def pop(self) -> str:
+        tag = self.tags[self.nodes.pop()]
+        self.open[tag] -= 1
+        return tag
 
 
 class Tree:
     """A page: elements and runs of text in document order, each with its parent."""
 
     def __init__(self, page: str) -> None:
-        self.parent, self.tag, self.hint, self.main = [-1], ["#root"], ["none"], [False]
+        self.parent, self.tag, self.hint, self.main = [-1], ["#root"], [NOTHING], [False]
         self.texts: list[tuple[int, str]] = []
         self._read(page)
 
-    def _add(self, parent: int, tag: str, hint: str, main: bool) -> int:
+    def _add(self, parent: int, tag: str, hint: tuple[str, ...], main: bool) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
         self.hint.append(hint)
@@ -73,42 +96,42 @@ class Tree:
         return len(self.tag) - 1
 
     def _text(self, parent: int, text: str, main: bool) -> None:
-        self.texts.append((self._add(parent, "#text", "none", main) if text and not text.isspace() else parent, text))
+        self.texts.append((self._add(parent, "#text", NOTHING, main) if text and not text.isspace() else parent, text))
 
     def _read(self, page: str) -> None:
-        stack, unseen, at, main = [0], 0, 0, False
+        stack, unseen, at, main = Stack(self.tag), 0, 0, False
         while at < len(page):
             m = TOKEN.search(page, at)
             if m is None or m.start() > at:
                 unseen -= self._close_head(stack, page[at : m.start() if m else None])
             if not unseen and (m is None or m.start() > at):
-                self._text(stack[-1], html.unescape(page[at : m.start() if m else None]), main)
+                self._text(stack.top, html.unescape(page[at : m.start() if m else None]), main)
             if m is None:
                 break
             at = m.end()
             if m[2] is not None and not unseen:
-                self._text(stack[-1], m[2], main)
+                self._text(stack.top, m[2], main)
             if m[4] is None:
                 main = (main or m[0] == MAIN_OPEN) and m[0] != MAIN_CLOSE
                 continue
             tag = m[4].lower()
             if m[3]:
-                if any(self.tag[i] == tag for i in reversed(stack)):
+                if stack.open[tag]:
                     while True:
-                        done = self.tag[stack.pop()]
+                        done = stack.pop()
                         unseen -= done in UNSEEN
                         if done == tag:
                             break
                 elif tag in ("p", "br"):
-                    self.texts.append((stack[-1], " "))
+                    self.texts.append((stack.top, " "))
                 continue
             if tag not in IN_HEAD:
                 unseen -= self._close_head(stack)
             unseen -= self._close_before(tag, stack)
             if tag in ("br", "hr"):
-                self.texts.append((stack[-1], " "))
+                self.texts.append((stack.top, " "))
                 continue
-            node = self._add(stack[-1], tag, hint_of(m[5]) if m[5] else "none", main)
+            node = self._add(stack.top, tag, hint_of(m[5]) if m[5] else NOTHING, main)
             if tag in VOID or m[5].endswith("/") and tag in UNSEEN:
                 continue
             if tag in RAW:
@@ -117,18 +140,18 @@ class Tree:
                     self._text(node, html.unescape(page[at : end.start() if end else None]), main)
                 at = end.end() if end else len(page)
                 continue
-            stack.append(node)
+            stack.push(node)
             unseen += tag in UNSEEN
 
-    def _close_head(self, stack: list[int], text: str = "x") -> int:
+    def _close_head(self, stack: Stack, text: str = "x") -> int:
         """Pop an open head before what cannot stand in one, a start tag or ``text``; how many were unseen."""
         closed = 0
-        while self.tag[stack[-1]] == "head" and not text.isspace():
+        while self.tag[stack.top] == "head" and not text.isspace():
             stack.pop()
             closed += 1
         return closed
 
-    def _close_before(self, tag: str, stack: list[int]) -> int:
+    def _close_before(self, tag: str, stack: Stack) -> int:
         """Pop what a start tag ends unasked; how many of those were unseen."""
         closed, names = 0, None
         if tag in ENDS_PARAGRAPH:
@@ -137,22 +160,21 @@ class Tree:
             names, stop = CLOSES[tag]
         elif tag == "body":
             names, stop = {"head"}, {"body"}
-        if names:
+        if names and any(stack.open[x] for x in names):
             found = None
-            for depth in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[depth]] in names:
+            for depth in range(len(stack.nodes) - 1, 0, -1):
+                if self.tag[stack.nodes[depth]] in names:
                     found = depth
                     if tag != "tr":
                         break
-                elif self.tag[stack[depth]] in stop:
+                elif self.tag[stack.nodes[depth]] in stop:
                     break
-            if found is not None:
-                closed = sum(self.tag[i] in UNSEEN for i in stack[found:])
-                del stack[found:]
+            while found is not None and len(stack.nodes) > found:
+                closed += stack.pop() in UNSEEN
         return closed
 
-    def signs(self) -> list[tuple[str, ...]]:
-        """For each node: tag group, that with the parent's, hint, share of its text in links, length of its text."""
+    def signs(self) -> list[tuple]:
+        """For each node: tag group, that with the parent's, words of its class, share of its text in links, length of its text."""
         n = len(self.tag)
         length, linked = [0] * n, [0] * n
         for node, text in self.texts:
@@ -179,16 +201,16 @@ class Tree:
         return [BOTH if x and y else MAIN if x else ELSE for x, y in zip(has, lacks, strict=True)]
 
 
-def hint_of(attributes: str) -> str:
+def hint_of(attributes: str) -> tuple[str, ...]:
+    """The words of class, id and role, sorted; or that the element is not shown."""
     words: set[str] = set()
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and "true" in value or name == "style" and "display:none" in value.replace(" ", ""):
-            return "hidden"
+            return HIDDEN
         if name in ("class", "id", "role"):
             words.update(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
-    aside, main = bool(words & ASIDE_WORDS), bool(words & MAIN_WORDS)
-    return "aside" if aside else "main" if main else "none"
+    return tuple(sorted(words - {"none", "hidden"})) or NOTHING
 
 
 def share_of(linked: int, length: int) -> str:
@@ -210,7 +232,8 @@ class Model:
             for i, signs in enumerate(tree.signs()):
                 total[state[i]] += 1
                 for k, sign in enumerate(signs):
-                    counts[k].setdefault(sign, [0] * STATES)[state[i]] += 1
+                    for one in sign if k == 2 else (sign,):
+                        counts[k].setdefault(one, [0] * STATES)[state[i]] += 1
                 if i:
                     edges[state[tree.parent[i]]][state[i]] += 1
         counts[2]["hidden"] = [0, total[ELSE], 0]
@@ -218,11 +241,16 @@ class Model:
         self.edge = [[e / sum(row) for e in row] for row in edges]
         self.known: dict[tuple, list[float]] = {}
 
-    def unary(self, signs: tuple[str, ...]) -> list[float]:
+    def unary(self, signs: tuple) -> list[float]:
         """A node's potential, scaled to a sum of 1; a sign never seen says nothing."""
+        words = tuple(w for w in signs[2] if w in self.sign[2])
+        signs = (*signs[:2], words, *signs[3:])
         if signs not in self.known:
-            out = [math.prod(kind.get(s, NEUTRAL)[x] for kind, s in zip(self.sign, signs, strict=True)) for x in range(STATES)]
-            self.known[signs] = [x / sum(out) for x in out]
+            own = [kind.get(s, NEUTRAL) for k, (kind, s) in enumerate(zip(self.sign, signs, strict=True)) if k != 2]
+            out = [math.prod(x) for x in zip(*own, *(self.sign[2][w] for w in words), strict=True)]
+            if len(self.known) < MOST_KNOWN:
+                self.known[signs] = [x / sum(out) for x in out]
+            return [x / sum(out) for x in out]
         return self.known[signs]
 
     def marginals(self, tree: Tree) -> list[float]:
@@ -253,12 +281,12 @@ def trained() -> Model:
     return Model([Tree(p) for p in pages()])
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, model: Model | None = None) -> str:
     """The main text of a page: blocks in page order, joined by one space."""
     if not page:
         return ""
     tree = Tree(page)
-    keep, block = trained().marginals(tree), list(range(len(tree.tag)))
+    keep, block = (model or trained()).marginals(tree), list(range(len(tree.tag)))
     for i, tag in enumerate(tree.tag):
         if i and tag not in BLOCKS:
             block[i] = block[tree.parent[i]]
@@ -275,9 +303,11 @@ def main_text(page: str | None) -> str:
 def main_texts(pages_table: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages_table``."""
 
+    model = pages_table.sparkSession.sparkContext.broadcast(trained())  # a few hundred counts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x) for x in b.column("html").to_pylist()]
+            texts = [main_text(x.as_py(), model.value) for x in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages_table.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))

@@ -14,8 +14,8 @@ succeeded are kept, so a retried task leaves no wrong reference. Payloads are
 held one at a time.
 
 Cases: a null text is empty; the payload is padded with bytes 0 to a positive
-multiple of 64, so an empty one has 64; equal texts share all values; an empty
-table gives an empty result.
+multiple of 64, so an empty one has 64; equal texts and repeated rows share all
+values; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import filesystem, map_batches, scratch, stage
+from fieldmark.llm.common import dealt, filesystem, free, map_batches, scratch, split_join, stage
 
 ROW = 64
 SHARD_BYTES = 256 << 20
@@ -129,10 +129,17 @@ def write_shards(docs: DataFrame) -> DataFrame:
 
 
 def catalogue(rows: DataFrame) -> DataFrame:
-    """One place ``(digest, shard, offset, length)`` for each digest, sorted by shard so that a task reads few of them."""
+    """One place ``(digest, shard, offset, length)`` for each digest and how many rows have it."""
     place = F.min(F.struct("shard", "offset", "length")).alias("p")
-    found = rows.groupBy("digest").agg(place).select("digest", "p.*")
-    return found.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    found = rows.groupBy("digest").agg(place, F.count(F.lit(1)).alias("times"))
+    return stage(found.select("digest", "p.*", "times"), "media-places")
+
+
+def in_order(places: DataFrame) -> DataFrame:
+    """``places`` dealt over tasks by the bytes they name and sorted by shard, so that a task reads few of them."""
+    count, size = places.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    dealt_out = dealt(places.select("digest", "shard", "offset", "length"), count, size, "shard", "offset")
+    return dealt_out.sortWithinPartitions("shard", "offset")
 
 
 def ranges(batch: pa.RecordBatch, opened: dict, most: int | None = None) -> Iterator[bytes]:
@@ -182,6 +189,9 @@ def with_features(places: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with what its stored payload shows, read back from the shards."""
     rows = write_shards(docs)
-    seen = stage(with_features(with_metadata(catalogue(rows))), "media-features")
+    places = catalogue(rows)
+    seen = with_features(with_metadata(in_order(places)))
+    seen = stage(seen.join(places.select("digest", "times"), "digest"), "media-features")
+    free(places)
     columns = "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length"
-    return rows.select("doc_id", "n_bytes", "digest").join(seen, "digest").select("doc_id", "n_bytes", *columns)
+    return split_join(rows.select("doc_id", "n_bytes", "digest"), seen, ["digest"], "times").select("doc_id", "n_bytes", *columns)

@@ -12,14 +12,17 @@ A leaf's budget is a number of whole epochs over its documents and a prefix of
 one more. The prefix is taken in that epoch's seeded order (md5 of seed, epoch
 and doc_id), up to and with the document that reaches the budget. The order's
 first three hex digits deal a leaf into 4096 buckets whose sums are added up
-first, so only the one bucket where the prefix ends is ordered row by row: a
-leaf with a third of all rows does not go to one task. What comes out per leaf
+first, the next three deal the one where the prefix ends into as many again, and
+only the one of those where it ends is ordered row by row: a leaf with a third
+of all rows does not go to one task, nor does a 16-millionth of it matter. What comes out per leaf
 is a cut-off key, and documents are compared with it without being moved.
 
 Cases: tokens are words ``[^\\x20\\x09-\\x0D]+``; a null or empty text has none
 and is taken only where its leaf repeats whole epochs or the prefix passes it;
 null lang or source is the leaf ''; siblings that tie are taken in name order;
-a weight of 0 leaves a node out; an empty table gives an empty result.
+a weight of 0 leaves a node out; repeated rows are ordered next to each other and
+taken each; further columns, whatever their names, are kept; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import stage, with_row_key
+from fieldmark.llm.common import row_key, stage
 
 LEVELS = ["domain", "lang", "source"]
 #: Leaf plans of at most so many rows are broadcast; a row is under 200 bytes.
 BROADCAST_LEAVES = 50_000
+#: Leading hex digits of the order key that a leaf is dealt by, level by level.
+DIGITS = 3, 6
 Weights = dict[str, dict[str, int]]
 
 
@@ -47,9 +52,10 @@ def tokens_of(text: Column) -> Column:
 
 
 def with_leaf(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``leaf_domain``, ``leaf_lang`` and ``leaf_source``."""
+    """``(rk_id, rk_text, row, text, leaf_domain, leaf_lang, leaf_source)``: the caller's columns nested, so that no name of theirs meets one of ours."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return docs.withColumns({"leaf_domain": domain_of(source), "leaf_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "leaf_source": source})
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    return docs.select(*row_key(), F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), domain_of(source).alias("leaf_domain"), lang.alias("leaf_lang"), source.alias("leaf_source"))
 
 
 def weight_of(level: str, weights: Weights) -> Column:
@@ -94,11 +100,12 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 4, weights
     """The selected rows of ``docs`` with ``leaf_domain, leaf_lang, leaf_source`` and ``n_epochs``, how often each is taken.
 
     ``weights`` has integer weights by level and name, ``*`` for the others (1
-    if not given). Every row of ``docs`` counts; its columns stay as they are.
+    if not given). Every row of ``docs`` counts; its columns stay as they are,
+    but those named like one of the four are replaced.
     """
     path = [F.col(f"leaf_{x}").alias(x) for x in LEVELS]
-    keyed = with_leaf(with_row_key(docs))
-    rows = stage(keyed.select("rk_id", "rk_text", *path, tokens_of(F.col("text").cast("string")).alias("tokens")), "token-counts")
+    keyed = with_leaf(docs)
+    rows = stage(keyed.select("rk_id", "rk_text", *path, tokens_of(F.col("text")).alias("tokens")), "token-counts")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = leaf_budgets(leaves, budget_share, max_epochs, weights or {})
     whole = F.expr("if(tokens > 0, budget div tokens, 0L)")
@@ -109,11 +116,14 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 4, weights
         return F.broadcast(df) if small else df
 
     key = order_key(seed, F.col("whole") + 1)
-    partial = rows.join(hint(plan.where("rest > 0")), LEVELS).withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
-    sums = partial.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("tokens").alias("tokens"))
-    before = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("tokens")
-    ends = sums.withColumn("before", before).where("before < rest and before + tokens >= rest").select(*LEVELS, "bucket", "before")
-    last = partial.join(hint(ends), [*LEVELS, "bucket"])
+    last = rows.join(hint(plan.where("rest > 0")), LEVELS).withColumns({"key": key, "before": F.lit(0).cast("long")})
+    for digits in DIGITS:
+        last = last.withColumn("bucket", F.substring("key", 1, digits))
+        sums = last.groupBy(*LEVELS, "bucket", "before", "rest").agg(F.sum("tokens").alias("tokens"))
+        opens = F.col("before") + F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("tokens")
+        ends = sums.withColumn("opens", opens).where("opens < rest and opens + tokens >= rest")
+        ends = stage(ends.select(*LEVELS, "bucket", F.col("opens").alias("before")), "leaf-buckets")  # at most one row a leaf
+        last = last.drop("before").join(hint(ends), [*LEVELS, "bucket"])
     order = Window.partitionBy(*LEVELS).orderBy("key", "rk_id", "rk_text")
     last = last.withColumn("so_far", F.col("before") + F.sum("tokens").over(order) - F.col("tokens")).where("so_far < rest")
     cuts = last.groupBy(*LEVELS).agg(F.max(F.struct("key", "rk_id", "rk_text")).alias("cut"))
@@ -123,4 +133,6 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 4, weights
     taken = keyed.join(hint(cuts), [f"leaf_{x}" for x in LEVELS])
     more = F.struct(key.alias("key"), "rk_id", "rk_text") <= F.col("cut")
     taken = taken.withColumn("n_epochs", F.col("whole") + F.when(more, 1).otherwise(0)).where("n_epochs > 0")
-    return taken.select(*docs.columns, *[f"leaf_{x}" for x in LEVELS], "n_epochs")
+    own = [*[f"leaf_{x}" for x in LEVELS], "n_epochs"]
+    given = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in own]
+    return taken.select(*given, *own)

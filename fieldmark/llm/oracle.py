@@ -63,3 +63,28 @@ keyed AS (SELECT d.*, whole, rest, md5('{seed}:' || (whole + 1) || ':' || doc_id
 run AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - tokens AS so_far FROM keyed)
 SELECT doc_id, domain, lang, source, CAST(whole + CASE WHEN so_far < rest THEN 1 ELSE 0 END AS BIGINT) AS n_epochs FROM run WHERE whole > 0 OR so_far < rest
 """
+
+SUFFIX_DEDUP = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, i, md5(b[i:i + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200) x),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM win SEMI JOIN twice ON win.h = twice.h),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM hits GROUP BY doc_id, island),
+opens AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM spans),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM opens),
+runs AS (SELECT doc_id, min(a) AS a, max(z) AS z FROM numbered GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, coalesce(lag(z) OVER w, 1) AS a, a AS z FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a) UNION ALL SELECT doc_id, max(z), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT gaps.doc_id, string_agg(hex(CASE WHEN z IS NULL THEN b[gaps.a:] WHEN z > gaps.a THEN b[gaps.a:z - 1] ELSE ''::BLOB END), '' ORDER BY gaps.a, z NULLS LAST) AS x FROM gaps JOIN d ON gaps.doc_id = d.doc_id GROUP BY gaps.doc_id),
+counted AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(x), b)) AS kept_sha256
+FROM d LEFT JOIN counted ON d.doc_id = counted.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+#: Base32 from the hex digits of a SHA-1: five hex digits are four letters.
+WARC = r"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+letters AS (SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1) FOR k IN range(0, 32)], '') AS payload_digest FROM p),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS response FROM letters)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < response THEN response END AS refers_to FROM last
+"""

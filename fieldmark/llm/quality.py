@@ -1,36 +1,45 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is a bag of terms over its bytes: trigrams of character classes, and
-how far its words, neighbouring words and lines repeat. Terms are weighted by
-inverse document frequency and projected on the leading right singular vectors
-of the labelled sample (latent semantic analysis). Every document is compared
-with all labelled vectors by exact blocked cosine products, and the labels of
-the nearest are averaged with their similarities as weights.
-
-The sample is at most ``max_labelled`` rows, the first by md5 of doc_id, so
-what the driver collects and broadcasts (``max_labelled`` x ``rank`` numbers)
-has a fixed bound. Labels, lang, source and doc_id are never terms.
+A text is a bag of terms of two kinds: its words, hashed into ``WORD_TERMS``
+buckets, and signs of its form (trigrams of character classes, and how far its
+words, neighbouring words and lines repeat). Each kind is weighted by inverse
+document frequency and scaled to length one, so neither drowns the other, and
+both together are projected on the leading right singular vectors of the
+labelled sample (latent semantic analysis by truncated singular value
+decomposition). Every document is compared with all labelled vectors by exact
+blocked cosine products, and the labels of the nearest are averaged with their
+similarities as weights.
+
+The sample is at most ``max_labelled`` rows, the first by md5 of doc_id. What
+the driver collects of it is sparse and bounded by ``max_labelled`` x the number
+of terms, what it broadcasts by (``max_labelled`` + terms) x ``rank`` numbers.
+Labels, lang, source and doc_id are never terms.
 
 Cases: a null text is empty; an empty text has no neighbours and scores the
 sample's share of label 1; with no labelled rows every score is 1, so nothing
-is rejected; of several labels of a doc_id the least counts; ties in similarity
-(to six digits) go to the earlier row of the sample; an empty table gives an
-empty result.
+is rejected; of several labels of a doc_id the least counts, of several texts
+one; repeated rows get equal scores; ties in similarity (to six digits) go to the earlier row of the
+sample; long texts are counted in chunks; further columns, whatever their names,
+are kept by ``accepted``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from fieldmark.llm.common import map_batches
 
-MAX_LABELLED, RANK, NEIGHBOURS, THRESHOLD = 4096, 32, 15, 0.7
+MAX_LABELLED, RANK, NEIGHBOURS, THRESHOLD = 4096, 64, 15, 0.7
+#: Buckets of words; documents scored at once.
+WORD_TERMS, ROWS = 4096, 256
 #: Bytes whose trigrams are counted at once.
 CHUNK = 1 << 20
 
@@ -45,12 +54,13 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
-N_TERMS = 8**3 + 3
+FORM_TERMS = 8**3 + 3
+N_TERMS = FORM_TERMS + WORD_TERMS
 
 
 def terms_of(text: bytes) -> np.ndarray:
-    """Square roots of the shares of each term in a text."""
-    out = np.zeros(N_TERMS)
+    """Square roots of the shares of each term among those of its kind in a text."""
+    out = np.zeros(N_TERMS, np.float32)
     if not text:
         return out
     codes = np.frombuffer(text, np.uint8)
@@ -59,7 +69,10 @@ def terms_of(text: bytes) -> np.ndarray:
         out[:512] += np.bincount(c[:-2] * 64 + c[1:-1] * 8 + c[2:], minlength=512)
     out[:512] /= max(1, len(codes) - 2)
     words, lines = text.split(), text.split(b"\n")
-    out[512] = len(set(words)) / max(1, len(words))
+    counts = Counter(words)
+    buckets = np.fromiter((xxhash.xxh32_intdigest(w) % WORD_TERMS for w in counts), np.int64, len(counts))
+    np.add.at(out, FORM_TERMS + buckets, np.fromiter(counts.values(), np.float32, len(counts)) / max(1, len(words)))
+    out[512] = len(counts) / max(1, len(words))
     out[513] = sum(map(bytes.__eq__, words[1:], words)) / max(1, len(words))
     out[514] = 1 - len(set(lines)) / len(lines)
     return np.sqrt(out)
@@ -70,19 +83,43 @@ def held_out_rows() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sparse(terms: np.ndarray) -> bytes:
+    """A term vector as the places and values of what is not zero."""
+    at = np.flatnonzero(terms)
+    return at.astype("<u2").tobytes() + terms[at].astype("<f4").tobytes()
+
+
+def dense(packed: bytes) -> np.ndarray:
+    out, n = np.zeros(N_TERMS, np.float32), len(packed) // 6
+    out[np.frombuffer(packed, "<u2", n)] = np.frombuffer(packed, "<f4", n, 2 * n)
+    return out
+
+
 class Model:
     """The projection and the labelled vectors."""
 
     def __init__(self, terms: np.ndarray, labels: np.ndarray, rank: int) -> None:
         self.labels = labels
-        self.idf = np.log((1 + len(terms)) / (1 + (terms > 0).sum(0))) + 1
-        weighted = terms * self.idf
-        vectors = np.linalg.eigh(weighted.T @ weighted)[1]  # right singular vectors, the largest last
-        self.axes = vectors[:, ::-1][:, :rank]
+        self.idf = (np.log((1 + len(terms)) / (1 + (terms > 0).sum(0))) + 1).astype(np.float32)
+        weighted = self.weighted(terms)
+        # right singular vectors by the smaller of the two products
+        if len(terms) < N_TERMS:
+            values, left = np.linalg.eigh(weighted.astype(np.float64) @ weighted.T)
+            values, left = values[::-1][:rank], left[:, ::-1][:, :rank]
+            some = values > 1e-9 * max(values[0], 1e-300)
+            self.axes = (weighted.T @ (left[:, some] / np.sqrt(values[some]))).astype(np.float32)
+        else:
+            self.axes = np.linalg.eigh(weighted.T @ weighted)[1][:, ::-1][:, :rank].astype(np.float32)
         self.known = self.project(terms)
 
+    def weighted(self, terms: np.ndarray) -> np.ndarray:
+        x = terms * self.idf
+        for kind in (slice(FORM_TERMS), slice(FORM_TERMS, None)):
+            x[:, kind] /= np.maximum(np.linalg.norm(x[:, kind], axis=1, keepdims=True), 1e-12)
+        return x
+
     def project(self, terms: np.ndarray) -> np.ndarray:
-        x = terms * self.idf @ self.axes
+        x = (self.weighted(terms) @ self.axes).astype(np.float64)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def scores(self, terms: np.ndarray, neighbours: int) -> np.ndarray:
@@ -106,13 +143,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            terms = [terms_of(t or b"").astype(np.float32).tobytes() for t in b.column("text").cast(pa.large_binary()).to_pylist()]
+            terms = [sparse(terms_of(t.as_py() or b"")) for t in b.column("text").cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([b.column("order"), b.column("quality"), pa.array(terms, pa.binary())], ["order", "quality", "terms"])
 
-    rows = map_batches(texts.select("order", "quality", "text"), run, "order string, quality double, terms binary").orderBy("order", "terms").limit(max_labelled).collect()
+    rows = map_batches(texts.select("order", "quality", "text"), run, "order string, quality double, terms binary")
+    rows = rows.groupBy("order").agg(F.min("terms").alias("terms"), F.first("quality").alias("quality")).orderBy("order").collect()  # at most max_labelled
     if not rows:
         return None
-    terms = np.array([np.frombuffer(r.terms, np.float32) for r in rows], np.float64)
+    terms = np.array([dense(r.terms) for r in rows])
     return Model(terms, np.array([r.quality for r in rows]), rank)
 
 
@@ -129,9 +167,16 @@ def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             if known is None or not b.num_rows:
                 score = np.ones(b.num_rows)
             else:
-                texts = b.column("text").cast(pa.string()).cast(pa.large_binary()).to_pylist()
-                score = known.scores(np.array([terms_of(t or b"") for t in texts]), neighbours)
+                texts = b.column("text").cast(pa.string()).cast(pa.large_binary())
+                parts = [texts.slice(at, ROWS) for at in range(0, len(texts), ROWS)]
+                score = np.concatenate([known.scores(np.array([terms_of(t.as_py() or b"") for t in part]), neighbours) for part in parts])
             made = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "score", "predicted"])
 
     return map_batches(rest, run, schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    nested = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return scored(nested, labels).where("predicted = 1").select("row.*")

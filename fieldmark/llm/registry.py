@@ -79,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_benchmark_decontamination": oracle.DECONTAMINATION,
+        "op6_suffix_array_dedup": oracle.SUFFIX_DEDUP,
         "op8_substring_dedup": oracle.SUBSTRING_DEDUP,
         "op9_mixing": oracle.mixing(MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS, MIX_SEED),
+        "op10_warc": oracle.WARC,
     }

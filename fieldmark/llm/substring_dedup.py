@@ -1,13 +1,13 @@
 """Removal of word windows that an earlier document has, by super-k-mers.
 
-Consecutive windows that share a minimiser are one super-k-mer (a phrase, see
-``phrases``). It travels as one packed string to its minimiser's bucket, where
-sorting its windows brings equal ones together, with the smallest doc_id that
-has them.
+Consecutive windows that share a minimiser are one super-k-mer. It travels as
+one packed string to its minimiser's bucket, where sorting its windows brings
+equal ones together, with the smallest doc_id that has them (see ``super_kmers``).
 
 Cases: a null text has no words; a text of fewer words than ``width`` keeps
 all; a null doc_id counts as later than any other; rows with equal doc_id are
-not earlier than each other; an empty table gives an empty result.
+not earlier than each other; further columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from fieldmark.llm.common import map_batches, with_row_key
-from fieldmark.llm.phrases import packed_texts, repeated_spans, span_lists, unzip
+from fieldmark.llm.common import doc_id, keyed_texts, map_batches
+from fieldmark.llm.prefix_free import packed_texts, unzip
+from fieldmark.llm.super_kmers import earlier_spans, span_lists
 
 
 def remove_earlier_windows(docs: DataFrame, width: int = 50, gram: int = 8) -> DataFrame:
@@ -29,9 +29,8 @@ def remove_earlier_windows(docs: DataFrame, width: int = 50, gram: int = 8) -> D
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A word goes if a window that
     covers it also starts in a document with a smaller doc_id.
     """
-    keyed = with_row_key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    texts = keyed.select("rk_id", "rk_text", "text")
-    spans = repeated_spans(texts, "word", width, gram, earlier=True)
+    texts = keyed_texts(docs)
+    spans = earlier_spans(texts, width, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -47,4 +46,4 @@ def remove_earlier_windows(docs: DataFrame, width: int = 50, gram: int = 8) -> D
 
     joined = packed_texts(texts).join(spans, ["rk_id", "rk_text"], "left")
     done = map_batches(joined, run, "rk_id long, n_words long, n_removed long, kept binary")
-    return done.select(F.when(F.col("rk_id") != 2**63 - 1, F.col("rk_id")).alias("doc_id"), "n_words", "n_removed", "kept")
+    return done.select(doc_id(), "n_words", "n_removed", "kept")

@@ -1,78 +1,71 @@
-"""Removal of repeated byte strings by minimiser buckets, as in ``substring_dedup``.
+"""Removal of byte strings that repeat, by prefix-free parsing.
 
-Every document is cut into overlapping phrases by its windows' minimisers, and
-the distinct phrases of a minimiser are sorted by their windows in one bucket
-(see ``phrases``). There is no prefix-free parse and no suffix array: only the
-equality of windows of one ``width`` is asked for, and no order of the corpus.
-Highly repetitive text costs one phrase however often it stands.
+The dictionary of phrases and the order of the parse give corpus order, where
+equal strings are neighbours (see ``prefix_free``).
 
 Cases: a null text is empty; a text shorter than ``width`` keeps all its bytes;
 matches never cross documents; a repeated row is a document of its own, so both
-lose what they share; an empty table gives an empty result.
+lose what they share; a null doc_id is no different from any; further columns,
+whatever their names, are kept by ``without_repeats`` and ignored otherwise; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import map_batches, with_row_key
-from fieldmark.llm.phrases import packed_texts, repeated_spans, span_lists, unzip
+from fieldmark.llm.common import doc_id, keyed_rows, keyed_texts, map_batches
+from fieldmark.llm.prefix_free import packed_texts, removed, repeated_spans, unzip
 
 
-def stripped(texts: list[bytes], spans: pa.Array) -> list[pa.Array]:
-    """Of each text: its bytes, removed bytes, removed runs, and what is kept."""
-    rows = []
-    for text, (start, stop) in zip(texts, span_lists(spans), strict=True):
-        edges = [0, *np.stack((start, stop), 1).ravel().tolist(), len(text)]
-        kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-        rows.append((len(text), len(text) - len(kept), len(start), kept))
-    columns = zip(*rows, strict=True) if rows else [()] * 4
-    return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+def stripped(text: bytes, open_: pa.Scalar, once: pa.Scalar, width: int) -> tuple[int, int, int, bytes]:
+    """A text's bytes, removed bytes, removed runs, and what is kept."""
+    start, stop = removed(len(text), open_, once, width)
+    edges = [0, *(x for span in zip(start.tolist(), stop.tolist(), strict=True) for x in span), len(text)]
+    kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
+    return len(text), len(text) - len(kept), len(start), kept
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 32) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     """``(doc_id, rk_id, rk_text, n_bytes, n_removed, n_spans, kept)`` for every row of ``docs``.
 
     Every byte covered by a ``width``-byte string that also starts anywhere
     else is removed, the first copy included; ``kept`` has the others in order.
     """
-    keyed = with_row_key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    texts = keyed.select("rk_id", "rk_text", "text")
-    spans = repeated_spans(texts, "byte", width, gram, earlier=False)
-
+    texts = keyed_texts(docs)
+    names = ["rk_id", "rk_text", "n_bytes", "n_removed", "n_spans", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = stripped([unzip(z) for z in b.column("z").to_pylist()], b.column("spans"))
-            names = ["rk_id", "rk_text", "n_bytes", "n_removed", "n_spans", "kept"]
-            yield pa.RecordBatch.from_arrays([b.column("rk_id"), b.column("rk_text"), *columns], names)
+            rows = [stripped(unzip(z.as_py()), o, s, width) for z, o, s in zip(b.column("z"), b.column("open"), b.column("once"), strict=True)]
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("rk_id"), b.column("rk_text"), *made], names)
 
-    joined = packed_texts(texts).join(spans, ["rk_id", "rk_text"], "left")
+    joined = packed_texts(texts).join(repeated_spans(texts, width), ["rk_id", "rk_text"], "left")
     done = map_batches(joined, run, "rk_id long, rk_text long, n_bytes long, n_removed long, n_spans long, kept binary")
-    doc_id = F.when(F.col("rk_id") != 2**63 - 1, F.col("rk_id")).alias("doc_id")
-    return done.select(doc_id, "rk_id", "rk_text", "n_bytes", "n_removed", "n_spans", "kept")
+    return done.select(doc_id(), *names)
 
 
-def without_repeats(docs: DataFrame, width: int = 200, gram: int = 32) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     """Every row and column of ``docs``, its ``text`` without repeated strings and ``n_chars``, if there, to match.
 
     A character that a removed run cuts through is removed whole.
     """
-    keyed = with_row_key(docs.withColumn("text", F.col("text").cast("string")))
-    spans = repeated_spans(keyed.select("rk_id", "rk_text", "text"), "byte", width, gram, earlier=False)
-    schema = docs.withColumn("text", F.col("text").cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            given = b.column("text").cast(pa.large_binary()).to_pylist()
-            kept = stripped([t or b"" for t in given], b.column("spans"))[3].to_pylist()
-            texts = pa.array([None if t is None else k.decode("utf-8", "ignore") for t, k in zip(given, kept, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if f.name == "text" else b.column(f.name) for f in schema], schema.names)
-
-    done = map_batches(keyed.join(spans, ["rk_id", "rk_text"], "left").select(*schema.names, "spans"), run, schema)
-    return done.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else done
+            given = b.column("text").cast(pa.large_binary())
+            kept = [stripped(t.as_py(), o, s, width)[3].decode("utf-8", "ignore") if t.is_valid else None for t, o, s in zip(given, b.column("open"), b.column("once"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(kept, pa.string())], ["row", "text"])
+
+    rows = keyed_rows(docs).withColumn("text", F.col("row.text").cast("string"))
+    joined = rows.join(repeated_spans(keyed_texts(docs), width), ["rk_id", "rk_text"], "left").select("row", "text", "open", "once")
+    row = joined.schema["row"].dataType
+    done = map_batches(joined, run, joined.select("row", "text").schema)
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(row["n_chars"].dataType)} if "n_chars" in row.names else {})
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in row.names])

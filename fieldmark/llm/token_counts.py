@@ -12,12 +12,15 @@ blocks of a run, so one huge file is no single task.
 Cases: an empty document counts 0; tokens after the last separator are an
 unterminated last document (``ended`` is false); a document longer than many
 blocks is stitched over all of them; an empty file has no documents; a null
-text is empty; an empty table gives an empty result.
+text is empty; long texts, runs of blanks too, are encoded as a whole; repeated
+rows are counted each; further columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,12 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import filesystem, map_batches, scratch, stage
+from fieldmark.llm.common import dealt, filesystem, free, map_batches, scratch, stage
 
+#: Where every executor finds the vocabulary; clusters have their own path, see ``write_token_files``.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The split pattern that goes with the vocabulary file (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_DOCUMENT = 50256
+#: A run of white space (the Unicode property, as the pattern has it) that is taken out before the pattern, which overflows its stack on a long one.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 BLOCK_BYTES = 4 << 20
 #: Blocks in a run of the prefix scan.
 RUN = 1024
@@ -47,7 +53,13 @@ def encoding(vocabulary: str) -> tiktoken.Encoding:
 
 
 def encode(text: str, vocabulary: str) -> list[int]:
-    return encoding(vocabulary).encode_ordinary(text)
+    """The text's ids. A long run of white space is a piece of its own in the pattern, without its last character if more text follows, so it is encoded as such."""
+    enc, out, at = encoding(vocabulary), [], 0
+    for run in BLANKS.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        out += enc.encode_ordinary(text[at : run.start()]) + enc._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return out + enc.encode_ordinary(text[at:])
 
 
 def write_token_files(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = END_OF_DOCUMENT, width: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -101,8 +113,9 @@ def scan(files: DataFrame, separator: int = END_OF_DOCUMENT, width: int = 2, blo
 
     fields = {"file": pa.string(), "block": pa.int64(), "first_token": pa.int64(), "n": pa.int64(), "seps": pa.int64(), "last": pa.int64(), "lengths": pa.list_(pa.int64())}
     schema = pa.schema(list(fields.items()))
-    dealt = blocks_of(files, block_bytes).repartitionByRange("file", "block")
-    seen = stage(map_batches(dealt, search, "file string, block long, first_token long, n long, seps long, last long, lengths array<long>"), "block-scan")
+    blocks = blocks_of(files, block_bytes)
+    count, size_of_all = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    seen = stage(map_batches(dealt(blocks, count, size_of_all, "file", "block"), search, "file string, block long, first_token long, n long, seps long, last long, lengths array<long>"), "block-scan")
 
     rows = seen.drop("lengths").withColumns({"run": F.expr(f"block div {RUN}"), "last_at": F.col("first_token") + F.col("last")})
     runs = rows.groupBy("file", "run").agg(F.sum("seps").alias("seps"), F.max("last_at").alias("last_at"), F.max("block").alias("end"))

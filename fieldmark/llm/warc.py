@@ -14,7 +14,8 @@ a gap inside a member has the member's place and says which bytes of its content
 Cases: a null html is an empty payload; of equal payloads of at least
 ``revisit_bytes`` bytes the record with the largest page_id is the response
 and the others revisit it; repeated rows with that page_id are all responses; a
-null page_id is smaller than any; an empty table gives no archives.
+null page_id is smaller than any; further columns are ignored; an empty table
+gives no archives.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import filesystem, map_batches, scratch, stage
+from fieldmark.llm.common import dealt, filesystem, map_batches, scratch, split_join, stage
 
 ARCHIVE_BYTES = 64 << 20
 WINDOW = 1 << 20
@@ -250,10 +251,11 @@ def decided(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumns(
         {"digest": F.sha1("html"), "size": F.octet_length("html"), "rk": F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63)))}
     )
-    digests = keyed.where(F.col("size") >= revisit_bytes).select("rk", "digest")
-    last = stage(digests.groupBy("digest").agg(F.max("rk").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "responses")
-    revisits = digests.join(last, "digest").where("rk < refers_to").select("rk", "digest", "refers_to").distinct()
-    return keyed.join(revisits, ["rk", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    digests = keyed.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.max("rk").alias("last"), F.count(F.lit(1)).alias("n"))
+    last = stage(digests.where("n > 1"), "responses")
+    met = split_join(keyed, last, ["digest"], "n", "left", narrow=True)  # html moves only where the repeated digests are too many to broadcast
+    earlier = (F.col("rk") < F.col("last")) & (F.col("size") >= revisit_bytes)
+    return met.select("page_id", "url", "html", F.when(earlier, F.col("last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -289,11 +291,12 @@ def write_archives(pages: DataFrame) -> DataFrame:
 _FOUND = "archive string, start long, stop long, error string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record of ``archives`` and every quarantined gap (``error`` is set), through the salvage reader.
+def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """Every record of ``archives`` ``(archive, bytes, records)`` and every quarantined gap (``error`` is set), through the salvage reader.
 
-    ``payload`` is null for revisits; length and digest are the full payload's
-    for both kinds, computed from the bytes read where they are there.
+    ``payload`` is null for revisits, and for all if not asked for; length and
+    digest are the full payload's for both kinds, computed from the bytes read
+    where they are there. Archives are dealt over tasks by their bytes.
     """
     names = [x.split()[0] for x in _FOUND.split(", ")]
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
@@ -311,7 +314,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
         stated = next((x.partition(b":")[2].strip().decode() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
         size, digest = (len(payload), sha1_base32(payload)) if response else (number(stated), fields.get("warc-payload-digest", "").removeprefix("sha1:"))
         ids = number(fields.get("x-page-id")), fields.get("warc-target-uri"), fields.get("warc-type"), number(fields.get("x-refers-to-page-id"))
-        return archive, start, stop, None, *ids, size, digest, payload if response else None
+        return archive, start, stop, None, *ids, size, digest, payload if response and payloads else None
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -331,10 +334,33 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     if rows:
                         yield batch(rows)
 
-    return map_batches(archives.select("archive").repartitionByRange("archive"), run, _FOUND)
+    count, size = archives.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return map_batches(dealt(archives.select("archive"), count, size, "archive"), run, _FOUND)
+
+
+class LostRecords(RuntimeError):
+    """Archives gave back other numbers of records than were written."""
+
+
+def checked(archives: DataFrame, found: DataFrame) -> DataFrame:
+    """The records of ``found``, what was read of ``archives``; raises LostRecords, naming the gap log, if any archive lacks some."""
+    spark = found.sparkSession
+    seen = stage(found.drop("payload"), "read-back")
+    read = seen.groupBy("archive").agg(F.count_if(F.col("error").isNull()).alias("read"), F.count_if(F.col("error").isNotNull()).alias("gaps"))
+    odd = archives.join(read, "archive", "left").where("coalesce(read, 0) != records or gaps > 0")
+    if not odd.isEmpty():
+        log = scratch(spark, "warc-gaps")
+        seen.where(F.col("error").isNotNull()).select("archive", "start", "stop", "error").write.parquet(log)
+        lost = odd.agg(F.count(F.lit(1)), F.sum(F.col("records") - F.coalesce("read", F.lit(0)))).first()
+        raise LostRecords(f"{lost[0]} archives lack {lost[1]} records; gaps are logged in {log}")
+    return seen
 
 
 def archived(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` to archives and read them back: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``."""
-    found = read_archives(write_archives(decided(pages, revisit_bytes))).where("error is null")
+    """Write ``pages`` to archives and read them back: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``.
+
+    All records must come back: a gap, or a count that differs from what was written, raises LostRecords.
+    """
+    archives = write_archives(decided(pages, revisit_bytes))
+    found = checked(archives, read_archives(archives, payloads=False))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -12,7 +12,9 @@ import pyarrow as pa
 import pytest
 from llm import brute
 
-from fieldmark.llm import common, decontaminate, html_text, labelled_pages, media, mixing, phrases, quality, registry, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from fieldmark.llm import common, decontaminate, html_text, labelled_pages, media, mixing, prefix_free, quality, registry, simhash, substring_dedup, suffix_dedup, super_kmers, token_counts, warc
+from llm.held_out_pages import PAGES
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string"
 TINY = "/root/testdata/sf0.001"
@@ -44,12 +46,14 @@ def test_simhash_query_equals_brute_force(spark, texts):
     assert by_text(registry.op1_simhash_near_dedup(spark, TINY).collect()) == by_text(brute.near_duplicates(texts))
 
 
-def test_pivot_filter_keeps_every_close_pair(spark):
+@pytest.mark.parametrize(("blocks", "fragment"), [(5, 2048), (5, 1), (6, 2048), (7, 2048), (8, 2048)])
+def test_pivot_tables_give_every_close_pair(spark, monkeypatch, blocks, fragment):
+    monkeypatch.setattr(simhash, "FRAGMENT", fragment)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     near = [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, n, replace=False))) for b in base for n in (1, 2, 3, 4)]
     fps = np.unique(np.concatenate((base, np.array(near, np.uint64)))).view(np.int64).tolist()
-    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), blocks=blocks).collect()}
     want = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     assert got == want and len(want) > 100
 
@@ -60,24 +64,63 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(50)}
 
 
-def test_keep_one_keeps_a_row_of_each_class(spark, hard):
-    kept = simhash.keep_one(spark.createDataFrame(hard, DOCS)).collect()
-    classes = brute.components([brute.fingerprint(t) for _, t in hard])
-    assert len(kept) == len(set(classes))
+def test_without_pivots_there_are_no_candidates(monkeypatch):
+    fps = np.array([5, 7, 2**40], np.uint64)
+    with_pivots = simhash.part_coordinates(fps, simhash.part_masks(3, 5))
+    monkeypatch.setattr(simhash, "PART_PIVOTS", 0)
+    assert len(np.unique(with_pivots[:, 0])) > 1 and not simhash.part_coordinates(fps, simhash.part_masks(3, 5)).any()
 
 
-@pytest.mark.parametrize("most", [1 << 19, 50])
-def test_repeats_equal_brute_force(spark, hard, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "repeated_spans", partial(phrases.repeated_spans, max_bucket=most))
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(hard, DOCS).repartition(4)).collect()
-    assert by_text((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == by_text(brute.repeats(hard))
+def test_blocks_grow_with_the_fingerprints():
+    assert [simhash.blocks_for(n, 3) for n in (0, 1 << 20, 1 << 30, 1 << 35, 1 << 50)] == [5, 5, 6, 7, 8]
 
 
-@pytest.mark.parametrize("most", [1 << 19, 50])
-def test_earlier_windows_equal_brute_force(spark, hard, monkeypatch, most):
-    monkeypatch.setattr(substring_dedup, "repeated_spans", partial(phrases.repeated_spans, max_bucket=most))
-    got = substring_dedup.remove_earlier_windows(spark.createDataFrame(hard, DOCS).repartition(4)).collect()
-    assert by_text((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got) == by_text(brute.earlier_windows(hard))
+@pytest.fixture(scope="module")
+def repeating(hard):
+    rng = np.random.default_rng(3)
+    parts = ["".join(rng.choice(list("abc"), 400)) for _ in range(5)]
+    mixed = [(9200 + i, parts[i % 5][rng.integers(150) : rng.integers(200, 400)] + "".join(rng.choice(list("abc"), rng.integers(50))) + parts[i * 3 % 5][rng.integers(100) :]) for i in range(40)]
+    return [*hard, *mixed, (9300, "\0" * 500), (9301, "b" + "\0" * 450 + "c"), (9302, "\0" * 199 + "q")]
+
+
+@pytest.mark.parametrize("most", [1 << 14, 0, 3])
+def test_repeats_equal_brute_force(spark, repeating, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", partial(prefix_free.repeated_spans, max_bucket=most))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(repeating, DOCS).repartition(4)).collect()
+    assert by_text((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == by_text(brute.repeats(repeating))
+
+
+def test_corpus_order_of_one_bucket_equals_brute_force():
+    """All pieces in one bucket, as if every hash were equal: bytes alone decide."""
+    from collections import Counter
+
+    rng, width = np.random.default_rng(8), 20
+    texts = [rng.integers(97, 100, 60).astype(np.uint8).tobytes() for _ in range(6)]
+    texts += [texts[i % 6][5:50] + rng.integers(97, 100, 9).astype(np.uint8).tobytes() for i in range(12)] + [texts[0]]
+    rows = []
+    for k, t in enumerate(texts):
+        for a, e, at in prefix_free.cut(t, np.array([0]), np.array([len(t) - width + 1]), width):
+            if at >= 0:
+                rows.append((0, t[a : e - 1 + width], at - a, 1, k, 0, a))
+    pieces = Counter((r[1], r[2]) for r in rows)
+    rows = [(*r[:3], pieces[r[1], r[2]], *r[4:]) for r in {(r[1], r[2]): r for r in rows}.values()]
+    counts = Counter()
+    for r in rows:
+        for i in range(len(r[1]) - width + 1):
+            counts[r[1][i : i + width]] += r[3]
+    want = {(i, x) for i, r in enumerate(rows) for x in range(len(r[1]) - width + 1) if counts[r[1][x : x + width]] < 2}
+    got = {(i, x) for i, lo, hi in prefix_free.taken_once(rows, width) for a, b in zip(lo.tolist(), hi.tolist(), strict=True) for x in range(a, b)}
+    assert got == want and len(want) > 10 and len(rows) > 10
+
+
+@pytest.mark.parametrize(("most", "weak"), [(1 << 14, False), (0, False), (3, False), (1 << 14, True)])
+def test_earlier_windows_equal_brute_force(spark, hard, monkeypatch, most, weak):
+    rows = [*hard, (None, "only null " * 40 + hard[5][1]), (None, "only null " * 40 + hard[5][1]), (hard[8][0], hard[8][1] + " more")]
+    if weak:  # every string has the same hash
+        monkeypatch.setattr(super_kmers, "string_hash", lambda: F.lit(7).cast("long"))
+    monkeypatch.setattr(substring_dedup, "earlier_spans", partial(super_kmers.earlier_spans, max_bucket=most))
+    got = substring_dedup.remove_earlier_windows(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert by_text((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got) == by_text(brute.earlier_windows(rows))
 
 
 def test_dedup_queries_equal_brute_force(spark, texts):
@@ -89,11 +132,47 @@ def test_dedup_queries_equal_brute_force(spark, texts):
 
 def test_segments_do_not_change_what_repeats():
     rng = np.random.default_rng(1)
-    units = rng.integers(0, 4, 3000).astype(np.uint8)
-    whole = phrases.parse([phrases.hashed(units, "byte")], 200, 32)
-    assert whole[2].sum() == 3000 - 199
-    halves = [phrases.hashed(units[:1699], "byte"), phrases.hashed(units[1500:], "byte")]
-    assert phrases.parse(halves, 200, 32)[2].sum() == 3000 - 199
+    units = super_kmers.hashed([bytes([65 + x]) for x in rng.integers(0, 4, 3000)])
+    assert super_kmers.parse([units], 50, 8)[2].sum() == 3000 - 49
+    assert super_kmers.parse([units[:1549], units[1500:]], 50, 8)[2].sum() == 3000 - 49
+
+
+def test_triggers_do_not_depend_on_blocks(monkeypatch):
+    text = np.random.default_rng(2).integers(97, 123, 5000).astype(np.uint8).tobytes()
+    whole = prefix_free.triggers(text).tolist()
+    monkeypatch.setattr(prefix_free, "BLOCK", 37)
+    assert prefix_free.triggers(text).tolist() == whole and len(whole) > 50
+
+
+def test_hot_keys_split_the_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, i) for i in range(90)] + [(k, k) for k in range(2, 12)], "k long, v long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top")).where("k < 9")
+    for how in ("inner", "left"):
+        want = by_text(rows.join(table, "k", how).collect())
+        for hot in (1, 4, 4096):
+            monkeypatch.setattr(common, "HOT_KEYS", hot)
+            for narrow in (False, True):
+                assert by_text(common.split_join(rows, table, ["k"], "n", how, narrow).collect()) == want
+
+
+def test_scratch_is_in_the_stated_folder_and_freed(spark):
+    from pathlib import Path
+
+    before = common.made(spark)
+    a, b = (common.stage(spark.range(3), "free-test") for _ in range(2))
+    assert a.scratch.startswith("file:/") and Path(a.scratch[5:]).exists()
+    common.free_since(spark, before, b.scratch)
+    assert not Path(a.scratch[5:]).exists() and b.count() == 3
+    common.free(b)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    rows = spark.range(60).coalesce(1).select(F.repeat(F.lit("x"), 5_000_000).alias("text"))
+    assert max(r.n for r in common.map_batches(rows, sizes, "n long").collect()) < 150 << 20
 
 
 def test_cut_characters_are_removed_whole(spark):
@@ -121,7 +200,9 @@ def test_media_round_trip(spark, hard):
         stored = media.encoded(payload)
         assert media.decoded(stored) == payload
         want.append((d, len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), 64, len(payload) // 64))
-    names = "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height"
+        parts = [sum(payload[i * len(payload) // 64 : (i + 1) * len(payload) // 64]) for i in range(64)]
+        want[-1] += (f"{sum(1 << 63 - i for i, x in enumerate(parts) if 64 * x > sum(parts)):016x}",)
+    names = "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature"
     assert by_text(tuple(r[n] for n in names) for r in got) == by_text(want)
 
 
@@ -187,14 +268,48 @@ def test_head_ends_without_its_end_tag(head):
 
 def test_signs_come_from_whole_attribute_names():
     for attributes in (' href="/hidden-lake"', " alt='Hidden falls'", ' href="/page?id=comment-12"', " href=/a?class=nav", ' data-id="comment" data-hidden title="style=display:none"'):
-        assert html_text.hint_of(attributes) == "none", attributes
+        assert html_text.hint_of(attributes) not in (html_text.HIDDEN,) and "nav" not in html_text.hint_of(attributes) and "comment" not in html_text.hint_of(attributes), attributes
     for attributes in (" hidden", ' href="x" HIDDEN=""', " aria-hidden = 'true'", ' class="a"style="display: none"'):
-        assert html_text.hint_of(attributes) == "hidden", attributes
-    assert html_text.hint_of(' alt="x" id=comment-12') == "aside" and html_text.hint_of("\nclass='postBody'") == "main"
+        assert html_text.hint_of(attributes) == html_text.HIDDEN, attributes
+    assert html_text.hint_of(' alt="x" id=comment-12') == ("comment",) and html_text.hint_of("\nclass='postBody'") == ("body", "post")
 
 
 def test_deep_nesting_needs_no_recursion():
-    assert html_text.main_text("<div>" * 3000 + "<p>deep text</p>") in ("deep text", "")
+    tree = html_text.Tree("<article>" + "<div>" * 30_000 + "<p>deep text</p>")
+    assert len(tree.tag) == 30_004 and all(0 <= x <= 1 for x in html_text.trained().marginals(tree))
+    assert html_text.main_text("<article>" + "<div>" * 5 + "<p>deep text</p>") == "deep text"
+
+
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 32_000):
+        began = time.perf_counter()
+        html_text.main_text("<div>" * n + "</p></b></li>" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
+
+
+def test_linked_list_items_are_kept():
+    page = "<main><h1>Q</h1><ul><li><a>a long item that is a link</a></li><li>x</li></ul><p>the text goes on after the list for a while</p></main>"
+    assert html_text.main_text(page) == "Q a long item that is a link x the text goes on after the list for a while"
+
+
+def test_held_out_layouts():
+    """Word-level precision and recall on layouts that no labelled page has."""
+    import html
+    import re
+    from collections import Counter
+
+    scores = []
+    for page in PAGES:
+        main = " ".join(re.findall(r"\[\[(.*?)\]\]", page, re.S))
+        want = Counter(html.unescape(re.sub("<[^>]*>", " ", main)).split())
+        got = Counter(html_text.main_text(page.replace("[[", "").replace("]]", "")).split())
+        both = sum((want & got).values())
+        scores.append(2 * both / (sum(want.values()) + sum(got.values())))
+    assert np.mean(scores) >= 0.9, scores
 
 
 def test_extraction_query_gives_the_article(spark):
@@ -218,6 +333,18 @@ def test_token_counts_equal_direct_counts(spark, hard, monkeypatch, block):
     assert by_text(got) == by_text((d, len(token_counts.encode(t or "", token_counts.VOCABULARY))) for d, t in rows)
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 20_000 + "b c", " \n" * 9000 + "x", "x" + "\t" * 15_000, " " * 30_000 + "\n1", "\u3000" * 12_000 + "é", "x \x1c" * 5000])
+def test_blank_runs_encode_as_the_whole_text(text):
+    whole = token_counts.encoding(token_counts.VOCABULARY).encode_ordinary(text)
+    assert token_counts.encode(text, token_counts.VOCABULARY) == whole
+
+
+def test_very_long_blank_runs_are_counted(spark):
+    rows = [(1, " " * 3_000_000), (2, "a" + "\n" * 2_000_000 + " b"), (3, "x")]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[3] == 1 and got[1] > 100_000 and got[2] > 100_000
+
+
 def test_scan_of_an_unterminated_file(spark, tmp_path):
     np.array([7, 50256, 50256, 1, 2], "<u2").tofile(tmp_path / "a.bin")
     (tmp_path / "b.bin").write_bytes(b"")
@@ -235,6 +362,28 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([r.predicted for r in good]) > 0.98 and np.mean([1 - r.predicted for r in bad]) > 0.97
 
 
+def test_votes_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{TINY}/labels.parquet"))
+    rows = docs.orderBy("doc_id").limit(60).collect()
+    terms = np.array([quality.terms_of((r.text or "").encode()) for r in rows])
+    got, vectors = model.scores(terms, 15), model.project(terms)
+    for score, v in zip(got, vectors, strict=True):
+        near = sorted(((-round(float(v @ k), 6), i) for i, k in enumerate(model.known)))[:15]
+        weight = [max(0.0, -c) for c, _ in near]
+        want = sum(w * model.labels[i] for w, (_, i) in zip(weight, near, strict=True)) / sum(weight) if sum(weight) else model.labels.mean()
+        assert abs(score - want) < 1e-5
+
+
+def test_axes_are_singular_vectors():
+    rng = np.random.default_rng(4)
+    terms = np.abs(rng.normal(size=(40, quality.N_TERMS))).astype(np.float32)
+    model = quality.Model(terms, np.ones(40), 8)
+    right = np.linalg.svd(model.weighted(terms), full_matrices=False)[2][:8]
+    assert np.allclose(np.abs(np.sum(model.axes.T * right, axis=1)), 1, atol=1e-3)
+    assert np.array_equal(quality.dense(quality.sparse(terms[0])), terms[0])
+
+
 def test_quality_edge_cases(spark, hard):
     docs = spark.createDataFrame([(*r, 0.0) for r in hard], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(r[0], i % 2, 0) for i, r in enumerate(hard[:20])], "doc_id long, quality int, toxic int")
@@ -279,6 +428,35 @@ def test_archives_round_trip(spark):
     assert by_text(got) == by_text(pages(rows))
 
 
+def test_archives_are_read_by_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(320).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("x"), 2000).alias("html"), F.lit(None).cast("long").alias("refers_to"))
+    archives = warc.write_archives(rows.repartition(16))
+    assert archives.count() == 16
+    tasks = warc.read_archives(archives).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= 2 * spark.sparkContext.defaultParallelism
+    order = token_counts.blocks_of(spark.createDataFrame([("f", 64 << 20)], "file string, bytes long"))
+    assert common.dealt(order, order.count(), 64 << 20, "file", "block").select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+    places = spark.createDataFrame([(str(i), f"s{i % 3}", i * 1000, 1000, 1) for i in range(64)], "digest string, shard string, offset long, length long, times long")
+    assert media.in_order(places).select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+
+
+def test_lost_records_raise_and_are_logged(spark):
+    rows = [(i, "u", f"<p>{i}</p>" * 50, None) for i in range(40)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, refers_to long").repartition(2))
+    assert warc.checked(archives, warc.read_archives(archives)).count() == 40
+    from pathlib import Path
+
+    path = Path(archives.first().archive.removeprefix("file:"))
+    data = bytearray(path.read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    path.write_bytes(bytes(data))
+    with pytest.raises(warc.LostRecords, match="1 archives lack 1 records") as e:
+        warc.checked(archives, warc.read_archives(archives))
+    assert spark.read.parquet(str(e.value).rsplit(" ", 1)[1]).count() == 1
+
+
 def test_archive_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{TINY}/pages.parquet").select("page_id", "url", "html").collect()]
     assert by_text(registry.op10_warc(spark, TINY).collect()) == by_text(pages(rows))
@@ -329,10 +507,11 @@ def test_salvage_recovers_and_logs_gaps(zipped):
 def test_empty_tables_and_clashing_columns(spark, tmp_path, name):
     """Empty tables give no rows, and columns named like the operators' own do no harm."""
     rows = {"documents": ("doc_id long, text string, lang string, source string, n_chars long", [(1, "a b", "en", "src1", 3), (2, None, None, None, None)]), "pages": ("page_id long, url string, html string", [(1, "u", "<p>x</p>"), (2, None, None)]), "benchmark": ("item_id long, text string", [(1, "a b")]), "labels": ("doc_id long, quality int, toxic int", [(1, 1, 0)])}
-    extra = ", fp long, rk_idx long, tokens long, spans string, words string, digest string, score2 double, leaf string, win long"
+    names = "fp rk_id rk_text tokens spans words digest score predicted row open once leaf_lang n_epochs win hash window archive records text2".split()
+    extra = "".join(f", {n} string" for n in names)
     for kind, keep in (("empty", 0), ("full", 2)):
         for table, (schema, data) in rows.items():
-            frame = spark.createDataFrame([(*r, *[None] * 9) for r in data[:keep]], schema + extra)
+            frame = spark.createDataFrame([(*r, *names) for r in data[:keep]], schema + extra)
             frame.write.mode("overwrite").parquet(f"{tmp_path}/{kind}/{table}.parquet")
         got = registry.queries()[name](spark, f"{tmp_path}/{kind}").count()
         assert got == keep or name == "op9_mixing" and got <= keep

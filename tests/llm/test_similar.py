@@ -1,4 +1,4 @@
-"""The pipeline's near-copy stage against brute-force Jaccard similarity."""
+"""The pipeline's near-duplicate stage against brute-force Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -9,20 +9,28 @@ import pytest
 from llm import brute
 
 import corpus_pipeline
-from fieldmark.llm import near_copies
+from fieldmark.llm import similar
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 STAGE = corpus_pipeline.STAGES[1][1]
 
 
-def kept(rows):
-    """The (doc_id, text) that stay: the smallest of each component of five-word Jaccard >= 0.8."""
+def word_sets(rows):
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(brute.LOWER))
         n = min(5, len(w))
         sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
-    of = list(range(len(rows)))
+    return sets
+
+
+def similarity(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def kept(rows):
+    """The (doc_id, text) that stay: the smallest of each component of five-word Jaccard >= 0.8."""
+    sets, of = word_sets(rows), list(range(len(rows)))
 
     def find(x):
         while of[x] != x:
@@ -46,19 +54,20 @@ def edited(words, n, rng):
     return " ".join(words)
 
 
-@pytest.mark.parametrize(("big", "leaders"), [(16, 6), (2, 1)])
-def test_stage_equals_brute_force_jaccard(spark, monkeypatch, big, leaders):
-    monkeypatch.setattr(near_copies, "BIG", big)
-    monkeypatch.setattr(near_copies, "LEADERS", leaders)
+@pytest.mark.parametrize(("big", "leaders"), [(16, 3), (2, 1)])
+def test_large_groups_equal_brute_force(spark, monkeypatch, big, leaders):
+    """Groups of close copies, whose links no fingerprint misses."""
+    monkeypatch.setattr(similar, "BIG", big)
+    monkeypatch.setattr(similar, "LEADERS", leaders)
     rng = random.Random(7)
     texts = [None, "", " \t", "One two", "one  TWO", "one two three"]
-    for g in range(30):  # pairs on both sides of 0.8
-        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(30, 300))]
-        texts += [" ".join(words), edited(words, rng.randrange(1, 2 + len(words) // 40), rng)]
-    base = [f"b{i}" for i in range(120)]
-    texts += [edited(base, rng.randrange(4), rng) for _ in range(60)]  # one large group
+    for g in range(30):  # pairs well on either side of 0.8
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(100, 300))]
+        texts += [" ".join(words), edited(words, 1 if g % 2 else len(words) // 20, rng)]
+    base = [f"b{i}" for i in range(200)]
+    texts += [edited(base, rng.randrange(3), rng) for _ in range(60)]  # one large group
     line = " ".join(f"line{i}" for i in range(12))  # one line that many short texts hold
-    texts += [f"{line} {' '.join(f't{rng.random()}' for _ in range(rng.randrange(1, 9)))}" for _ in range(60)]
+    texts += [f"{line} {' '.join(f't{rng.random()}' for _ in range(rng.randrange(6, 12)))}" for _ in range(60)]
     rows = list(enumerate(texts)) + [(None, "no id at all in this row"), (None, "")]
     rng.shuffle(rows)
     docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS).repartition(5)
@@ -67,15 +76,21 @@ def test_stage_equals_brute_force_jaccard(spark, monkeypatch, big, leaders):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == kept(rows)
 
 
-def test_pairs_beyond_three_bits_are_found(spark):
+def test_recall_and_precision_at_the_similarity(spark):
     rng = random.Random(1)
     rows = []
-    for g in range(20):
+    for g in range(150):
         words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
-        rows += [(2 * g, " ".join(words)), (2 * g + 1, edited(words, 3, rng))]  # Jaccard about 0.86
-    assert sum(bin(brute.fingerprint(x) ^ brute.fingerprint(y)).count("1") > 3 for (_, x), (_, y) in zip(rows[::2], rows[1::2], strict=True)) > 5
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, edited(words, rng.randrange(2, 7), rng))]  # Jaccard about 0.72 to 0.91
+    sets = word_sets(rows)
+    near = [similarity(*sets[i : i + 2]) for i in range(0, len(rows), 2)]
     docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS)
-    assert sorted(r.doc_id for r in STAGE(spark, docs, "").collect()) == [2 * g for g in range(20)]
+    of = {r.rk_id: r["class"] for r in similar.classes(docs).collect()}
+    linked = [of[2 * g] == of[2 * g + 1] for g in range(150)]
+    assert not any(x for x, s in zip(linked, near, strict=True) if s < 0.8)
+    true = [x for x, s in zip(linked, near, strict=True) if s >= 0.8]
+    assert len(true) > 60 and sum(true) / len(true) >= 0.9
+    assert len(set(of.values())) == len(rows) - sum(linked)
 
 
 def test_empty_table(spark):
