@@ -100,26 +100,28 @@ class Model:
 
     def __init__(self, terms: np.ndarray, labels: np.ndarray, rank: int) -> None:
         self.labels = labels
-        self.idf = (np.log((1 + len(terms)) / (1 + (terms > 0).sum(0))) + 1).astype(np.float32)
+        self.idf = (np.log((1 + len(terms)) / (1 + np.count_nonzero(terms, axis=0))) + 1).astype(np.float32)
         weighted = self.weighted(terms)
-        # right singular vectors by the smaller of the two products
-        if len(terms) < N_TERMS:
-            values, left = np.linalg.eigh(weighted.astype(np.float64) @ weighted.T)
-            values, left = values[::-1][:rank], left[:, ::-1][:, :rank]
-            some = values > 1e-9 * max(values[0], 1e-300)
-            self.axes = (weighted.T @ (left[:, some] / np.sqrt(values[some]))).astype(np.float32)
-        else:
-            self.axes = np.linalg.eigh(weighted.T @ weighted)[1][:, ::-1][:, :rank].astype(np.float32)
+        # leading right singular vectors by subspace iteration, in memory of a few columns beside the sample
+        k = min(rank + 32, *weighted.shape)
+        basis = np.random.default_rng(0).normal(size=(weighted.shape[1], k)).astype(np.float32)
+        for _ in range(8):
+            basis = np.linalg.qr(weighted.T @ (weighted @ basis))[0]
+        turn = np.linalg.svd((weighted @ basis).astype(np.float64), full_matrices=False)[2]
+        self.axes = (basis @ turn[:rank].T).astype(np.float32)
+        del weighted
         self.known = self.project(terms)
 
     def weighted(self, terms: np.ndarray) -> np.ndarray:
         x = terms * self.idf
         for kind in (slice(FORM_TERMS), slice(FORM_TERMS, None)):
-            x[:, kind] /= np.maximum(np.linalg.norm(x[:, kind], axis=1, keepdims=True), 1e-12)
+            part = x[:, kind]
+            part /= np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part))[:, None], 1e-12)
         return x
 
     def project(self, terms: np.ndarray) -> np.ndarray:
-        x = (self.weighted(terms) @ self.axes).astype(np.float64)
+        parts = [self.weighted(terms[at : at + ROWS]) @ self.axes for at in range(0, len(terms), ROWS)]
+        x = np.concatenate(parts).astype(np.float64)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def scores(self, terms: np.ndarray, neighbours: int) -> np.ndarray:
@@ -150,7 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ra
     rows = rows.groupBy("order").agg(F.min("terms").alias("terms"), F.first("quality").alias("quality")).orderBy("order").collect()  # at most max_labelled
     if not rows:
         return None
-    terms = np.array([dense(r.terms) for r in rows])
+    terms = np.zeros((len(rows), N_TERMS), np.float32)
+    for i, r in enumerate(rows):
+        terms[i] = dense(r.terms)
     return Model(terms, np.array([r.quality for r in rows]), rank)
 
 
