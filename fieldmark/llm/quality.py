@@ -98,19 +98,22 @@ def dense(packed: bytes) -> np.ndarray:
 class Model:
     """The projection and the labelled vectors."""
 
-    def __init__(self, terms: np.ndarray, labels: np.ndarray, rank: int) -> None:
+    def __init__(self, sample: list[bytes], labels: np.ndarray, rank: int) -> None:
+        def blocks() -> Iterator[np.ndarray]:  # the sample stays packed, so that the driver holds a block of it at most
+            for at in range(0, len(sample), ROWS):
+                yield np.array([dense(x) for x in sample[at : at + ROWS]])
+
         self.labels = labels
-        self.idf = (np.log((1 + len(terms)) / (1 + np.count_nonzero(terms, axis=0))) + 1).astype(np.float32)
-        weighted = self.weighted(terms)
-        # leading right singular vectors by subspace iteration, in memory of a few columns beside the sample
-        k = min(rank + 32, *weighted.shape)
-        basis = np.random.default_rng(0).normal(size=(weighted.shape[1], k)).astype(np.float32)
+        seen = sum(np.count_nonzero(x, axis=0) for x in blocks())
+        self.idf = (np.log((1 + len(sample)) / (1 + seen)) + 1).astype(np.float32)
+        # leading right singular vectors by subspace iteration
+        k = min(rank + 32, len(sample), N_TERMS)
+        basis = np.random.default_rng(0).normal(size=(N_TERMS, k)).astype(np.float32)
         for _ in range(8):
-            basis = np.linalg.qr(weighted.T @ (weighted @ basis))[0]
-        turn = np.linalg.svd((weighted @ basis).astype(np.float64), full_matrices=False)[2]
+            basis = np.linalg.qr(sum(x.T @ (x @ basis) for x in map(self.weighted, blocks())))[0]
+        turn = np.linalg.svd(np.concatenate([x @ basis for x in map(self.weighted, blocks())]).astype(np.float64), full_matrices=False)[2]
         self.axes = (basis @ turn[:rank].T).astype(np.float32)
-        del weighted
-        self.known = self.project(terms)
+        self.known = np.concatenate([self.project(x) for x in blocks()])
 
     def weighted(self, terms: np.ndarray) -> np.ndarray:
         x = terms * self.idf
@@ -120,8 +123,7 @@ class Model:
         return x
 
     def project(self, terms: np.ndarray) -> np.ndarray:
-        parts = [self.weighted(terms[at : at + ROWS]) @ self.axes for at in range(0, len(terms), ROWS)]
-        x = np.concatenate(parts).astype(np.float64)
+        x = (self.weighted(terms) @ self.axes).astype(np.float64)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def scores(self, terms: np.ndarray, neighbours: int) -> np.ndarray:
@@ -152,10 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ra
     rows = rows.groupBy("order").agg(F.min("terms").alias("terms"), F.first("quality").alias("quality")).orderBy("order").collect()  # at most max_labelled
     if not rows:
         return None
-    terms = np.zeros((len(rows), N_TERMS), np.float32)
-    for i, r in enumerate(rows):
-        terms[i] = dense(r.terms)
-    return Model(terms, np.array([r.quality for r in rows]), rank)
+    return Model([bytes(r.terms) for r in rows], np.array([r.quality for r in rows]), rank)
 
 
 def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rank: int = RANK, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:

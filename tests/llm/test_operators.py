@@ -378,7 +378,7 @@ def test_votes_equal_brute_force(spark):
 def test_axes_are_singular_vectors():
     rng = np.random.default_rng(4)
     terms = np.abs(rng.normal(size=(40, quality.N_TERMS))).astype(np.float32)
-    model = quality.Model(terms, np.ones(40), 8)
+    model = quality.Model([quality.sparse(t) for t in terms], np.ones(40), 8)
     right = np.linalg.svd(model.weighted(terms), full_matrices=False)[2][:8]
     assert np.allclose(np.abs(np.sum(model.axes.T * right, axis=1)), 1, atol=1e-3)
     assert np.array_equal(quality.dense(quality.sparse(terms[0])), terms[0])
