@@ -17,6 +17,8 @@ HOT_KEYS = 4096
 READ_BYTES = 64 << 20
 #: Rows of a narrow table (keys and numbers, under 200 bytes each) that may be broadcast.
 NARROW_ROWS = 100_000
+#: Tasks that the edges of one node are dealt over.
+SALTS = 16
 #: The row key of a null doc_id: later than any other.
 NO_ID = 2**63 - 1
 _no_folder: dict[str, str] = {}
@@ -149,6 +151,14 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def hub_join(edges: DataFrame, least: DataFrame, small: bool) -> DataFrame:
+    """``edges(a, b)`` joined with ``least(a, m)``: broadcast if small, else with every hub's edges dealt over ``SALTS`` tasks."""
+    if small:
+        return edges.join(F.broadcast(least), "a")
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` of longs, as ``(node, root)``; root is the least node.
 
@@ -165,13 +175,14 @@ def components(edges: DataFrame) -> DataFrame:
         if state[0] == 0 or state == before:
             break
         before = state
+        small = state[0] <= NARROW_ROWS
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = split_join(both.where("b > a"), least, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = split_join(large, least, ["a"], "n")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = hub_join(both.where("b > a"), least, small).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        joined = hub_join(large, least, small)
         after = stage(
-            small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(),
+            joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(),
             "edges",
         )
         free(now)

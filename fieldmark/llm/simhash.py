@@ -139,7 +139,7 @@ def shared_parts(rows: DataFrame) -> DataFrame:
     """A row for each part of the table's ``rows`` whose coordinates ``m`` rows, two or more, share; ``parts`` gives way to ``key, m``."""
     keys = rows.select("*", F.explode("parts").alias("key")).drop("parts")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return split_join(keys, stage(counts, "shared-coordinates"), ["key"], "m")
+    return split_join(keys, stage(counts, "shared-coordinates"), ["key"], "m", narrow=True)
 
 
 def packed_distances(fp: Column, refs: np.ndarray) -> list[Column]:
@@ -182,12 +182,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, n_pivo
     reps = stage(fps.groupBy("fp").agg(F.min("rk_id").alias("rep"), F.count(F.lit(1)).alias("times")), "distinct-fingerprints")
     member = components(links(reps.select("fp"), max_bits, n_pivots)).withColumnRenamed("node", "fp")
     member = stage(member.join(reps.select("fp", "rep"), "fp"), "members")
-    least = member.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n"))
-    linked = split_join(member, least, ["root"], "n").select("fp", "root", "least")
+    least = stage(member.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+    linked = split_join(member, least, ["root"], "n", narrow=True).select("fp", "root", "least")
     classes = reps.join(linked, "fp", "left")
     classes = stage(classes.select("fp", "times", F.coalesce("root", "fp").alias("class_fp"), F.coalesce("least", "rep").alias("component")), "classes")
-    free(reps, member)
-    return split_join(fps, classes, ["fp"], "times").select(
+    free(reps, member, least)
+    return split_join(fps, classes, ["fp"], "times", narrow=True).select(
         doc_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"),
         "rk_id", "rk_text", "class_fp",

@@ -113,7 +113,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int =
     big = shared.where(F.col("m") > BIG)
     first = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")) for k in range(LEADERS)]
     leaders = big.groupBy("key").agg(F.array_distinct(F.transform(F.array(*first), lambda x: x.dropFields("h"))).alias("l"), F.count(F.lit(1)).alias("times"))
-    led = split_join(big.select("key", F.col("node").alias("b"), F.col("n").alias("m_b")), leaders, ["key"], "times")
+    leaders = stage(leaders, "leaders")
+    led = split_join(big.select("key", F.col("node").alias("b"), F.col("n").alias("m_b")), leaders, ["key"], "times", narrow=True)
     led = led.select(F.struct(F.col("b").alias("node"), F.col("m_b").alias("n")).alias("b"), F.explode("l").alias("a")).where("a.node != b.node").where(possible("a", "b", similarity))
     pairs = stage(few.unionByName(led.select(*pair("a", "b"))).distinct(), "pairs")
 
@@ -127,7 +128,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int =
     largest = part.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
     largest = largest.agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.sum("k").alias("times"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     # of two texts in different components one at least is outside the largest
-    outside = split_join(part, largest, ["key"], "times").where("c != most").alias("a")
+    outside = split_join(part, stage(largest, "largest"), ["key"], "times", narrow=True).where("c != most").alias("a")
     across = (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("a.most")) | (F.col("a.node") < F.col("b.node")))
     left = outside.join(part.alias("b"), [*same, across]).select(*pair("a", "b"))
     left = stage(left.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
@@ -135,7 +136,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int =
     free(shared, part, sets, pairs, left)
 
     named = stage(nodes.select("h1", "h2", "node", "times").join(components(links), "node", "left").select("h1", "h2", "times", F.coalesce("root", "node").alias("class")), "classes")
-    return split_join(rows.select("rk_id", "rk_text", "h1", "h2"), named, ["h1", "h2"], "times").select("rk_id", "rk_text", "class")
+    return split_join(rows.select("rk_id", "rk_text", "h1", "h2"), named, ["h1", "h2"], "times", narrow=True).select("rk_id", "rk_text", "class")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int = FINGERPRINTS) -> DataFrame:
