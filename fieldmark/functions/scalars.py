@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark import schemas
@@ -95,6 +95,12 @@ def to_numeric(value: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def nan_as_null(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with NaN as null in its floating-point columns, or in those of ``columns`` that are."""
+    floats = [c for c, t in df.dtypes if t in ("double", "float") and (not columns or c in columns)]
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats})
+
+
 def fingerprint(text: Column) -> Column:
     """The first 12 hex digits of the SHA-256."""
     return F.substring(F.sha2(text, 256), 1, 12)

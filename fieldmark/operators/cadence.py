@@ -100,13 +100,13 @@ def frequency(modes: DataFrame) -> DataFrame:
 
 def large_gaps(intervals: DataFrame, multiplier: float = GAP_MULTIPLIER) -> DataFrame:
     """Positive intervals longer than ``multiplier`` times their file's median: how many, and the longest."""
+    at_least(multiplier, 1, "multiplier", strict=True)
     found = gaps_of_counts(interval_counts(intervals), multiplier)
     files = intervals.select("file").distinct().join(found, "file", "left")
     return files.select("file", F.coalesce("large_gap_count", F.lit(0)).alias("large_gap_count"), "largest_gap_seconds")
 
 
 def gaps_of_counts(counts: DataFrame, multiplier: float) -> DataFrame:
-    at_least(multiplier, 1, "multiplier", strict=True)
     positive = counts.where("interval_us > 0")
     medians = positive.groupBy("file").agg(F.percentile("interval_us", 0.5, F.col("n")).alias("median_us"))
     gap = F.col("interval_us") > F.col("median_us") * multiplier
@@ -157,16 +157,24 @@ def file_audit(sensor: DataFrame, multiplier: float = GAP_MULTIPLIER) -> DataFra
         F.count_if(flags.zero_heart_rate(rate)).alias("heart_rate_zero_rows"),
         F.count_if(flags.bad_heart_rate_nonzero(rate)).alias("suspicious_nonzero_heart_rate_rows"),
     )
+    # all statistics of a file's intervals from one pass over its counts, which stay where the file is
     counts, d, n = interval_counts(bridged_intervals(sensor)), F.col("interval_us"), F.col("n")
-    positive, none = F.when(d > 0, d), F.lit(0)
+    positive, of_file = F.when(d > 0, d), Window.partitionBy("file")
+    counts = counts.withColumns({"median_us": F.percentile(positive, 0.5, n).over(of_file), "ms": scalars.round_ms(positive)})
+    same = Window.partitionBy("file", "ms")
+    counts = counts.withColumns({"ms_n": F.sum("n").over(same), "ms_seen": F.min("seen").over(same), "gap": d > F.col("median_us") * multiplier})
+
+    def total(c: Column) -> Column:
+        return F.sum(F.when(c, n).otherwise(0))
+
     stats = counts.groupBy("file").agg(
-        F.sum(F.when(d == 0, n).otherwise(none)).alias("duplicate_intervals"), F.sum(F.when(d < 0, n).otherwise(none)).alias("backward_intervals"), F.sum(F.when(d > 0, n).otherwise(none)).alias("positive_intervals"),
-        scalars.seconds(F.percentile(positive, 0.5, n)).alias("median_interval_seconds"),
+        total(d == 0).alias("duplicate_intervals"), total(d < 0).alias("backward_intervals"), total(d > 0).alias("positive_intervals"),
+        scalars.seconds(F.first("median_us")).alias("median_interval_seconds"),
         scalars.seconds(F.min(positive)).alias("minimum_interval_seconds"), scalars.seconds(F.max(positive)).alias("maximum_interval_seconds"),
+        total(F.col("gap") & (d > 0)).alias("large_gap_count"), scalars.seconds(F.max(F.when(F.col("gap") & (d > 0), d))).alias("largest_gap_seconds"),
+        F.min_by("ms", F.when(d > 0, F.struct(-F.col("ms_n"), F.col("ms_seen")))).alias("mode_interval_seconds"),
     )
-    parts = [stats, gaps_of_counts(counts, multiplier), frequency(mode_of_counts(counts, base.select("file")))]
-    for part in parts:
-        base = base.join(part, "file", "left")
+    base = base.join(frequency(stats), "file", "left")
     return base.na.fill(0, ["duplicate_intervals", "backward_intervals", "positive_intervals", "large_gap_count"])
 
 

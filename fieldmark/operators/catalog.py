@@ -27,15 +27,13 @@ def totals(files: DataFrame) -> DataFrame:
     name = F.col("filename")
     ok = name.rlike(schemas.FILE_NAME)
     part = {k: scalars.filename_part(name, i) for i, k in enumerate(("date", "team", "player_id"), 1)}
-    return files.agg(
-        F.count_if(ok).alias("files"),
-        F.coalesce(F.sum(F.when(ok, F.col("size_bytes"))), F.lit(0)).alias("total_bytes"),
-        F.count_distinct(part["team"]).alias("teams"),
-        F.count_distinct(scalars.year_of(part["date"])).alias("years"),
-        F.count_distinct(scalars.month_of(part["date"])).alias("months"),
-        F.count_distinct(part["date"]).alias("dates"),
-        F.count_distinct(part["player_id"]).alias("players"),
-        F.count_if(~ok).alias("unmatched"),
+    named = files.select(ok.alias("ok"), "size_bytes", *[c.alias(k) for k, c in part.items()])  # the name is parsed once, before rows are expanded
+    named = named.withColumns({"year": scalars.year_of(F.col("date")), "month": scalars.month_of(F.col("date"))})
+    return named.agg(
+        F.count_if("ok").alias("files"),
+        F.coalesce(F.sum(F.when(F.col("ok"), F.col("size_bytes"))), F.lit(0)).alias("total_bytes"),
+        *[F.count_distinct(k).alias(n) for k, n in (("team", "teams"), ("year", "years"), ("month", "months"), ("date", "dates"), ("player_id", "players"))],
+        F.count_if(~F.col("ok")).alias("unmatched"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions import flags, scalars
@@ -66,12 +66,12 @@ def heart_rate_zero_fraction(sensor: DataFrame) -> DataFrame:
 
 
 def column_variation(sensor: DataFrame, columns: list[str]) -> DataFrame:
-    """For each file and column, how many values its time stamps hold; a missing value counts as one more value.
+    """For each file and column, how many values its time stamps hold; a missing value, null or NaN, counts as one more value.
 
     Two grouped levels with one set per column, so no row is multiplied by the
     number of columns.
     """
-    valid = sensor.where(F.col("time_us").isNotNull())
+    valid = scalars.nan_as_null(sensor, *columns).where(F.col("time_us").isNotNull())
     inner = []
     for c in columns:
         x = to_numeric(F.col(c))
@@ -93,17 +93,27 @@ def variation_by_column(variation: DataFrame) -> DataFrame:
 
 def file_audit(sensor: DataFrame) -> DataFrame:
     """The multiplicity record of every file: group sizes once, then one aggregate a file."""
-    sizes = rows_per_timestamp(sensor)
+    sizes, n = rows_per_timestamp(sensor), F.col("rows")
+    same = Window.partitionBy("file", "rows")
+    sizes = sizes.repartition("file").withColumns({"often": F.count(F.lit(1)).over(same), "first": F.min("seen").over(same)})
+    span = F.max("time_us") - F.min("time_us")
+    second = F.when(span > 0, span / 1_000_000)
+    stats = sizes.groupBy("file").agg(
+        F.count(F.lit(1)).alias("unique_timestamps"), F.count_if(n > 1).alias("duplicate_timestamp_groups"),
+        F.min(n).alias("minimum_rows_per_timestamp"), F.max(n).alias("maximum_rows_per_timestamp"),
+        F.median(n).alias("median_rows_per_timestamp"), F.avg(n).alias("mean_rows_per_timestamp"),
+        F.min_by("rows", F.struct(-F.col("often"), F.col("first"))).alias("mode_rows_per_timestamp"),
+        scalars.seconds(F.when(F.sum(n) >= 2, span)).alias("block_duration_seconds"),
+        (F.count(F.lit(1)) / second).alias("unique_timestamps_per_second"), (F.sum(n) / second).alias("estimated_rows_per_second"),
+    )
     base = sensor.groupBy("file").agg(
         F.first("team").alias("team"), F.first("player_id").alias("player_id"), F.count(F.lit(1)).alias("rows_inspected"),
         F.min_by("time", "pos").alias("first_time"), F.max_by("time", "pos").alias("last_time"),
         F.count_if(F.col("time_us").isNull()).alias("invalid_timestamp_rows"),
-        (F.count_if(flags.zero_heart_rate(to_numeric(F.col("heart_rate")))) / F.count(F.lit(1))).alias("heart_rate_zero_fraction"),
-    )
-    parts = [timestamp_groups(sizes), group_size_stats(base, sizes), group_size_mode(sizes), sorted_duration(sensor), timestamp_rates(sensor)]
-    for part in parts:
-        base = base.join(part, "file", "left")
-    return base.na.fill(0, ["unique_timestamps", "duplicate_timestamp_groups", "mode_rows_per_timestamp"])
+        (F.count_if(flags.zero_heart_rate(F.col("heart_rate"))) / F.count(F.lit(1))).alias("heart_rate_zero_fraction"),
+    ).join(stats, "file", "left")
+    counts = ["unique_timestamps", "duplicate_timestamp_groups", "minimum_rows_per_timestamp", "maximum_rows_per_timestamp", "mode_rows_per_timestamp"]
+    return base.na.fill(0, counts).na.fill(0.0, ["median_rows_per_timestamp", "mean_rows_per_timestamp"])
 
 
 def rollup(audit: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from fieldmark.functions.scalars import spread_kept
 
 
+#: Counts of files, under 300 bytes each, that may be broadcast.
+BROADCAST_FILES = 200_000
+
+
 def at_least(value: float, least: float, name: str, strict: bool = False) -> None:
     if value < least or strict and value == least:
         raise ValueError(f"{name} must be {'over' if strict else 'at least'} {least}, not {value}")
@@ -32,9 +36,15 @@ def rows_per_file(sensor: DataFrame, file: str = "file") -> DataFrame:
 
 
 def spread_rows(sensor: DataFrame, wanted: int, file: str = "file", pos: str = "pos") -> DataFrame:
-    """Evenly spaced rows of each file. The rows are filtered in place; only the counts per file are shuffled."""
+    """Evenly spaced rows of each file.
+
+    Up to ``BROADCAST_FILES`` files the rows are filtered where they are and only
+    the counts per file move; beyond, rows meet their count in a shuffle.
+    """
     at_least(wanted, 2, "wanted")
-    counted = sensor.join(rows_per_file(sensor, file), file)
+    counts = rows_per_file(sensor, file)
+    few = counts.count() <= BROADCAST_FILES
+    counted = sensor.join(F.broadcast(counts) if few else counts, file)
     return counted.where(spread_kept(F.col(pos), F.col("total_rows"), wanted))
 
 

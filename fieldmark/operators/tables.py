@@ -49,7 +49,8 @@ def date_range(df: DataFrame, date_column: str) -> DataFrame:
 
 
 def table_missing(df: DataFrame) -> DataFrame:
-    """Missing cells and their share of all cells (0 where there are no cells)."""
+    """Missing cells, nulls and NaN, and their share of all cells (0 where there are no cells)."""
+    df = scalars.nan_as_null(df)
     cells = F.sum(sum((F.col(f"`{c}`").isNull().cast("long") for c in df.columns), F.lit(0)))
     one = df.agg(F.coalesce(cells, F.lit(0)).cast("long").alias("total_missing_cells"), (F.count(F.lit(1)) * len(df.columns)).alias("n"))
     return one.select("total_missing_cells", F.expr("coalesce(try_divide(total_missing_cells, n), 0.0D)").alias("missing_fraction"))
@@ -62,7 +63,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def column_inventory(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """One row a column: rows, missing values and distinct values that are not null, from one aggregate."""
+    """One row a column: rows, missing values and distinct values that are not null, from one aggregate; NaN is null."""
+    df = scalars.nan_as_null(df)
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     stats = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(df.columns):

@@ -24,8 +24,8 @@ def numeric_profile(sensor: DataFrame, columns: list[str], keys: list[str]) -> D
 
 
 def missing_cells(sensor: DataFrame, columns: list[str]) -> DataFrame:
-    """Raw missing cells of each file, before any coercion."""
-    return sensor.groupBy("file").agg(F.sum(sum(F.col(c).isNull().cast("long") for c in columns)).alias("missing_cells"))
+    """Raw missing cells of each file, nulls and NaN, before any coercion."""
+    return scalars.nan_as_null(sensor, *columns).groupBy("file").agg(F.sum(sum(F.col(c).isNull().cast("long") for c in columns)).alias("missing_cells"))
 
 
 def time_parse_rate(sensor: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def file_audit(sensor: DataFrame, columns: list[str]) -> DataFrame:
     """The value record of every file."""
     name, player = scalars.clean_identity(F.col("player_name")), F.first("player_id")
     match = (F.count(name) > 0) & (F.min(name) == player) & (F.max(name) == player)
-    audit = sensor.groupBy("file").agg(
+    audit = scalars.nan_as_null(sensor, *columns).groupBy("file").agg(
         F.first("team").alias("team"), player.alias("player_id"), F.count(F.lit(1)).alias("rows_sampled"),
         F.avg(scalars.parse_clock_or_timestamp(F.col("time")).isNotNull().cast("double")).alias("time_parse_rate"),
         F.coalesce(match, F.lit(False)).alias("player_name_matches_filename"),

@@ -1,56 +1,146 @@
-"""The audits from a folder of files to their tables. Samples are optional; without one every file and row is read."""
+"""The audits from a folder of files to their tables. Samples are optional; without one every file and row is read.
+
+A file that cannot be read, has no rows, gives back fewer rows than its footer
+states or ends before the start row is a row with its ``error`` and zeros.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark import schemas
 from fieldmark.functions import scalars
-from fieldmark.operators import cadence, catalog, inventory, multiplicity, outcomes, sampling, values
-from fieldmark.sources import readers
+from fieldmark.operators import cadence, catalog, inventory, multiplicity, outcomes, sampling, tables, values
+from fieldmark.sources import readers, sinks
+
+Tables = dict[str, DataFrame]
 
 
-def archive(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+def archive(spark: SparkSession, root: str) -> Tables:
     """Catalogue, unmatched files, totals and player inventory of the recordings below ``root``."""
-    files = readers.list_files(spark, root).cache()
+    files = readers.list_files(spark, root)
     found = catalog.matched(files)
     return {"catalog": catalog.ordered(found), "unmatched": catalog.unmatched(files), "totals": catalog.totals(files), "inventory": inventory.ordered(inventory.player_inventory(found))}
 
 
-def schema_audit(spark: SparkSession, root: str, files_per_group: int | None = None) -> DataFrame:
-    """Footer facts and schema id of the catalogued files; unreadable ones keep their error."""
-    chosen = sampled(catalog.matched(readers.list_files(spark, root)), files_per_group)
-    return outcomes.with_schema_id(chosen.join(readers.footer_catalog(spark, root), "path", "left"))
+def chosen_files(spark: SparkSession, root: str, files_per_group: int | None = None) -> DataFrame:
+    found = catalog.matched(readers.list_files(spark, root))
+    return found if files_per_group is None else sampling.spread_files(found, files_per_group)
 
 
-def sampled(found: DataFrame, files_per_group: int | None) -> DataFrame:
-    return found if files_per_group is None else sampling.spread_files(found, files_per_group)
+def schema_audit(spark: SparkSession, root: str, files_per_group: int | None = None) -> DataFrame:
+    """Footer facts and schema id of the catalogued files; unreadable ones keep their error."""
+    return outcomes.with_schema_id(chosen_files(spark, root, files_per_group).join(readers.footer_catalog(spark, root), "path", "left"))
 
 
 def readings(spark: SparkSession, root: str, columns: list[str], files_per_group: int | None = None) -> DataFrame:
-    """Readings of the catalogued files with team, player, place and parsed time. File keys are stamped by a join on the path."""
-    chosen = sampled(catalog.matched(readers.list_files(spark, root)), files_per_group)
-    rows = readers.scan_sensor(spark, [root], columns)
-    rows = rows.join(chosen.select("path", "filename", "team", "year", "player_id"), "path")
+    """Readings of the catalogued files with team, player, place and parsed time; NaN is null. File keys are stamped by a join on the path."""
+    rows = scalars.nan_as_null(readers.scan_sensor(spark, [root], columns))
+    rows = rows.join(chosen_files(spark, root, files_per_group).select("path", "filename", "team", "year", "player_id"), "path")
     return rows.withColumnRenamed("path", "file").withColumn("time_us", scalars.time_of_day_us(F.col("time")))
 
 
 def block(rows: DataFrame, start: int = 0, n: int | None = None) -> DataFrame:
-    return rows if n is None else sampling.contiguous_block(rows, start, n)
-
-
-def value_audit(spark: SparkSession, root: str, files_per_group: int | None = None, rows_per_file: int | None = None) -> dict[str, DataFrame]:
+    if n is None and start == 0:
+        return rows
+    return sampling.contiguous_block(rows, start, 2**62 if n is None else n)
+
+
+def with_errors(audit: DataFrame, files: DataFrame, footers: DataFrame, count: str, start: int = 0, n: int | None = None) -> DataFrame:
+    """``audit`` with a row for every one of ``files``; failed ones have their ``error`` and zeros. ``count`` is the audit's number of rows."""
+    known = files.select("path", "team", "player_id").join(footers.select("path", "row_count", F.col("error").alias("footer_error")), "path", "left")
+    facts = known.withColumnRenamed("path", "file").join(audit.drop("team", "player_id"), "file", "left")
+    left = F.col("row_count") - start
+    wanted = left if n is None else F.least(left, F.lit(n))
+    got = F.coalesce(count, F.lit(0))
+    beyond = outcomes.with_start_check(facts.withColumnRenamed("row_count", "total_rows"), start).withColumnRenamed("error", "start_error")
+    facts = beyond.withColumnRenamed("total_rows", "row_count")
+    error = (
+        F.when(F.coalesce("footer_error", F.lit("")) != "", F.col("footer_error"))
+        .when(F.col("row_count") == 0, "the file has no rows")
+        .when(F.coalesce("start_error", F.lit("")) != "", F.col("start_error"))
+        .when(got < wanted, F.format_string("%d of %d rows could be read", got, wanted))
+        .otherwise("")
+    )
+    facts = facts.withColumn("error", error)
+    failed, numbers = F.col("error") != "", [f.name for f in audit.schema if f.dataType.typeName() in ("long", "integer", "double") and f.name != "file"]
+    flags = [f.name for f in audit.schema if f.dataType.typeName() == "boolean"]
+    zeros = {c: F.when(failed, F.lit(0).cast(audit.schema[c].dataType)).otherwise(F.col(c)) for c in numbers} | {c: ~failed & F.col(c) for c in flags}
+    return facts.withColumns(zeros).select("file", "team", "player_id", *[c for c in audit.columns if c not in ("file", "team", "player_id")], "error")
+
+
+def value_audit(spark: SparkSession, root: str, files_per_group: int | None = None, rows_per_file: int | None = None) -> Tables:
     rows = readings(spark, root, schemas.SENSOR_COLUMNS, files_per_group)
     rows = rows if rows_per_file is None else sampling.spread_rows(rows, rows_per_file)
-    return {"files": values.file_audit(rows, schemas.SENSOR_COLUMNS), "columns": values.numeric_profile(rows, schemas.SENSOR_VALUES, ["file"]), "examples": sampling.head_rows(rows, schemas.EXAMPLE_ROWS)}
+    files = with_errors(values.file_audit(rows, schemas.SENSOR_COLUMNS), chosen_files(spark, root, files_per_group), readers.footer_catalog(spark, root), "rows_sampled", n=rows_per_file)
+    good = outcomes.successes(files)
+    return {
+        "files": files, "columns": values.numeric_profile(rows, schemas.SENSOR_VALUES, ["file"]), "examples": sampling.head_rows(rows, schemas.EXAMPLE_ROWS),
+        "rollup": values.rollup(good), "intervals": cadence.spread_of(good, "median_interval_seconds"),
+    }
 
 
-def cadence_audit(spark: SparkSession, root: str, files_per_group: int | None = None, start: int = 0, rows_per_file: int | None = None, multiplier: float = schemas.GAP_MULTIPLIER) -> DataFrame:
-    rows = readings(spark, root, ["player_name", "time", "heart_rate"], files_per_group)
-    return cadence.file_audit(block(rows, start, rows_per_file), multiplier)
+def cadence_audit(spark: SparkSession, root: str, files_per_group: int | None = None, start: int = 0, rows_per_file: int | None = None, multiplier: float = schemas.GAP_MULTIPLIER) -> Tables:
+    rows = block(readings(spark, root, ["player_name", "time", "heart_rate"], files_per_group), start, rows_per_file)
+    files = with_errors(cadence.file_audit(rows, multiplier), chosen_files(spark, root, files_per_group), readers.footer_catalog(spark, root), "rows_inspected", start, rows_per_file)
+    good = outcomes.successes(files)
+    return {
+        "files": files, "examples": sampling.head_rows(cadence.adjacent_intervals(rows), schemas.INTERVAL_ROWS), "rollup": cadence.rollup(good),
+        "modes": cadence.mode_histogram(good), "spread": cadence.spread_of(good, "estimated_frequency_hz", "median_interval_seconds"),
+    }
 
 
-def multiplicity_audit(spark: SparkSession, root: str, files_per_group: int | None = None, start: int = 0, rows_per_file: int | None = None) -> dict[str, DataFrame]:
+def multiplicity_audit(spark: SparkSession, root: str, files_per_group: int | None = None, start: int = 0, rows_per_file: int | None = None) -> Tables:
     rows = block(readings(spark, root, schemas.SENSOR_COLUMNS, files_per_group), start, rows_per_file)
-    return {"files": multiplicity.file_audit(rows), "columns": multiplicity.column_variation(rows, schemas.SENSOR_VALUES)}
+    files = with_errors(multiplicity.file_audit(rows), chosen_files(spark, root, files_per_group), readers.footer_catalog(spark, root), "rows_inspected", start, rows_per_file)
+    columns, good = multiplicity.column_variation(rows, schemas.SENSOR_VALUES), outcomes.successes(files)
+    return {
+        "files": files, "columns": columns, "examples": sampling.head_rows(rows.where(F.col("time_us").isNotNull()), schemas.VALID_ROWS), "rollup": multiplicity.rollup(good),
+        "variation": multiplicity.variation_by_column(columns), "spread": cadence.spread_of(good, "unique_timestamps_per_second", "estimated_rows_per_second"),
+    }
+
+
+def subjective_audit(spark: SparkSession, root: str) -> Tables:
+    """Every self-report CSV below ``root``: a row for each table, a row for each of its columns, and tables by category.
+
+    A table that cannot be read is a row with its ``error``. What comes to the
+    driver is the list of files and of their columns.
+    """
+    listed = readers.csv_tables(spark, root).collect()
+    frames, errors = {}, {}
+    for r in listed:
+        try:
+            frames[r.path] = readers.read_csv_table(spark, r.path)
+        except Exception as e:  # any damage is the file's, and is reported in its row
+            errors[r.path] = f"{type(e).__name__}: {e}"[:300]
+    names = spark.createDataFrame([(p, i, c) for p, df in frames.items() for i, c in enumerate(df.columns)], "table_name string, ordinal int, column string")
+    likely = tables.resolve_player_column(names).join(tables.resolve_date_column(names), "table_name").collect()
+    likely = {r.table_name: (r.player_column, r.date_column) for r in likely}
+    of_tables, of_columns = [], []
+    for r in listed:
+        known = [F.lit(x).alias(n) for n, x in (("path", r.path), ("filename", r.filename), ("category", r.category), ("table_name", r.table_name))]
+        if r.path in errors or not frames[r.path].columns:
+            zero = "0L as rows, 0L as columns, '' as column_names, cast(null as bigint) as unique_players, '' as first_date, '' as last_date, 0L as total_missing_cells, 0.0D as missing_fraction, 0L as duplicate_rows"
+            one = spark.range(1).selectExpr(*zero.split(", "))
+            of_tables.append(one.select(*known, F.lit("").alias("player_column"), F.lit("").alias("date_column"), "*", F.lit(errors.get(r.path, "the file has no columns")).alias("error")))
+            continue
+        df, (player, date) = frames[r.path], likely[r.path]
+        parts = [f.withColumn("one", F.lit(1)) for f in (tables.table_shape(df), tables.unique_players(df, player), tables.date_range(df, date), tables.table_missing(df), tables.duplicate_rows(df))]
+        one = reduce(lambda a, b: a.join(b, "one"), parts).drop("one")
+        of_tables.append(one.select(*known, F.lit(player).alias("player_column"), F.lit(date).alias("date_column"), "*", F.lit("").alias("error")))
+        of_columns.append(tables.column_inventory(df).select(*known, "*"))
+    found = reduce(DataFrame.unionByName, of_tables)
+    columns = reduce(DataFrame.unionByName, of_columns) if of_columns else None
+    return {"tables": found, "categories": tables.category_rollup(outcomes.successes(found))} | ({"columns": columns} if columns is not None else {})
+
+
+def save(results: Tables, folder: str) -> None:
+    """Write an audit's tables below ``folder``, each as CSV with its columns in order; examples only where there are some."""
+    for name, df in results.items():
+        if name == "examples":
+            sinks.write_examples([df], f"{folder}/{name}")
+        else:
+            sinks.write_table(df, f"{folder}/{name}", df.columns)

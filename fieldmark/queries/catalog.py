@@ -160,7 +160,7 @@ def _(spark, d):
 @register("join_catalog_sensor", f"""WITH {CATALOG}, {SENSOR} SELECT path, pos, heart_rate FROM catalog c JOIN sensor s ON c.ordinal = s.file""")
 def _(spark, d):
     keyed = catalog(spark, d).withColumn("file", scalars.category(F.col("path"), "/raw").cast("long"))
-    return keyed.join(sensor(spark, d), "file").select("path", "pos", "heart_rate")
+    return keyed.join(scalars.nan_as_null(sensor(spark, d)), "file").select("path", "pos", "heart_rate")
 
 
 LEFT = f"""{CATALOG}, {SENSOR}, audit AS (SELECT file, count(*) AS n FROM sensor GROUP BY file)"""

@@ -86,7 +86,7 @@ def sensor_sql(coarse: bool = False) -> str:
     return f"""raw AS (
       SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, event_id,
         CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 97 = 0 THEN strftime({clock}, '%H:%M:%S') ELSE strftime({clock}, '%H:%M:%S.%f') END AS time,
-        CASE WHEN event_id % 13 = 0 THEN 0.0 WHEN event_id % 17 = 0 THEN NULL ELSE floor(value) END AS heart_rate,
+        CASE WHEN event_id % 13 = 0 THEN 0.0 WHEN event_id % 17 = 0 OR event_id % 19 = 0 THEN NULL ELSE floor(value) END AS heart_rate,
         value / 10 - 1 AS speed, value - 95 AS lat, value - 200 AS lon,
         CASE WHEN user_id % 2 = 0 THEN 'TeamA' ELSE 'TeamB' END AS team, CAST(user_id AS VARCHAR) AS player_id,
         CASE WHEN user_id % 7 = 0 THEN CAST(user_id AS VARCHAR) WHEN user_id % 2 = 0 THEN 'TeamA-' || user_id ELSE 'TeamB-' || user_id END AS player_name
@@ -109,7 +109,8 @@ def sensor(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
     clock = F.date_trunc("hour", F.col("ts").cast("timestamp")) if coarse else F.col("ts").cast("timestamp")
     i, user = F.col("event_id"), F.col("user_id")
     time = F.when(i % 101 == 0, None).when(i % 97 == 0, F.date_format(clock, "HH:mm:ss")).otherwise(F.date_format(clock, "HH:mm:ss.SSSSSS"))
-    rate = F.when(i % 13 == 0, 0.0).when(i % 17 == 0, None).otherwise(F.floor("value").cast("double"))
+    # NaN must count as null everywhere, as the SQL twins have it
+    rate = F.when(i % 13 == 0, 0.0).when(i % 17 == 0, None).when(i % 19 == 0, float("nan")).otherwise(F.floor("value").cast("double"))
     team = F.when(user % 2 == 0, "TeamA").otherwise("TeamB")
     name = F.when(user % 7 == 0, user.cast("string")).otherwise(F.concat_ws("-", team, user.cast("string")))
     rows = e.select(
@@ -123,7 +124,7 @@ def sensor(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
 # --- self-report tables, from documents and labels
 
 CUT = "documents_cut AS (SELECT lang, source, nullif(n_chars // 1000, 3) AS size FROM documents)"
-LABELLED = "documents_labelled AS (SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+LABELLED = "documents_labelled AS (SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic, CASE WHEN d.doc_id % 5 <> 0 THEN CAST(d.doc_id % 7 AS DOUBLE) END AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 TOKENS = "documents_tokens AS (SELECT doc_id, CASE WHEN lang = 'es' THEN 'NA' WHEN lang = 'fr' THEN 'null' ELSE lang END AS lang FROM documents)"
 
 
@@ -132,7 +133,7 @@ def documents_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("score", F.when(F.col("doc_id") % 5 == 0, float("nan")).otherwise((F.col("doc_id") % 7).cast("double")))
 
 
 def documents_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

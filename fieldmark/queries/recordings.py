@@ -9,7 +9,7 @@ from fieldmark.operators import cadence, multiplicity, sampling, values
 from fieldmark.operators import outcomes as out
 from fieldmark.queries.catalog import sink_folder, written
 from fieldmark.queries.fixtures import BRIDGED, COARSE, MEDIANS, MODES, SENSOR, SIZES, VALUES, r6, register, rounded, sensor, table
-from fieldmark.sources import sinks
+from fieldmark.sources import readers, sinks
 
 GAP = 2.0
 TOTAL = "totals AS (SELECT file, count(*) AS total_rows FROM sensor GROUP BY file)"
@@ -17,7 +17,19 @@ TOTAL = "totals AS (SELECT file, count(*) AS total_rows FROM sensor GROUP BY fil
 
 @register("src_sensor_projection", f"WITH {SENSOR} SELECT file, pos, time, heart_rate FROM sensor")
 def _(spark, d):
-    return sensor(spark, d).select("file", "pos", "time", "heart_rate")
+    return scalars.nan_as_null(sensor(spark, d)).select("file", "pos", "time", "heart_rate")
+
+
+@register("src_sensor_scan", "SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events")
+def _(spark, d):
+    """The scan itself, over the file of events, which is in the order of event_id."""
+    return readers.scan_sensor(spark, [f"{d}/events.parquet"], ["event_id", "user_id"]).select("event_id", "user_id", "pos")
+
+
+@register("src_rows_per_parquet", "SELECT 'events' AS name, count(*) AS total_rows FROM events UNION ALL SELECT 'orders', count(*) FROM orders")
+def _(spark, d):
+    found = [readers.rows_per_file(spark, [f"{d}/{n}.parquet"]).agg(F.lit(n).alias("name"), F.sum("total_rows").alias("total_rows")) for n in ("events", "orders")]
+    return found[0].unionByName(found[1])
 
 
 @register("src_rows_per_file", f"WITH {SENSOR} SELECT file, count(*) AS total_rows FROM sensor GROUP BY file")
@@ -129,7 +141,7 @@ def _(spark, d):
 
 @register("set_union_examples", f"""WITH {SENSOR} SELECT file, pos, time, NULL AS heart_rate FROM sensor WHERE pos < 2 UNION ALL SELECT file, pos, NULL, heart_rate FROM sensor WHERE pos = 2""")
 def _(spark, d):
-    rows = sensor(spark, d)
+    rows = scalars.nan_as_null(sensor(spark, d))
     return sinks.union_examples([rows.where("pos < 2").select("file", "pos", "time"), rows.where("pos = 2").select("file", "pos", "heart_rate")])
 
 

@@ -133,7 +133,7 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", scalars.parse_date(text).cast("string").alias("parsed"))
 
 
-@register("agg_table_shape", f"WITH {LABELLED} SELECT count(*) AS rows, 5 AS columns, 'doc_id;lang;source;quality;toxic' AS column_names FROM documents_labelled")
+@register("agg_table_shape", f"WITH {LABELLED} SELECT count(*) AS rows, 6 AS columns, 'doc_id;lang;source;quality;toxic;score' AS column_names FROM documents_labelled")
 def _(spark, d):
     return tables.table_shape(documents_labelled(spark, d))
 
@@ -148,10 +148,10 @@ def _(spark, d):
     return tables.date_range(orders_as_report(spark, d), "date")
 
 
-MISS = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in ("doc_id", "lang", "source", "quality", "toxic"))
+MISS = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in ("doc_id", "lang", "source", "quality", "toxic", "score"))
 
 
-@register("agg_table_missing", f"WITH {LABELLED} SELECT CAST(sum({MISS}) AS BIGINT) AS total_missing_cells, round(sum({MISS}) / (count(*) * 5.0), 6) AS missing_fraction FROM documents_labelled")
+@register("agg_table_missing", f"WITH {LABELLED} SELECT CAST(sum({MISS}) AS BIGINT) AS total_missing_cells, round(sum({MISS}) / (count(*) * 6.0), 6) AS missing_fraction FROM documents_labelled")
 def _(spark, d):
     return rounded(tables.table_missing(documents_labelled(spark, d)), "missing_fraction")
 
@@ -163,7 +163,7 @@ def _(spark, d):
 
 @register("agg_column_inventory", f"WITH {LABELLED} " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing_count, round((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 6) AS missing_fraction, count(DISTINCT {c}) AS unique_non_null_values FROM documents_labelled"
-    for c in ("doc_id", "lang", "source", "quality", "toxic")
+    for c in ("doc_id", "lang", "source", "quality", "toxic", "score")
 ))
 def _(spark, d):
     return tables.column_inventory(documents_labelled(spark, d)).drop("dtype").withColumn("missing_fraction", r6("missing_fraction"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-#: File names of recordings: date, team, player.
+#: Form of a recording's file name: date, team, player (a fixed value).
 FILE_NAME = r"^(\d{4}-\d{2}-\d{2})-(Team[A-Za-z0-9]+)-(.+)\.parquet$"
-#: Value columns of a recording, in file order.
+#: Value columns of a recording, in file order (fixed values).
 SENSOR_VALUES = [
     "lat", "lon", "speed", "heart_rate", "hacc", "hdop", "signal_quality", "num_satellites",
     "inst_acc_impulse", "accl_x", "accl_y", "accl_z", "gyro_x", "gyro_y", "gyro_z",
@@ -12,7 +12,7 @@ SENSOR_VALUES = [
 SENSOR_COLUMNS = ["player_name", "time", *SENSOR_VALUES]
 #: Texts that a CSV reader takes as missing (fixed values).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
-#: Column names looked for, most likely first.
+#: Column names looked for, most likely first (fixed values).
 PLAYER_COLUMNS = ["player_name", "player", "player_id", "athlete", "athlete_id"]
 DATE_COLUMNS = ["timestamp", "date", "datetime", "time", "created_at"]
 LATITUDE, LONGITUDE, TOP_SPEED, HEART_RATE = 90, 180, 15, (30, 240)

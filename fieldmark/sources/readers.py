@@ -16,8 +16,17 @@ from fieldmark.functions import scalars
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
-    """``(path, filename, size_bytes)`` of every file below ``root``; contents are not read. Raises if there is none."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    """``(path, filename, size_bytes)`` of every file below ``root``; contents are not read. Raises if there is none.
+
+    A scan leaves out files of 0 bytes, so their names are added from the
+    listing that the driver has made for the scan.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    files, names = found.select("path", "length"), found.inputFiles()
+    if files.count() < len(names):
+        seen = {r.path for r in files.select("path").toLocalIterator()}
+        blank = [(n, 0) for n in names if n not in seen and n.replace("file:///", "file:/") not in seen]
+        files = files.unionByName(spark.createDataFrame(blank, "path string, length long"))
     files = files.select("path", scalars.file_name(F.col("path")).alias("filename"), F.col("length").alias("size_bytes"))
     if files.isEmpty():
         raise FileNotFoundError(f"no {glob} below {root}")
@@ -71,8 +80,11 @@ def footer_catalog(spark: SparkSession, root: str, through_spark: bool = False)
                     rows.append({"path": path} | blank | {"error": f"{type(e).__name__}: {e}"[:300]})
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schemas.FOOTERS.split(", ")])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
-    return files.select("path", *["content"] * through_spark).mapInPandas(run, schemas.FOOTERS)
+    if through_spark:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root).select("path", "content")
+    else:
+        files = list_files(spark, root).select("path")
+    return files.mapInPandas(run, schemas.FOOTERS)
 
 
 def csv_tables(spark: SparkSession, root: str) -> DataFrame:

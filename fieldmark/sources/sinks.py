@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of the tables that are written (fixed values).
 MANIFEST = ["path", "filename", "team", "year", "month", "date", "player_id", "size_bytes"]
 INVENTORY = ["player_id", "team", "session_files", "first_date", "last_date", "years", "months", "active_dates", "total_size_bytes"]
 

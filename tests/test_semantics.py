@@ -190,17 +190,79 @@ def test_archive_with_corrupt_junk_and_empty_files(spark, tmp_path):
         for p in out.glob(".*"):
             p.unlink()
     (tmp_path / "2020-06-03-TeamA-p2.parquet").write_bytes(b"damaged")
+    (tmp_path / "2020-06-04-TeamA-p2.parquet").write_bytes(b"")
     root = f"file://{tmp_path}"
     found = audits.archive(spark, root)
-    assert found["catalog"].count() == 3 and found["unmatched"].count() == 1
+    assert found["catalog"].count() == 4 and found["unmatched"].count() == 1
     assert found["totals"].first().players == 2
     footers = {r.filename: r for r in audits.schema_audit(spark, root).collect()}
     assert footers["2020-06-01-TeamA-p1.parquet"].row_count == 5 and footers["2020-06-03-TeamA-p2.parquet"].error
     assert footers["2020-06-02-TeamA-p1.parquet"].row_count == 0 and footers["2020-06-02-TeamA-p1.parquet"].column_count == 17
-    r = audits.cadence_audit(spark, root).collect()
-    assert len(r) == 1 and r[0].mode_interval_seconds == 1.0 and r[0].player_name_matches
-    assert audits.value_audit(spark, root, rows_per_file=3)["files"].first().rows_sampled == 3
-    assert audits.multiplicity_audit(spark, root, rows_per_file=4)["files"].first().unique_timestamps == 4
+    found = audits.cadence_audit(spark, root)
+    r = {x.file.rsplit("/", 1)[1][:10]: x for x in found["files"].collect()}
+    assert len(r) == 4 and r["2020-06-04"].error and r["2020-06-01"].mode_interval_seconds == 1.0 and r["2020-06-01"].player_name_matches and not r["2020-06-01"].error
+    assert r["2020-06-02"].error == "the file has no rows" and r["2020-06-03"].error and r["2020-06-03"].player_id == "p2"
+    assert all(x.rows_inspected == 0 and x.large_gap_count == 0 and x.mode_interval_seconds == 0.0 and not x.player_name_matches for k, x in r.items() if k != "2020-06-01")
+    assert found["rollup"].first().files == 1
+    late = {x.file.rsplit("/", 1)[1][:10]: x.error for x in audits.cadence_audit(spark, root, start=5)["files"].collect()}
+    assert late["2020-06-01"] == "start row 5 is beyond the file's 5 rows"
+    value = audits.value_audit(spark, root, rows_per_file=3)
+    assert sorted(x.rows_sampled for x in value["files"].collect()) == [0, 0, 0, 3] and value["rollup"].first().files == 1
+    multiple = audits.multiplicity_audit(spark, root, rows_per_file=4)
+    assert sorted(x.unique_timestamps for x in multiple["files"].collect()) == [0, 0, 0, 4]
+    audits.save(value, f"file://{tmp_path}/saved")
+    saved = spark.read.option("header", True).csv(f"file://{tmp_path}/saved/files")
+    assert saved.columns == value["files"].columns and saved.count() == 4
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/saved/examples").count() == 3
+
+
+def test_half_readable_file_is_an_error(spark):
+    files = spark.createDataFrame([("a", "T", "p"), ("b", "T", "q")], "path string, team string, player_id string")
+    footers = spark.createDataFrame([("a", 5, ""), ("b", 5, "")], "path string, row_count long, error string")
+    audit = spark.createDataFrame([("a", "T", "p", 5, True), ("b", "T", "q", 3, True)], "file string, team string, player_id string, n long, ok boolean")
+    got = {r.file: (r.n, r.ok, r.error) for r in audits.with_errors(audit, files, footers, "n").collect()}
+    assert got == {"a": (5, True, ""), "b": (0, False, "3 of 5 rows could be read")}
+    assert {r.error for r in audits.with_errors(audit, files, footers, "n", n=3).collect()} == {""}
+
+
+def test_subjective_audit(spark, tmp_path):
+    (tmp_path / "well" / "being").mkdir(parents=True)
+    (tmp_path / "well" / "being" / "fatigue.csv").write_text("Player,date,score\np1,2020-01-02,1\np2,2020-01-01,NA\np2,2020-01-01,NA\n")
+    (tmp_path / "notes.csv").write_text("x,y\n1,2.5\n")
+    (tmp_path / "empty.csv").write_text("")
+    found = audits.subjective_audit(spark, f"file://{tmp_path}")
+    r = {x.table_name: x for x in found["tables"].collect()}
+    f = r["fatigue"]
+    assert (f.category, f.player_column, f.date_column, f.rows, f.columns, f.unique_players, f.total_missing_cells, f.duplicate_rows, f.error) == ("well/being", "Player", "date", 3, 3, 2, 2, 1, "")
+    assert f.first_date.startswith("2020-01-01") and f.last_date.startswith("2020-01-02")
+    assert (r["notes"].player_column, r["notes"].unique_players, r["notes"].first_date) == ("", None, "")
+    assert r["empty"].error and r["empty"].rows == 0
+    assert {(x.table_name, x.column): x.missing_count for x in found["columns"].collect()}["fatigue", "score"] == 2
+    assert {x.category: x.tables for x in found["categories"].collect()} == {"well/being": 1, ".": 1}
+
+
+def test_nan_is_null(spark):
+    nan = float("nan")
+    rows = readings(spark, ["00:00:01.0", "00:00:01.0", "00:00:02.0"]).withColumn("heart_rate", F.when(F.col("pos") == 0, nan).when(F.col("pos") == 2, 100.0))
+    assert values.missing_cells(rows, ["heart_rate", "time"]).first().missing_cells == 2
+    varied = multiplicity.column_variation(rows, ["heart_rate"]).first()
+    assert (varied.varying_groups, varied.maximum_unique_values_per_timestamp, varied.missing_rows) == (0, 1, 2)
+    assert cadence.heart_rate_quality(rows).first().suspicious_nonzero_heart_rate_rows == 0
+    assert cadence.file_audit(rows).first().suspicious_nonzero_heart_rate_rows == 0
+    table = spark.createDataFrame([(1.0,), (nan,), (None,)], "x double")
+    assert tables.table_missing(table).first().total_missing_cells == 2
+    assert tables.column_inventory(table).first()[3:] == (2, pytest.approx(2 / 3), 1)
+
+
+def test_audits_scan_a_file_few_times(spark, tmp_path):
+    """Scans and exchanges that adaptive execution really runs."""
+    out = str(tmp_path / "rows")
+    readings(spark, [f"00:00:{i % 60:02d}.{i}" for i in range(200)]).write.parquet(out)
+    for audit, scans, exchanges in ((cadence.file_audit, 3, 8), (multiplicity.file_audit, 2, 4)):
+        df = audit(spark.read.parquet(out))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("FileScan") <= scans and plan.count("Exchange hashpartitioning") <= exchanges, plan
 
 
 def test_listing_of_nothing_raises(spark, tmp_path):
