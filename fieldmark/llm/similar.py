@@ -4,8 +4,9 @@ Texts with a similarity of 0.8 over five-word shingles are up to about 16 of 64
 bits apart, too far for the bound on one fingerprint's bits. So each text has
 several fingerprints, made of the same shingle hashes, and two texts are
 candidates where some part of one of them has equal coordinates in the pivot
-table (see ``simhash``). Every candidate is compared by its whole shingle set
-and linked from the similarity on, so nothing else is ever linked. How many of
+table (see ``simhash``). Candidates whose fingerprints are far apart on all bits
+are chance and go; the others are compared by their whole shingle sets and linked
+from the similarity on, so nothing else is ever linked. How many of
 the pairs at the similarity are found depends on the number of fingerprints;
 the README has the measured share.
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import components, free, keyed_rows, keyed_texts, map_batches, split_join, stage
+from fieldmark.llm.common import NARROW_ROWS, components, free, keyed_rows, keyed_texts, map_batches, split_join, stage
 from fieldmark.llm.simhash import SEED, majority, part_masks, shared_parts, shingle_hashes, table
 
 SHINGLE, SIMILARITY, FINGERPRINTS = 5, 0.8, 16
@@ -39,6 +40,8 @@ SHINGLE, SIMILARITY, FINGERPRINTS = 5, 0.8, 16
 BLOCKS, SPARED = 5, 3
 #: Texts that share coordinates beyond which leaders are compared first, and how many leaders.
 BIG, LEADERS = 16, 3
+#: Share of differing bits from which a pair is chance: a similarity of 0.8 gives 0.15 on average, and all fingerprints together hardly stray from it.
+FAR = 0.35
 #: Parts that the pairs of one text are spread over.
 SALT = 64
 
@@ -86,16 +89,34 @@ def pair(a: str, b: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` ``(a, b)`` whose sets have the Jaccard similarity."""
-    # a text with very many pairs is spread over SALT parts on either side
+def attached(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with ``column`` of ``table`` for both nodes, as ``of_a`` and ``of_b``; a node with very many pairs is spread over SALT parts."""
     salted = both = pairs.withColumns({"sa": F.pmod(F.xxhash64("b"), F.lit(SALT)), "sb": F.pmod(F.xxhash64("a"), F.lit(SALT))})
     for side in "ab":
-        spread = salted.select(side, f"s{side}").distinct().join(sets, F.col(side) == F.col("node"))
-        both = both.join(spread.select(side, f"s{side}", F.col("shingles").alias(f"set_{side}")), [side, f"s{side}"])
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    return both.where(common >= union * F.lit(similarity) - 1e-6).select("a", "b")
+        spread = salted.select(side, f"s{side}").distinct().join(table.select(F.col("node").alias(side), F.col(column).alias(f"of_{side}")), side)
+        both = both.join(spread, [side, f"s{side}"])
+    return both.drop("sa", "sb")
+
+
+def close(pairs: DataFrame, nodes: DataFrame, fingerprints: int) -> DataFrame:
+    """Those of ``pairs`` whose fingerprints differ in less than FAR of all their bits: chance candidates differ in half."""
+    differ = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return attached(pairs, nodes, "fps").where(differ < int(64 * fingerprints * FAR)).select("a", "b")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similarity: float, fingerprints: int) -> DataFrame:
+    """Those of ``pairs`` ``(a, b)`` whose sets have the Jaccard similarity. Only texts of close fingerprints are looked at, by their whole sets."""
+    near = stage(close(pairs, nodes, fingerprints), "close-pairs")
+    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    names = stage(nodes.join(wanted, "node").select("node", "rep.*"), "close-nodes")
+    few = names.count() <= NARROW_ROWS
+    texts = keyed.join(F.broadcast(names) if few else names, ["rk_id", "rk_text"]).select("node", "text").dropDuplicates(["node"])
+    sets = stage(whole_sets(texts), "sets")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    union = F.size("of_a") + F.size("of_b") - common
+    found = stage(attached(near, sets, "shingles").where(common >= union * F.lit(similarity) - 1e-6).select("a", "b"), "links")
+    free(near, names, sets)
+    return found
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int = FINGERPRINTS) -> DataFrame:
@@ -117,11 +138,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int =
     led = split_join(big.select("key", F.col("node").alias("b"), F.col("n").alias("m_b")), leaders, ["key"], "times", narrow=True)
     led = led.select(F.struct(F.col("b").alias("node"), F.col("m_b").alias("n")).alias("b"), F.explode("l").alias("a")).where("a.node != b.node").where(possible("a", "b", similarity))
     pairs = stage(few.unionByName(led.select(*pair("a", "b"))).distinct(), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(big.select("node")).distinct()
-    texts = nodes.join(wanted, "node").select("node", "rep.*")
-    sets = stage(whole_sets(keyed.join(texts, ["rk_id", "rk_text"])).dropDuplicates(["node"]), "sets")
-    links = stage(verified(pairs, sets, similarity), "links")
+    links = verified(pairs, nodes, keyed, similarity, fingerprints)
 
     root = components(links)
     part = stage(big.join(root, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("c")), "parts")
@@ -132,8 +149,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int =
     across = (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("a.most")) | (F.col("a.node") < F.col("b.node")))
     left = outside.join(part.alias("b"), [*same, across]).select(*pair("a", "b"))
     left = stage(left.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = stage(links.unionByName(verified(left, sets, similarity)), "links")
-    free(shared, part, sets, pairs, left)
+    links = links.unionByName(verified(left, nodes, keyed, similarity, fingerprints))
+    free(shared, part, pairs, left)
 
     named = stage(nodes.select("h1", "h2", "node", "times").join(components(links), "node", "left").select("h1", "h2", "times", F.coalesce("root", "node").alias("class")), "classes")
     return split_join(rows.select("rk_id", "rk_text", "h1", "h2"), named, ["h1", "h2"], "times", narrow=True).select("rk_id", "rk_text", "class")
