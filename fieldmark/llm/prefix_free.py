@@ -16,20 +16,23 @@ one class of dictionary suffixes), and the parse's continuations in text order
 with the lengths of their common prefixes. A suffix's place is the pair of its
 classes; a place that is taken twice is a string that repeats.
 
-1. The first ``SHARED`` bytes of the parse from each trigger on are counted by
-   hash. Where they are counted once, no window that holds them repeats; equal
-   hashes of different bytes only leave a window to be looked at.
-2. What is left of each document is cut into pieces, the windows with one first
-   trigger, and equal pieces are counted by their bytes. All windows of a piece
-   that stands twice repeat.
-3. Distinct pieces go to the bucket of ``SHARED`` bytes at their trigger (on
-   the side where every window has them), and each bucket's two arrays are
-   built and joined. Windows without any trigger, rare in text, and the windows
-   of buckets that outgrow ``max_bucket`` pieces are counted by their bytes.
-4. Only windows that do *not* repeat are sent back, each to the one document
-   that has it, so no passage of many documents is ever joined to all of them.
-
-Every decision that a string repeats compares bytes. Nothing is capped.
+1. A document is cut into *pieces*, the windows with one first trigger. Every
+   window of a piece holds the same ``SHARED`` bytes at the trigger, whose hash
+   is its *bucket*. Pieces are counted by bucket and by the hash of all their
+   bytes, combined in the task before the shuffle. Only these numbers move.
+2. A bucket with one piece that stands once repeats nowhere: equal hashes of
+   different bytes only leave a window to be looked at. A bucket with one piece
+   that stands more often repeats whole: here two 64-bit hashes, of the shared
+   bytes and of the piece, decide. All other buckets hold ends of repeats.
+3. Of those buckets one copy of each piece is sent with its bytes, and the two
+   arrays are built and joined: here bytes decide. Buckets that outgrow
+   ``max_bucket`` pieces are counted window by window instead, by bytes. Windows
+   without any trigger, rare in text, are pieces of one window.
+4. Only what does *not* repeat is sent back, each to the one document that has
+   it, so no passage of many documents is ever joined to all of them.
+
+Nothing is capped. The choice of the copy that is sent is written down before it
+is used, so a lost executor cannot change it halfway.
 """
 
 from __future__ import annotations
@@ -40,15 +43,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import free, map_batches, stage
 
-#: Bytes of a trigger; one gram in EVERY is one; bytes from a trigger on that are counted, and that a bucket's windows share.
+#: Bytes of a trigger; one gram in EVERY is one; bytes at a trigger that a bucket's windows share.
 GRAM, EVERY, SHARED = 8, 32, 100
-#: Bytes hashed at once, and windows ordered at once.
-BLOCK, ORDERED = 1 << 20, 1 << 18
+#: Bytes hashed at once, windows ordered at once, pieces combined before the shuffle, bytes of pieces in a batch.
+BLOCK, ORDERED, COMBINED, HELD = 1 << 20, 1 << 18, 1 << 17, 16 << 20
+#: What is said of a piece: it stands once in a bucket of its own; or it shares its bucket, and stands once or more often.
+LONE, EDGE_ONCE, EDGE_MORE = 0, 1, 2
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -84,37 +89,89 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "rk_id long, rk_text long, z binary")
 
 
-def lone_places(docs: DataFrame, width: int) -> DataFrame:
-    """``(rk_id, rk_text, lone)``: the triggers of a document from which on the next ``SHARED`` bytes stand nowhere else."""
+def cut(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of a text in order: first window, one past the last, trigger; runs of windows without a trigger have -1."""
+    many, near = len(text) - width + 1, min(SHARED, width // 2)
+    if many <= 0:
+        return (np.zeros(0, np.int64),) * 3
+    at = np.append(triggers(text), len(text) + width)
+    begin = np.append(0, at[:-1] + 1)
+    # no trigger up to the first edge, then far before it, then near it
+    bare = np.clip(at + GRAM - width, begin, at + 1)
+    far = np.clip(at - near + 1, bare, at + 1)
+    lo = np.stack((begin, bare, far), 1).ravel()
+    hi = np.minimum(np.stack((bare, far, at + 1), 1).ravel(), many)
+    trigger = np.stack((np.full(len(at), -1), at, at), 1).ravel()
+    some = lo < hi
+    return lo[some], hi[some], trigger[some]
+
+
+def shared_bytes(text: bytes, start: int, trigger: int, width: int) -> bytes:
+    """What every window of a piece holds: it begins near its trigger, or far before it, or is a single window."""
+    near = min(SHARED, width // 2)
+    if trigger < 0:
+        return text[start : start + width]
+    return text[trigger : trigger + near] if start > trigger - near else text[trigger - near : trigger + GRAM]
+
+
+def bucket_of(text: bytes, start: int, trigger: int, width: int) -> int:
+    return xxhash.xxh64_intdigest(shared_bytes(text, start, trigger, width)) - (1 << 63)
+
+
+def hashed_pieces(text: bytes, width: int) -> np.ndarray:
+    """``(bucket, hash of all bytes, first window)`` of each piece of a text, windows without a trigger one by one."""
+    digest, rows = xxhash.xxh64_intdigest, []
+    for a, e, t in zip(*(x.tolist() for x in cut(text, width)), strict=True):
+        if t < 0:
+            rows += [(bucket_of(text, x, t, width), digest(text[x : x + width], 1) - (1 << 63), x) for x in range(a, e)]
+        else:
+            rows.append((bucket_of(text, a, t, width), digest(text[a : e - 1 + width], 1) - (1 << 63), a))
+    return np.array(rows, np.int64).reshape(-1, 3)
+
+
+_SEEN = "bucket long, hash long, n long, rk_id long, rk_text long, start long"
+
+
+def seen_pieces(docs: DataFrame, width: int) -> DataFrame:
+    """Pieces by bucket and hash with how often they stand, combined in the task, and one place of each."""
+    names = [x.split()[0] for x in _SEEN.split(", ")]
+
+    def batch(ids: list[tuple], found: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(found)
+        keys = np.repeat(np.array(ids, np.int64), [len(f) for f in found], axis=0)
+        order = np.lexsort((rows[:, 1], rows[:, 0]))
+        first = np.flatnonzero(np.append(True, (rows[order[1:], :2] != rows[order[:-1], :2]).any(axis=1)))
+        times = np.diff(np.append(first, len(order)))
+        take = np.argsort(order[first])  # in text order, in which a document's key packs well
+        kept, times = order[first][take], times[take]
+        columns = rows[kept, 0], rows[kept, 1], times, keys[kept, 0], keys[kept, 1], rows[kept, 2]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, rows, held, near = xxhash.xxh64_intdigest, [], 0, min(SHARED, width // 2)
-
-        def batch() -> pa.RecordBatch:
-            ids, texts, hashes, starts = zip(*rows, strict=True)
-            of = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
-            columns = np.array(ids, np.int64)[of], np.array(texts, np.int64)[of], np.concatenate(hashes).view(np.int64), np.concatenate(starts)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rk_id", "rk_text", "hash", "start"])
-
+        ids, found, held = [], [], 0
         for b in batches:
             for rk_id, rk_text, text in zip(*(b.column(c).to_pylist() for c in ("rk_id", "rk_text")), b.column("text").cast(pa.large_binary()), strict=True):
-                text = text.as_py() or b""
-                if len(text) < width:
-                    continue
-                start = triggers(text)
-                start = start[start <= len(text) - near]
-                rows.append((rk_id, rk_text, np.fromiter((digest(text[i : i + near]) for i in start.tolist()), np.uint64, len(start)), start))
-                held += len(start)
-                if held >= 1 << 17:
-                    yield batch()
-                    rows, held = [], 0
-        if rows:
-            yield batch()
-
-    seen = map_batches(docs, run, "rk_id long, rk_text long, hash long, start long")
-    # what is counted once has one row, so first() is of that row
-    counted = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("rk_id", "rk_text", "start")])
-    return counted.where("n = 1").groupBy("rk_id", "rk_text").agg(F.collect_list("start").alias("lone"))
+                rows = hashed_pieces(text.as_py() or b"", width)
+                if len(rows):
+                    ids.append((rk_id, rk_text))
+                    found.append(rows)
+                    held += len(rows)
+                if held >= COMBINED:
+                    yield batch(ids, found)
+                    ids, found, held = [], [], 0
+        if held:
+            yield batch(ids, found)
+
+    return map_batches(docs, run, _SEEN)
+
+
+def told_pieces(docs: DataFrame, width: int) -> DataFrame:
+    """``(rk_id, rk_text, code)``: the first window of a piece, times four, and what is said of it; of pieces that share a bucket one copy each is named."""
+    dealt = seen_pieces(docs, width).repartition("bucket")
+    counted = dealt.groupBy("bucket", "hash").agg(F.sum("n").alias("times"), *[F.first(c).alias(c) for c in ("rk_id", "rk_text", "start")])
+    beside = counted.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    said = F.when(F.col("kinds") > 1, F.when(F.col("times") > 1, EDGE_MORE).otherwise(EDGE_ONCE)).otherwise(LONE)
+    return beside.where("kinds > 1 or times = 1").select("rk_id", "rk_text", (F.col("start") * 4 + said).alias("code"))
 
 
 def true_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,89 +180,57 @@ def true_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def open_windows(n: int, start: np.ndarray, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs ``[lo, hi)`` of window starts whose windows hold none of the spans of ``size`` bytes from ``start`` on, in a text of ``n`` bytes."""
-    many = n - width + 1
-    if many <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lo, hi = np.maximum(start + size - width, 0), np.minimum(start, many - 1)
-    shut = np.zeros(many + 1, np.int32)
-    np.add.at(shut, lo[lo <= hi], 1)
-    np.add.at(shut, hi[lo <= hi] + 1, -1)
-    return true_runs(np.cumsum(shut[:-1]) == 0)
+def open_windows(n: int, lo: np.ndarray, hi: np.ndarray, trigger: np.ndarray, lone: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs ``[lo, hi)`` of the windows of a text of ``n`` bytes that are in no piece that begins at one of ``lone``."""
+    of = np.searchsorted(lo, lone, "right") - 1
+    change = np.zeros(n - width + 2, np.int32)
+    np.add.at(change, lone, 1)
+    np.add.at(change, np.where(trigger[of] < 0, lone + 1, hi[of]), -1)
+    return true_runs(np.cumsum(change[:-1]) == 0)
 
 
-def left_open(docs: DataFrame, width: int) -> DataFrame:
-    """``(rk_id, rk_text, z, open)``: documents with windows that may repeat, their packed text, and those windows as ``[lo, hi)``."""
+_PARSED = "rk_id long, rk_text long, open array<struct<lo: long, hi: long>>, bucket long, piece binary, at int, times long, start long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing, kind = np.zeros(0, np.int64), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-        for b in batches:
-            take, found = [], []
-            for i, (z, lone) in enumerate(zip(b.column("z"), b.column("lone"), strict=True)):
-                size = zstandard.frame_content_size(z.as_py()) if z.is_valid else 0
-                lo, hi = open_windows(size, lone.values.to_numpy() if lone.is_valid else nothing, min(SHARED, width // 2), width)
-                if len(lo):
-                    take.append(i)
-                    found.append([{"lo": x, "hi": y} for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
-            kept = b.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column("rk_id"), kept.column("rk_text"), kept.column("z"), pa.array(found, kind)], ["rk_id", "rk_text", "z", "open"])
-
-    joined = packed_texts(docs).join(lone_places(docs, width), ["rk_id", "rk_text"], "left")
-    return map_batches(joined, run, "rk_id long, rk_text long, z binary, open array<struct<lo: long, hi: long>>")
-
-
-def cut(text: bytes, lo: np.ndarray, hi: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
-    """Pieces ``(first window, one past the last, trigger)`` of the open windows; the trigger is -1 where the windows have none."""
-    at, near = np.append(triggers(text), 1 << 62), min(SHARED, width // 2)
-    for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
-        k = int(np.searchsorted(at, a))
-        while a < b:
-            t = int(at[k])
-            k += 1
-            # no trigger up to here, then far before it, then near it
-            for edge, trigger in ((t + GRAM - width, -1), (t - near + 1, t), (t + 1, t)):
-                edge = min(edge, b)
-                if a < edge:
-                    yield a, edge, trigger
-                    a = edge
-
-
-_PIECE = "bucket long, piece binary, at int, rk_id long, rk_text long, start long"
-
-
-def pieces(left: DataFrame, width: int) -> DataFrame:
-    """The pieces of the open windows with their bytes; ``at`` is the trigger's place in the piece (-1: a single window without one)."""
-    names = [x.split()[0] for x in _PIECE.split(", ")]
+
+def parsed(docs: DataFrame, told: DataFrame, width: int) -> DataFrame:
+    """Rows of two kinds: a document's windows that may repeat, as ``[lo, hi)`` in ``open``, and the named copy of each piece that shares its bucket.
+
+    ``at`` is the trigger's place in the piece (-1: a single window without one).
+    """
+    names = "rk_id", "rk_text", "open", "bucket", "piece", "at", "times", "start"
+    spans = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    kinds = pa.int64(), pa.int64(), spans, pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True)
-        kinds = pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = min(SHARED, width // 2)
-        digest, rows, held = xxhash.xxh64_intdigest, [], 0
+        rows, held = [], 0
         for b in batches:
-            for rk_id, rk_text, z, spans in zip(*(b.column(c).to_pylist() for c in ("rk_id", "rk_text")), b.column("z"), b.column("open"), strict=True):
+            for rk_id, rk_text, z, codes in zip(*(b.column(c).to_pylist() for c in ("rk_id", "rk_text")), b.column("z"), b.column("codes"), strict=True):
                 text = unzip(z.as_py())
-                for a, e, t in cut(text, spans.values.field("lo").to_numpy(), spans.values.field("hi").to_numpy(), width):
-                    if t < 0:
-                        rows += [(0, text[x : x + width], -1, rk_id, rk_text, x) for x in range(a, e)]
-                        held += (e - a) * width
-                    else:
-                        # every window of the piece has these bytes: it begins near its trigger, or far before it
-                        key = text[t : t + near] if a > t - near else text[t - near : t + GRAM]
-                        bucket = digest(key) - (1 << 63)
-                        rows.append((bucket, text[a : e - 1 + width], t - a, rk_id, rk_text, a))
-                        held += e - a + width
-                    if held >= 16 << 20:
+                if len(text) < width:
+                    continue
+                lo, hi, trigger = cut(text, width)
+                code = codes.values.to_numpy() if codes.is_valid else np.zeros(0, np.int64)
+                first, last = open_windows(len(text), lo, hi, trigger, code[code % 4 == LONE] // 4, width)
+                if len(first):
+                    rows.append((rk_id, rk_text, [{"lo": x, "hi": y} for x, y in zip(first.tolist(), last.tolist(), strict=True)], None, None, None, None, None))
+                for x in code[code % 4 != LONE].tolist():
+                    a, of = x // 4, int(np.searchsorted(lo, x // 4, "right")) - 1
+                    t = int(trigger[of])
+                    piece = text[a : a + width] if t < 0 else text[a : int(hi[of]) - 1 + width]
+                    rows.append((rk_id, rk_text, None, bucket_of(text, a, t, width), piece, -1 if t < 0 else t - a, x % 4, a))
+                    held += len(piece)
+                    if held >= HELD:
                         yield batch(rows)
                         rows, held = [], 0
-        if rows:
-            yield batch(rows)
+            if rows:
+                yield batch(rows)
+                rows, held = [], 0
 
-    return map_batches(left.select("rk_id", "rk_text", "z", "open"), run, _PIECE)
+    codes = told.groupBy("rk_id", "rk_text").agg(F.collect_list("code").alias("codes"))
+    return map_batches(packed_texts(docs).join(codes, ["rk_id", "rk_text"], "left"), run, _PARSED)
 
 
 def ordered_classes(strings: list[bytes], bucket: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,17 +317,19 @@ def repeated_spans(docs: DataFrame, width: int, max_bucket: int = 1 << 14) -> Da
 
     ``docs`` has ``(rk_id, rk_text, text)``. Documents of which no window repeats may be left out.
     """
-    left = stage(left_open(docs, width), "open-windows")
-    counted = pieces(left, width).groupBy("bucket", "piece", "at").agg(F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("rk_id", "rk_text", "start")])
-    distinct = stage(counted, "pieces")
+    told = stage(told_pieces(docs, width), "pieces")
+    cut_up = stage(parsed(docs, told, width), "open-windows")
+    free(told)
+    distinct = cut_up.where("piece is not null").drop("open")
     large = distinct.where("at >= 0").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket)
     large = stage(large.select("bucket"), "large-buckets")  # few or none: Spark sees its size
     usual = distinct.where("at >= 0").join(large, "bucket", "left_anti")
     others = distinct.where("at < 0").unionByName(distinct.where("at >= 0").join(large, "bucket", "left_semi"))
     once = single(usual, width).unionByName(single_by_bytes(others, width))
     once = stage(once.groupBy("rk_id", "rk_text").agg(F.collect_list(F.struct("lo", "hi")).alias("once")), "single-windows")
-    free(distinct, large)
-    return left.select("rk_id", "rk_text", "open").dropDuplicates(["rk_id", "rk_text"]).join(once, ["rk_id", "rk_text"], "left")
+    free(large)
+    opened = cut_up.where("open is not null").select("rk_id", "rk_text", "open").dropDuplicates(["rk_id", "rk_text"])
+    return opened.join(once, ["rk_id", "rk_text"], "left")
 
 
 def removed(size: int, open_: pa.Scalar, once: pa.Scalar, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -99,7 +99,7 @@ def test_corpus_order_of_one_bucket_equals_brute_force():
     texts += [texts[i % 6][5:50] + rng.integers(97, 100, 9).astype(np.uint8).tobytes() for i in range(12)] + [texts[0]]
     rows = []
     for k, t in enumerate(texts):
-        for a, e, at in prefix_free.cut(t, np.array([0]), np.array([len(t) - width + 1]), width):
+        for a, e, at in zip(*(x.tolist() for x in prefix_free.cut(t, width)), strict=True):
             if at >= 0:
                 rows.append((0, t[a : e - 1 + width], at - a, 1, k, 0, a))
     pieces = Counter((r[1], r[2]) for r in rows)
