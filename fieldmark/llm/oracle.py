@@ -88,3 +88,47 @@ letters AS (SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
 last AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS response FROM letters)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < response THEN response END AS refers_to FROM last
 """
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS x FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS z,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:z], '') AS middle, array_to_string(u[z + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def _tree(name: str, bottom: str, start: str, levels: int, branch: int) -> list[str]:
+    """Tables of the levels over ``bottom (g, i, h, c)``, and of the rows of ``start (g, i, proof, f, ...)`` with proof and folded digest carried up by each."""
+    parts = [f"{name}0 AS (SELECT g, i, h, c FROM {bottom})"]
+    for k in range(levels):
+        run = f"OVER (PARTITION BY g, i // {branch} ORDER BY i ROWS BETWEEN"
+        parts += [
+            f"""{name}s{k} AS (SELECT g, i, c, CASE WHEN c > 1 THEN coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l,
+              CASE WHEN c > 1 THEN coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS r FROM {name}{k})""",
+            f"{name}{k + 1} AS (SELECT g, i // {branch} AS i, CASE WHEN c > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h, (c + {branch - 1}) // {branch} AS c FROM {name}{k} GROUP BY g, i // {branch}, c)",
+            f"{name}f{k} AS (SELECT b.* EXCLUDE (proof, f), proof || l || r AS proof, CASE WHEN s.c > 1 THEN sha256(l || f || r) ELSE f END AS f FROM {f'{name}f{k - 1}' if k else start} b JOIN {name}s{k} s ON b.g = s.g AND b.i // {branch**k} = s.i)",
+        ]
+    return parts
+
+
+def merkle(branch: int) -> str:
+    """Eight levels below a language (16 million rows) and four above."""
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in (*[f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")], text)]
+        return f"sha256({' || '.join(parts)})"
+
+    step = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, b))"
+    crc = f"xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: {step}, 4294967295), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf("text")} AS h, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS f FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS c, '' AS proof FROM d),
+{", ".join(_tree("n", "leaves", "leaves", 8, branch))},
+tops AS (SELECT '' AS g, g AS lang, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS c FROM n8),
+below AS (SELECT tops.g, tops.i, doc_id, a.h AS leaf, tops.h AS subroot, proof, f FROM nf7 a JOIN tops ON a.g = tops.lang),
+{", ".join(_tree("m", "tops", "below", 4, branch))}
+SELECT doc_id, leaf, subroot, m4.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = m4.h AS verified FROM mf3 CROSS JOIN m4
+"""

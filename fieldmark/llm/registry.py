@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import decontaminate, html_text, media, mixing, oracle, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from fieldmark.llm import decontaminate, fill_in_middle, html_text, media, merkle, mixing, neighbours, oracle, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 #: Target weights of the mix; what is not listed weighs 1.
 MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
@@ -66,9 +66,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.filled(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = merkle.manifest(table(spark, sf_dir, "documents"))
+    path, root = F.col("path"), merkle.folded(F.col("tampered"), F.col("path")).alias("folded_root")
+    done = done.select("doc_id", "leaf", "subroot", "root", merkle.proof(path).alias("proof_sha256"), root)
+    return done.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = [
     op1_simhash_near_dedup, op2_media_columns, op3_html_extraction, op4_token_counts, op5_benchmark_decontamination,
-    op6_suffix_array_dedup, op7_quality_classifier, op8_substring_dedup, op9_mixing, op10_warc,
+    op6_suffix_array_dedup, op7_quality_classifier, op8_substring_dedup, op9_mixing, op10_warc, op11_nearest_neighbours, op12_fill_in_middle, op13_merkle_manifest,
 ]
 
 
@@ -83,4 +100,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_substring_dedup": oracle.SUBSTRING_DEDUP,
         "op9_mixing": oracle.mixing(MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS, MIX_SEED),
         "op10_warc": oracle.WARC,
+        "op12_fill_in_middle": oracle.FILL_IN_MIDDLE,
+        "op13_merkle_manifest": oracle.merkle(merkle.BRANCH),
     }

@@ -506,7 +506,7 @@ def test_salvage_recovers_and_logs_gaps(zipped):
 @pytest.mark.parametrize("name", [f.__name__ for f in registry.QUERIES])
 def test_empty_tables_and_clashing_columns(spark, tmp_path, name):
     """Empty tables give no rows, and columns named like the operators' own do no harm."""
-    rows = {"documents": ("doc_id long, text string, lang string, source string, n_chars long", [(1, "a b", "en", "src1", 3), (2, None, None, None, None)]), "pages": ("page_id long, url string, html string", [(1, "u", "<p>x</p>"), (2, None, None)]), "benchmark": ("item_id long, text string", [(1, "a b")]), "labels": ("doc_id long, quality int, toxic int", [(1, 1, 0)])}
+    rows = {"documents": ("doc_id long, text string, lang string, source string, n_chars long", [(1, "a b", "en", "src1", 3), (2, None, None, None, None)]), "pages": ("page_id long, url string, html string", [(1, "u", "<p>x</p>"), (2, None, None)]), "benchmark": ("item_id long, text string", [(1, "a b")]), "labels": ("doc_id long, quality int, toxic int", [(1, 1, 0)]), "embeddings": ("vec_id long, embedding array<float>", [(0, [1.0, 0.5]), (50, [0.5, 1.0])])}
     names = "fp rk_id rk_text tokens spans words digest score predicted row open once leaf_lang n_epochs win hash window archive records text2".split()
     extra = "".join(f", {n} string" for n in names)
     for kind, keep in (("empty", 0), ("full", 2)):
