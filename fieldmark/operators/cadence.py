@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions import flags, scalars
+from fieldmark.operators.catalog import owner
+from fieldmark.operators.ranks import weighted_medians
 from fieldmark.operators.sampling import at_least
 from fieldmark.schemas import GAP_MULTIPLIER
+from fieldmark.sources.shared import kept
 
 
 #: Rows of a recording, and microseconds of a sorted one, that one window holds; a long recording is many windows.
 CHUNK_ROWS, CHUNK_US = 1 << 20, 600_000_000
+#: Microseconds of different intervals whose counts are ordered in one task.
+BUCKET_US = 1 << 16
 
 
 def with_interval(rows: DataFrame, chunk: Column, order: list[str], bridge: bool = False) -> DataFrame:
@@ -65,6 +70,12 @@ def interval_counts(intervals: DataFrame) -> DataFrame:
     return known.groupBy("file", "interval_us").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("seen"))
 
 
+def median_of_counts(counts: DataFrame) -> DataFrame:
+    """``(file, median_us)`` of the positive differences of ``counts``, by rank selection."""
+    positive = counts.where("interval_us > 0")
+    return weighted_medians(positive, ["file"], "interval_us", "n", F.floor(F.col("interval_us") / BUCKET_US)).withColumnRenamed("median", "median_us")
+
+
 def time_validity(sensor: DataFrame) -> DataFrame:
     ok = F.col("time_us").isNotNull()
     return sensor.groupBy("file").agg(F.count_if(ok).alias("valid_timestamp_rows"), F.count_if(~ok).alias("invalid_timestamp_rows"))
@@ -77,9 +88,10 @@ def interval_signs(intervals: DataFrame) -> DataFrame:
 
 
 def positive_interval_stats(intervals: DataFrame) -> DataFrame:
-    d = F.when(F.col("interval_us") > 0, F.col("interval_us"))
-    stats = {"median_interval_seconds": F.median(d), "minimum_interval_seconds": F.min(d), "maximum_interval_seconds": F.max(d)}
-    return intervals.groupBy("file").agg(*[scalars.seconds(c).alias(k) for k, c in stats.items()])
+    counts, d = interval_counts(intervals), F.when(F.col("interval_us") > 0, F.col("interval_us"))
+    ends = counts.groupBy("file").agg(scalars.seconds(F.min(d)).alias("minimum_interval_seconds"), scalars.seconds(F.max(d)).alias("maximum_interval_seconds"))
+    found = ends.join(median_of_counts(counts), "file", "left").withColumn("median_interval_seconds", scalars.seconds(F.col("median_us"))).drop("median_us")
+    return intervals.select("file").distinct().join(found, "file", "left")
 
 
 def mode_interval(intervals: DataFrame) -> DataFrame:
@@ -108,7 +120,7 @@ def large_gaps(intervals: DataFrame, multiplier: float = GAP_MULTIPLIER) -> Data
 
 def gaps_of_counts(counts: DataFrame, multiplier: float) -> DataFrame:
     positive = counts.where("interval_us > 0")
-    medians = positive.groupBy("file").agg(F.percentile("interval_us", 0.5, F.col("n")).alias("median_us"))
+    medians = median_of_counts(counts)
     gap = F.col("interval_us") > F.col("median_us") * multiplier
     found = positive.join(medians, "file").where(gap).groupBy("file")
     return found.agg(F.sum("n").alias("large_gap_count"), scalars.seconds(F.max("interval_us")).alias("largest_gap_seconds"))
@@ -129,7 +141,7 @@ def first_last_time(sensor: DataFrame) -> DataFrame:
 def identity_prefixed(sensor: DataFrame) -> DataFrame:
     """Whether one name alone was observed and is ``team-player``; the names observed are listed."""
     name = scalars.clean_identity(F.col("player_name"))
-    expected = scalars.expected_identity(F.first("team"), F.first("player_id"))
+    expected = scalars.expected_identity(*owner(sensor))
     match = (F.count_distinct(name) == 1) & (F.min(name) == expected)
     return sensor.groupBy("file").agg(expected.alias("expected_player_name"), scalars.joined_set(name).alias("observed_player_names"), F.coalesce(match, F.lit(False)).alias("player_name_matches"))
 
@@ -145,9 +157,10 @@ def file_audit(sensor: DataFrame, multiplier: float = GAP_MULTIPLIER) -> DataFra
     at_least(multiplier, 1, "multiplier", strict=True)
     valid, rate, name = F.col("time_us").isNotNull(), F.col("heart_rate"), scalars.clean_identity(F.col("player_name"))
     at, names = F.when(valid, F.col("pos")), F.array_sort(F.collect_set(name))
-    expected = scalars.expected_identity(F.first("team"), F.first("player_id"))
+    team, player = owner(sensor)
+    expected = scalars.expected_identity(team, player)
     base = sensor.groupBy("file").agg(
-        F.first("team").alias("team"), F.first("player_id").alias("player_id"),
+        team.alias("team"), player.alias("player_id"),
         expected.alias("expected_player_name"), F.array_join(names, ";").alias("observed_player_names"),
         F.coalesce((F.size(names) == 1) & (F.get(names, F.lit(0)) == expected), F.lit(False)).alias("player_name_matches"),
         F.count(F.lit(1)).alias("rows_inspected"),
@@ -157,22 +170,24 @@ def file_audit(sensor: DataFrame, multiplier: float = GAP_MULTIPLIER) -> DataFra
         F.count_if(flags.zero_heart_rate(rate)).alias("heart_rate_zero_rows"),
         F.count_if(flags.bad_heart_rate_nonzero(rate)).alias("suspicious_nonzero_heart_rate_rows"),
     )
-    # all statistics of a file's intervals from one pass over its counts, which stay where the file is
-    counts, d, n = interval_counts(bridged_intervals(sensor)), F.col("interval_us"), F.col("n")
-    positive, of_file = F.when(d > 0, d), Window.partitionBy("file")
-    counts = counts.withColumns({"median_us": F.percentile(positive, 0.5, n).over(of_file), "ms": scalars.round_ms(positive)})
-    same = Window.partitionBy("file", "ms")
-    counts = counts.withColumns({"ms_n": F.sum("n").over(same), "ms_seen": F.min("seen").over(same), "gap": d > F.col("median_us") * multiplier})
+    # all statistics of a file's intervals come from its counts, which are written once
+    counts, d, n = kept(interval_counts(bridged_intervals(sensor)), "interval-counts"), F.col("interval_us"), F.col("n")
+    positive, gap = F.when(d > 0, d), (d > 0) & (d > F.col("median_us") * multiplier)
 
     def total(c: Column) -> Column:
         return F.sum(F.when(c, n).otherwise(0))
 
-    stats = counts.groupBy("file").agg(
-        total(d == 0).alias("duplicate_intervals"), total(d < 0).alias("backward_intervals"), total(d > 0).alias("positive_intervals"),
+    # by whole milliseconds first, which gives the modes; then by file
+    by_ms = counts.join(median_of_counts(counts), "file", "left").groupBy("file", scalars.round_ms(positive).alias("ms")).agg(
+        F.first("median_us").alias("median_us"), F.sum("n").alias("ms_n"), F.min("seen").alias("ms_seen"), F.min(positive).alias("lo"), F.max(positive).alias("hi"),
+        total(d == 0).alias("duplicates"), total(d < 0).alias("backward"), total(d > 0).alias("positives"), total(gap).alias("gaps"), F.max(F.when(gap, d)).alias("longest"),
+    )
+    stats = by_ms.groupBy("file").agg(
+        F.sum("duplicates").alias("duplicate_intervals"), F.sum("backward").alias("backward_intervals"), F.sum("positives").alias("positive_intervals"),
         scalars.seconds(F.first("median_us")).alias("median_interval_seconds"),
-        scalars.seconds(F.min(positive)).alias("minimum_interval_seconds"), scalars.seconds(F.max(positive)).alias("maximum_interval_seconds"),
-        total(F.col("gap") & (d > 0)).alias("large_gap_count"), scalars.seconds(F.max(F.when(F.col("gap") & (d > 0), d))).alias("largest_gap_seconds"),
-        F.min_by("ms", F.when(d > 0, F.struct(-F.col("ms_n"), F.col("ms_seen")))).alias("mode_interval_seconds"),
+        scalars.seconds(F.min("lo")).alias("minimum_interval_seconds"), scalars.seconds(F.max("hi")).alias("maximum_interval_seconds"),
+        F.sum("gaps").alias("large_gap_count"), scalars.seconds(F.max("longest")).alias("largest_gap_seconds"),
+        F.min_by("ms", F.when(F.col("ms").isNotNull(), F.struct(-F.col("ms_n"), F.col("ms_seen")))).alias("mode_interval_seconds"),
     )
     base = base.join(frequency(stats), "file", "left")
     return base.na.fill(0, ["duplicate_intervals", "backward_intervals", "positive_intervals", "large_gap_count"])

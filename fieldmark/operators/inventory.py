@@ -9,15 +9,16 @@ from fieldmark.functions.scalars import joined_set
 
 
 def player_inventory(catalog: DataFrame) -> DataFrame:
-    """One row for each player and team."""
-    return catalog.groupBy("player_id", "team").agg(
-        F.count(F.lit(1)).alias("session_files"),
+    """One row for each player and team. Days are grouped first, so that what is counted is distinct already and sets hold years and months alone."""
+    days = catalog.groupBy("player_id", "team", "year", "month", "date").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
+    return days.groupBy("player_id", "team").agg(
+        F.sum("files").alias("session_files"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
         joined_set(F.col("year").cast("string")).alias("years"),
-        F.count_distinct("month").alias("months"),
-        F.count_distinct("date").alias("active_dates"),
-        F.sum("size_bytes").alias("total_size_bytes"),
+        F.size(F.collect_set("month")).cast("long").alias("months"),
+        F.count("date").alias("active_dates"),
+        F.sum("bytes").alias("total_size_bytes"),
     )
 
 

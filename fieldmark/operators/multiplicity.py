@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions import flags, scalars
 from fieldmark.functions.scalars import to_numeric
+from fieldmark.operators.catalog import owner
 
 VARIATION = [
     "timestamp_groups", "constant_groups", "varying_groups", "varying_group_fraction", "mean_unique_values_per_timestamp",
@@ -106,8 +107,9 @@ def file_audit(sensor: DataFrame) -> DataFrame:
         scalars.seconds(F.when(F.sum(n) >= 2, span)).alias("block_duration_seconds"),
         (F.count(F.lit(1)) / second).alias("unique_timestamps_per_second"), (F.sum(n) / second).alias("estimated_rows_per_second"),
     )
+    team, player = owner(sensor)
     base = sensor.groupBy("file").agg(
-        F.first("team").alias("team"), F.first("player_id").alias("player_id"), F.count(F.lit(1)).alias("rows_inspected"),
+        team.alias("team"), player.alias("player_id"), F.count(F.lit(1)).alias("rows_inspected"),
         F.min_by("time", "pos").alias("first_time"), F.max_by("time", "pos").alias("last_time"),
         F.count_if(F.col("time_us").isNull()).alias("invalid_timestamp_rows"),
         (F.count_if(flags.zero_heart_rate(F.col("heart_rate"))) / F.count(F.lit(1))).alias("heart_rate_zero_fraction"),
@@ -122,7 +124,8 @@ def rollup(audit: DataFrame) -> DataFrame:
 
 
 def mode_histogram(audit: DataFrame) -> DataFrame:
-    """Files by mode (over 0 only), and the median of the modes on every row."""
-    mode = audit.where(F.col("mode_rows_per_timestamp") > 0)
-    counted = mode.groupBy("mode_rows_per_timestamp").agg(F.count(F.lit(1)).alias("files"))
-    return counted.withColumn("median_mode", F.lit(mode.agg(F.median("mode_rows_per_timestamp")).first()[0]).cast("double"))
+    """Files by mode (over 0 only), and the median of the modes on every row, which comes from the histogram itself."""
+    mode = F.col("mode_rows_per_timestamp")
+    counted = audit.where(mode > 0).groupBy("mode_rows_per_timestamp").agg(F.count(F.lit(1)).alias("files"))
+    median = counted.agg(F.percentile(mode, 0.5, F.col("files")).cast("double").alias("median_mode"))
+    return counted.join(F.broadcast(median))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions.scalars import fingerprint
@@ -54,8 +54,16 @@ def kept_left(catalog: DataFrame, audit: DataFrame, key: str, zeros: list[str])
     return catalog.join(audit, key, "left").na.fill(0, zeros)
 
 
+def lacking(expected: list[str], columns: Column) -> Column:
+    return F.array_sort(F.array_except(F.array(*[F.lit(c) for c in expected]), columns))
+
+
+def lacking_error(lacks: Column) -> Column:
+    """The error that names the columns a file lacks, "" where it lacks none."""
+    return F.when(F.size(lacks) > 0, F.concat(F.lit("missing columns: "), F.array_join(lacks, ", "))).otherwise("")
+
+
 def missing_columns(expected: list[str], actual: DataFrame) -> DataFrame:
     """The expected columns that each file of ``actual`` ``(path, columns)`` lacks, and the error that names them."""
-    lacks = F.array_sort(F.array_except(F.array(*[F.lit(c) for c in expected]), F.col("columns")))
-    error = F.when(F.size(lacks) > 0, F.concat(F.lit("missing columns: "), F.array_join(lacks, ", "))).otherwise("")
-    return actual.select("path", lacks.alias("missing_columns"), error.alias("error"))
+    lacks = lacking(expected, F.col("columns"))
+    return actual.select("path", lacks.alias("missing_columns"), lacking_error(lacks).alias("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions import scalars
@@ -56,28 +56,58 @@ def table_missing(df: DataFrame) -> DataFrame:
     return one.select("total_missing_cells", F.expr("coalesce(try_divide(total_missing_cells, n), 0.0D)").alias("missing_fraction"))
 
 
+def row_hash(columns: list[Column], seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *columns)
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each; nulls are equal. Counted by grouped rows, combined before the shuffle."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
+    """Rows beyond the first of each; nulls and NaN are equal. Rows are counted by a hash of 128 bits; only rows that share one meet as a whole and are compared."""
+    df = scalars.nan_as_null(df)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if not columns:
+        return df.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("duplicate_rows"))
+    hashes = [row_hash(columns, 1).alias("h1"), row_hash(columns, 2).alias("h2")]
+    shared = df.select(*hashes).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    met = df.select(F.struct(*columns).alias("row"), *hashes).join(shared, ["h1", "h2"], "left_semi")
+    groups = met.groupBy("h1", "h2", "row").agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+def as_text(column: Column, kind: str) -> Column:
+    """A value as a text that differs where the value does; -0.0 is 0.0."""
+    if kind in ("double", "float"):
+        column = column + F.lit(0.0)
+    elif kind == "binary":
+        return F.hex(column)
+    elif kind.startswith(("array", "map", "struct", "variant")):
+        return F.to_json(column)
+    return column.cast("string")
+
+
 def column_inventory(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """One row a column: rows, missing values and distinct values that are not null, from one aggregate; NaN is null."""
+    """One row a column: rows, missing values and distinct values that are not null; NaN is null.
+
+    Distinct values are counted in two levels: cells are reduced to distinct
+    ``(column, value)``, with how often each stands, and then counted. With
+    ``approximate`` a sketch of bounded size takes the place of the first level.
+    """
     df = scalars.nan_as_null(df)
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    stats = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(df.columns):
-        stats += [F.count(F.col(f"`{c}`")).alias(f"c{i}"), distinct(F.col(f"`{c}`")).alias(f"d{i}")]
-    one, n = df.agg(*stats), F.col("n")
-    rows = [
-        F.struct(
-            F.lit(c).alias("column"), F.lit(dict(df.dtypes)[c]).alias("dtype"), n.alias("rows"), (n - F.col(f"c{i}")).alias("missing_count"),
-            F.when(n > 0, (n - F.col(f"c{i}")) / n).otherwise(0.0).alias("missing_fraction"), F.col(f"d{i}").alias("unique_non_null_values"),
-        )
-        for i, c in enumerate(df.columns)
-    ]
-    return one.select(F.inline(F.array(*rows)))
+    kinds = dict(df.dtypes)
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], "column string, dtype string, rows long, missing_count long, missing_fraction double, unique_non_null_values long")
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), as_text(F.col(f"`{c}`"), kinds[c]).alias("value")) for i, c in enumerate(df.columns)])))
+    if approximate:
+        counts = cells.groupBy("ordinal").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("known"), F.approx_count_distinct("value").alias("distinct"))
+    else:
+        values = cells.groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
+        counts = values.groupBy("ordinal").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("known"), F.count("value").alias("distinct"))
+    names = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(kinds[c]).alias("dtype")) for i, c in enumerate(df.columns)])
+    columns = df.sparkSession.range(1).select(F.inline(names))
+    n, missing = F.coalesce("rows", F.lit(0)), F.coalesce(F.col("rows") - F.col("known"), F.lit(0))
+    return columns.join(counts, "ordinal", "left").select(
+        "column", "dtype", n.alias("rows"), missing.alias("missing_count"),
+        F.when(n > 0, missing / n).otherwise(0.0).alias("missing_fraction"), F.coalesce("distinct", F.lit(0)).alias("unique_non_null_values"),
+    )
 
 
 def category_rollup(tables: DataFrame) -> DataFrame:

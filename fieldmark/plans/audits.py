@@ -1,29 +1,36 @@
 """The audits from a folder of files to their tables. Samples are optional; without one every file and row is read.
 
-A file that cannot be read, has no rows, gives back fewer rows than its footer
-states or ends before the start row is a row with its ``error`` and zeros.
+A file that cannot be read, lacks a column, has no rows, gives back fewer rows
+than its footer states or ends before the start row is a row with its ``error``
+and zeros. Files may store a column in different types; values are coerced.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark import schemas
 from fieldmark.functions import scalars
-from fieldmark.operators import cadence, catalog, inventory, multiplicity, outcomes, sampling, tables, values
+from fieldmark.operators import cadence, catalog, inventory, multiplicity, outcomes, reports, sampling, tables, values
 from fieldmark.sources import readers, sinks
+from fieldmark.sources.shared import kept
 
 Tables = dict[str, DataFrame]
 
 
 def archive(spark: SparkSession, root: str) -> Tables:
-    """Catalogue, unmatched files, totals and player inventory of the recordings below ``root``."""
-    files = readers.list_files(spark, root)
+    """Catalogue, unmatched files and player inventory of the recordings below ``root``, and what is counted over both."""
+    files = kept(readers.list_files(spark, root), "listing")
     found = catalog.matched(files)
-    return {"catalog": catalog.ordered(found), "unmatched": catalog.unmatched(files), "totals": catalog.totals(files), "inventory": inventory.ordered(inventory.player_inventory(found))}
+    players = inventory.player_inventory(found)
+    counts = {f"files_by_{'_'.join(k)}": catalog.counts_by(found, *k).orderBy(*k) for k in (["team"], ["year"], ["month"], ["team", "year"])}
+    return {
+        "catalog": catalog.ordered(found), "unmatched": catalog.unmatched(files), "totals": catalog.totals(files), **counts,
+        "files_by_player": catalog.counts_by(found, "player_id").orderBy(F.desc("files"), "player_id"),
+        "inventory": inventory.ordered(players), "multi_team_players": inventory.multi_team_players(found), "players_by_team": inventory.players_by_team(players).orderBy("team"),
+        "session_counts": inventory.session_count_stats(players), "inventory_totals": inventory.inventory_totals(players),
+    }
 
 
 def chosen_files(spark: SparkSession, root: str, files_per_group: int | None = None) -> DataFrame:
@@ -31,36 +38,55 @@ def chosen_files(spark: SparkSession, root: str, files_per_group: int | None = N
     return found if files_per_group is None else sampling.spread_files(found, files_per_group)
 
 
-def schema_audit(spark: SparkSession, root: str, files_per_group: int | None = None) -> DataFrame:
-    """Footer facts and schema id of the catalogued files; unreadable ones keep their error."""
-    return outcomes.with_schema_id(chosen_files(spark, root, files_per_group).join(readers.footer_catalog(spark, root), "path", "left"))
-
-
-def readings(spark: SparkSession, root: str, columns: list[str], files_per_group: int | None = None) -> DataFrame:
-    """Readings of the catalogued files with team, player, place and parsed time; NaN is null. File keys are stamped by a join on the path."""
-    rows = scalars.nan_as_null(readers.scan_sensor(spark, [root], columns))
-    rows = rows.join(chosen_files(spark, root, files_per_group).select("path", "filename", "team", "year", "player_id"), "path")
-    return rows.withColumnRenamed("path", "file").withColumn("time_us", scalars.time_of_day_us(F.col("time")))
+def known_files(spark: SparkSession, root: str, files_per_group: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The chosen files with the facts of their footers; no other footer is opened.
 
+    With ``columns``, a file that lacks one of them has an error that names it,
+    and ``kind`` tells how it stores them. The table is written once and all of
+    an audit starts from it.
+    """
+    chosen = kept(chosen_files(spark, root, files_per_group), "chosen-files")
+    tasks = max(1, min(chosen.count(), 16 * spark.sparkContext.defaultParallelism))
+    known = chosen.join(readers.footers(chosen.select("path").repartition(tasks, "path")), "path")
+    if columns is not None:
+        lacks = outcomes.lacking(columns, F.col("columns"))
+        known = known.withColumn("error", F.when(F.col("error") != "", F.col("error")).otherwise(outcomes.lacking_error(lacks))).withColumn("kind", readers.kind_of(columns))
+    return kept(known, "known-files")
+
+
+def schema_audit(spark: SparkSession, root: str, files_per_group: int | None = None) -> Tables:
+    """Footer facts and schema id of the catalogued files; unreadable ones keep their error. What is counted over them, and a text for each schema."""
+    known = outcomes.with_schema_id(known_files(spark, root, files_per_group))
+    good = outcomes.successes(known)
+    return {
+        "files": known.drop("columns").orderBy("team", "year", "date", "player_id", "path"), "outcomes": outcomes.read_outcomes(known), "statistics": outcomes.footer_stats(known),
+        "frequency": outcomes.schema_frequency(known).orderBy(F.desc("files"), "schema_id"), "definitions": outcomes.schema_examples(good, "path").orderBy("schema_id"),
+        "failures": outcomes.failures(known).select("path", "filename", "error"),
+    }
 
-def block(rows: DataFrame, start: int = 0, n: int | None = None) -> DataFrame:
-    if n is None and start == 0:
-        return rows
-    return sampling.contiguous_block(rows, start, 2**62 if n is None else n)
 
+def readings(known: DataFrame, columns: list[str], start: int = 0, rows_per_file: int | None = None, spread: int | None = None) -> DataFrame:
+    """Readings of the good files of ``known`` with their place and parsed time; NaN is null.
 
-def with_errors(audit: DataFrame, files: DataFrame, footers: DataFrame, count: str, start: int = 0, n: int | None = None) -> DataFrame:
-    """``audit`` with a row for every one of ``files``; failed ones have their ``error`` and zeros. ``count`` is the audit's number of rows."""
-    known = files.select("path", "team", "player_id").join(footers.select("path", "row_count", F.col("error").alias("footer_error")), "path", "left")
-    facts = known.withColumnRenamed("path", "file").join(audit.drop("team", "player_id"), "file", "left")
-    left = F.col("row_count") - start
-    wanted = left if n is None else F.least(left, F.lit(n))
-    got = F.coalesce(count, F.lit(0))
-    beyond = outcomes.with_start_check(facts.withColumnRenamed("row_count", "total_rows"), start).withColumnRenamed("error", "start_error")
-    facts = beyond.withColumnRenamed("total_rows", "row_count")
+    Whole files are scanned by kind. Of a block of rows or evenly spaced ones
+    only these are read. A file's team and player come from its own path.
+    """
+    if rows_per_file is not None or spread is not None:
+        rows = readers.parts_of(known, columns, start, rows_per_file, spread)
+    else:
+        rows = readers.recordings(known.sparkSession, known, columns).where(F.col("pos") >= start)
+    return rows.withColumn("time_us", scalars.time_of_day_us(F.col("time")))
+
+
+def with_errors(audit: DataFrame, known: DataFrame, count: str, start: int = 0, n: int | None = None) -> DataFrame:
+    """``audit`` with a row for every one of the ``known`` files; failed ones have their ``error`` and zeros. ``count`` is the audit's number of rows."""
+    facts = known.select(F.col("path").alias("file"), "team", "player_id", F.col("row_count").alias("total_rows"), F.col("error").alias("known_error"))
+    facts = outcomes.with_start_check(facts.join(audit.drop("team", "player_id"), "file", "left"), start).withColumnRenamed("error", "start_error")
+    left = F.col("total_rows") - start
+    wanted, got = left if n is None else F.least(left, F.lit(n)), F.coalesce(count, F.lit(0))
     error = (
-        F.when(F.coalesce("footer_error", F.lit("")) != "", F.col("footer_error"))
-        .when(F.col("row_count") == 0, "the file has no rows")
+        F.when(F.coalesce("known_error", F.lit("")) != "", F.col("known_error"))
+        .when(F.col("total_rows") == 0, "the file has no rows")
         .when(F.coalesce("start_error", F.lit("")) != "", F.col("start_error"))
         .when(got < wanted, F.format_string("%d of %d rows could be read", got, wanted))
         .otherwise("")
@@ -72,75 +98,69 @@ def with_errors(audit: DataFrame, files: DataFrame, footers: DataFrame, count: s
     return facts.withColumns(zeros).select("file", "team", "player_id", *[c for c in audit.columns if c not in ("file", "team", "player_id")], "error")
 
 
+def examples(rows: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """The first ``n`` rows of each file with the keys of their file."""
+    return catalog.with_keys(sampling.head_rows(rows, n)).select("file", "filename", "team", "year", "player_id", "pos", *columns)
+
+
 def value_audit(spark: SparkSession, root: str, files_per_group: int | None = None, rows_per_file: int | None = None) -> Tables:
-    rows = readings(spark, root, schemas.SENSOR_COLUMNS, files_per_group)
-    rows = rows if rows_per_file is None else sampling.spread_rows(rows, rows_per_file)
-    files = with_errors(values.file_audit(rows, schemas.SENSOR_COLUMNS), chosen_files(spark, root, files_per_group), readers.footer_catalog(spark, root), "rows_sampled", n=rows_per_file)
+    if rows_per_file is not None:
+        sampling.at_least(rows_per_file, 2, "rows_per_file")
+    known = known_files(spark, root, files_per_group, schemas.SENSOR_COLUMNS)
+    rows = readings(known, schemas.SENSOR_COLUMNS, spread=rows_per_file)
+    files = kept(with_errors(values.file_audit(rows, schemas.SENSOR_COLUMNS), known, "rows_sampled", n=rows_per_file), "value-audit")
     good = outcomes.successes(files)
     return {
-        "files": files, "columns": values.numeric_profile(rows, schemas.SENSOR_VALUES, ["file"]), "examples": sampling.head_rows(rows, schemas.EXAMPLE_ROWS),
+        "files": files, "columns": values.numeric_profile(rows, schemas.SENSOR_VALUES, ["file"], rows_per_file), "examples": examples(rows, schemas.EXAMPLE_ROWS, schemas.SENSOR_COLUMNS),
         "rollup": values.rollup(good), "intervals": cadence.spread_of(good, "median_interval_seconds"),
     }
 
 
 def cadence_audit(spark: SparkSession, root: str, files_per_group: int | None = None, start: int = 0, rows_per_file: int | None = None, multiplier: float = schemas.GAP_MULTIPLIER) -> Tables:
-    rows = block(readings(spark, root, ["player_name", "time", "heart_rate"], files_per_group), start, rows_per_file)
-    files = with_errors(cadence.file_audit(rows, multiplier), chosen_files(spark, root, files_per_group), readers.footer_catalog(spark, root), "rows_inspected", start, rows_per_file)
+    check_block(start, rows_per_file)
+    columns = ["player_name", "time", "heart_rate"]
+    known = known_files(spark, root, files_per_group, columns)
+    rows = readings(known, columns, start, rows_per_file)
+    files = kept(with_errors(cadence.file_audit(rows, multiplier), known, "rows_inspected", start, rows_per_file), "cadence-audit")
     good = outcomes.successes(files)
     return {
-        "files": files, "examples": sampling.head_rows(cadence.adjacent_intervals(rows), schemas.INTERVAL_ROWS), "rollup": cadence.rollup(good),
+        "files": files, "examples": examples(cadence.adjacent_intervals(rows), schemas.INTERVAL_ROWS, [*columns, "interval_us"]), "rollup": cadence.rollup(good),
         "modes": cadence.mode_histogram(good), "spread": cadence.spread_of(good, "estimated_frequency_hz", "median_interval_seconds"),
     }
 
 
 def multiplicity_audit(spark: SparkSession, root: str, files_per_group: int | None = None, start: int = 0, rows_per_file: int | None = None) -> Tables:
-    rows = block(readings(spark, root, schemas.SENSOR_COLUMNS, files_per_group), start, rows_per_file)
-    files = with_errors(multiplicity.file_audit(rows), chosen_files(spark, root, files_per_group), readers.footer_catalog(spark, root), "rows_inspected", start, rows_per_file)
-    columns, good = multiplicity.column_variation(rows, schemas.SENSOR_VALUES), outcomes.successes(files)
+    check_block(start, rows_per_file)
+    known = known_files(spark, root, files_per_group, schemas.SENSOR_COLUMNS)
+    rows = readings(known, schemas.SENSOR_COLUMNS, start, rows_per_file)
+    files = kept(with_errors(multiplicity.file_audit(rows), known, "rows_inspected", start, rows_per_file), "multiplicity-audit")
+    columns, good = kept(multiplicity.column_variation(rows, schemas.SENSOR_VALUES), "variation"), outcomes.successes(files)
     return {
-        "files": files, "columns": columns, "examples": sampling.head_rows(rows.where(F.col("time_us").isNotNull()), schemas.VALID_ROWS), "rollup": multiplicity.rollup(good),
-        "variation": multiplicity.variation_by_column(columns), "spread": cadence.spread_of(good, "unique_timestamps_per_second", "estimated_rows_per_second"),
+        "files": files, "columns": columns, "examples": examples(rows.where(F.col("time_us").isNotNull()), schemas.VALID_ROWS, schemas.SENSOR_COLUMNS), "rollup": multiplicity.rollup(good),
+        "modes": multiplicity.mode_histogram(good), "variation": multiplicity.variation_by_column(columns), "spread": cadence.spread_of(good, "unique_timestamps_per_second", "estimated_rows_per_second"),
     }
 
 
+def check_block(start: int, rows_per_file: int | None) -> None:
+    sampling.at_least(start, 0, "start")
+    if rows_per_file is not None:
+        sampling.at_least(rows_per_file, 2, "rows_per_file")
+
+
 def subjective_audit(spark: SparkSession, root: str) -> Tables:
-    """Every self-report CSV below ``root``: a row for each table, a row for each of its columns, and tables by category.
+    """Every self-report CSV below ``root``: a row for each table, a row for each of its columns, tables by category and the totals of all.
 
-    A table that cannot be read is a row with its ``error``. What comes to the
-    driver is the list of files and of their columns.
+    A table that cannot be read is a row with its ``error``. All tables are
+    parsed by one job and profiled together; how many jobs run does not depend
+    on how many tables there are.
     """
-    listed = readers.csv_tables(spark, root).collect()
-    frames, errors = {}, {}
-    for r in listed:
-        try:
-            frames[r.path] = readers.read_csv_table(spark, r.path)
-        except Exception as e:  # any damage is the file's, and is reported in its row
-            errors[r.path] = f"{type(e).__name__}: {e}"[:300]
-    names = spark.createDataFrame([(p, i, c) for p, df in frames.items() for i, c in enumerate(df.columns)], "table_name string, ordinal int, column string")
-    likely = tables.resolve_player_column(names).join(tables.resolve_date_column(names), "table_name").collect()
-    likely = {r.table_name: (r.player_column, r.date_column) for r in likely}
-    of_tables, of_columns = [], []
-    for r in listed:
-        known = [F.lit(x).alias(n) for n, x in (("path", r.path), ("filename", r.filename), ("category", r.category), ("table_name", r.table_name))]
-        if r.path in errors or not frames[r.path].columns:
-            zero = "0L as rows, 0L as columns, '' as column_names, cast(null as bigint) as unique_players, '' as first_date, '' as last_date, 0L as total_missing_cells, 0.0D as missing_fraction, 0L as duplicate_rows"
-            one = spark.range(1).selectExpr(*zero.split(", "))
-            of_tables.append(one.select(*known, F.lit("").alias("player_column"), F.lit("").alias("date_column"), "*", F.lit(errors.get(r.path, "the file has no columns")).alias("error")))
-            continue
-        df, (player, date) = frames[r.path], likely[r.path]
-        parts = [f.withColumn("one", F.lit(1)) for f in (tables.table_shape(df), tables.unique_players(df, player), tables.date_range(df, date), tables.table_missing(df), tables.duplicate_rows(df))]
-        one = reduce(lambda a, b: a.join(b, "one"), parts).drop("one")
-        of_tables.append(one.select(*known, F.lit(player).alias("player_column"), F.lit(date).alias("date_column"), "*", F.lit("").alias("error")))
-        of_columns.append(tables.column_inventory(df).select(*known, "*"))
-    found = reduce(DataFrame.unionByName, of_tables)
-    columns = reduce(DataFrame.unionByName, of_columns) if of_columns else None
-    return {"tables": found, "categories": tables.category_rollup(outcomes.successes(found))} | ({"columns": columns} if columns is not None else {})
+    listed = kept(readers.csv_tables(spark, root), "csv-listing")
+    found, columns = reports.profiles(readers.csv_records(listed))
+    of_tables = kept(reports.with_listing(listed, found), "csv-tables")
+    good = outcomes.successes(of_tables)
+    return {"tables": of_tables.orderBy("category", "path"), "categories": tables.category_rollup(good), "columns": reports.with_listing(listed, columns, "inner"), "totals": reports.totals(of_tables)}
 
 
 def save(results: Tables, folder: str) -> None:
-    """Write an audit's tables below ``folder``, each as CSV with its columns in order; examples only where there are some."""
-    for name, df in results.items():
-        if name == "examples":
-            sinks.write_examples([df], f"{folder}/{name}")
-        else:
-            sinks.write_table(df, f"{folder}/{name}", df.columns)
+    """Write an audit's tables as CSV and publish them below ``folder`` in one step (``sinks.publish``)."""
+    sinks.publish(results, folder)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from fieldmark.functions import scalars
@@ -15,6 +12,7 @@ from fieldmark.operators import sampling
 from fieldmark.queries.fixtures import CATALOG, FILES, SENSOR, catalog, files, r6, register, sensor, table
 from fieldmark.schemas import CATALOG as CATALOG_DDL
 from fieldmark.sources import readers, sinks
+from fieldmark.sources.shared import fresh_folder
 
 COLUMNS = "path, filename, team, year, month, date, player_id, size_bytes"
 
@@ -28,9 +26,7 @@ def written(df, kind, columns, schema):
 
 
 def sink_folder(spark):
-    """A fresh folder in the shared place that the cluster names, or a temporary one in local runs."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/sinks-{uuid.uuid4().hex[:12]}"
+    return fresh_folder(spark, "sinks")
 
 
 @register("src_file_listing")

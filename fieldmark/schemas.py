@@ -9,12 +9,16 @@ SENSOR_VALUES = [
     "lat", "lon", "speed", "heart_rate", "hacc", "hdop", "signal_quality", "num_satellites",
     "inst_acc_impulse", "accl_x", "accl_y", "accl_z", "gyro_x", "gyro_y", "gyro_z",
 ]
-SENSOR_COLUMNS = ["player_name", "time", *SENSOR_VALUES]
+SENSOR_TEXTS = ["player_name", "time"]
+SENSOR_COLUMNS = [*SENSOR_TEXTS, *SENSOR_VALUES]
 #: Texts that a CSV reader takes as missing (fixed values).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+#: Types that a text column may have, the narrowest first; text if none fits.
+KINDS = "bigint", "double", "boolean", "date", "timestamp"
 #: Column names looked for, most likely first (fixed values).
 PLAYER_COLUMNS = ["player_name", "player", "player_id", "athlete", "athlete_id"]
 DATE_COLUMNS = ["timestamp", "date", "datetime", "time", "created_at"]
+#: Limits of plausible values and of a large gap, and numbers of example rows (fixed values).
 LATITUDE, LONGITUDE, TOP_SPEED, HEART_RATE = 90, 180, 15, (30, 240)
 GAP_MULTIPLIER, EXAMPLE_ROWS, INTERVAL_ROWS, VALID_ROWS = 10.0, 5, 200, 100
 
