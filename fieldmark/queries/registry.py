@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldmark.queries import catalog, recordings, tables  # noqa: F401  they register themselves
+from fieldmark.queries import archives, catalog, recordings, tables  # noqa: F401  they register themselves
 from fieldmark.queries.fixtures import ORACLE, QUERIES
 
 

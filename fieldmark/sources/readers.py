@@ -76,6 +76,12 @@ def opened(path: str) -> pa.NativeFile:
     return fs.open_input_file(name)
 
 
+def opened_for_writing(path: str) -> pa.NativeFile:
+    fs, name = (pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else pafs.FileSystem.from_uri(path)
+    fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    return fs.open_output_stream(name)
+
+
 def footer_of(path: str, content: bytes | None) -> dict:
     source = opened(path) if content is None else pa.BufferReader(content)
     with source:
