@@ -17,8 +17,6 @@ HOT_KEYS = 4096
 READ_BYTES = 64 << 20
 #: Rows of a narrow table (keys and numbers, under 200 bytes each) that may be broadcast.
 NARROW_ROWS = 100_000
-#: Tasks that the edges of one node are dealt over.
-SALTS = 16
 #: The row key of a null doc_id: later than any other.
 NO_ID = 2**63 - 1
 _no_folder: dict[str, str] = {}
@@ -151,12 +149,11 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def hub_join(edges: DataFrame, least: DataFrame, small: bool) -> DataFrame:
-    """``edges(a, b)`` joined with ``least(a, m)``: broadcast if small, else with every hub's edges dealt over ``SALTS`` tasks."""
+def labelled(edges: DataFrame, least: DataFrame, small: bool) -> DataFrame:
+    """``edges(a, b)`` joined with ``least(a, m, n)``: broadcast if small, else with the hubs' labels broadcast and the others' shuffled."""
     if small:
-        return edges.join(F.broadcast(least), "a")
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    return salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "salt"]).drop("salt")
+        return edges.join(F.broadcast(least.drop("n")), "a")
+    return split_join(edges, least, ["a"], "n").drop("n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,7 +163,8 @@ def components(edges: DataFrame) -> DataFrame:
     (combined before the shuffle) and a join, so no neighbourhood is ever held
     in one task's memory. Each round is written to the shared folder. Self
     loops are ignored; an empty input gives an empty result. The rounds end by
-    themselves: each either lowers a label or is the last.
+    themselves: each either lowers a label or is the last. A round of at most
+    ``NARROW_ROWS`` edges is one small task, which needs no shuffle.
     """
     now = stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -176,15 +174,14 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         small = state[0] <= NARROW_ROWS
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = hub_join(both.where("b > a"), least, small).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = hub_join(large, least, small)
-        after = stage(
-            joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(),
-            "edges",
-        )
+        one = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+        count = F.count(F.lit(1)).alias("n")
+        both = one(now).select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), count)
+        large = labelled(both.where("b > a"), least, small).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), count)
+        joined = labelled(large, least, small).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = stage(one(joined.unionByName(least.select("a", F.col("m").alias("b")))).distinct(), "edges")
         free(now)
         now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,10 +1,11 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Elements and runs of text are the nodes of a tree of hidden states: all of its
-text is main text, none is, or both. A node's own signs (its tag, words in its
-class and id, how much of its text is links, how long its text is) give a node
-potential, and each edge has a potential for the states of parent and child.
-What a tag or a class word stands for is learned, none is listed here.
+text is main text, none is, or both. A node's signs (its tag, words in its class
+and id or in those of the part it stands in, whether it is hidden, how much of
+its text is links, how long its text is, whether it stands in the page's article
+or main) give a node potential, and each edge has a potential for the states of
+parent and child. What they stand for is learned from the labelled pages alone.
 Sum-product messages go up from the leaves and down from the root; their
 product is each node's exact marginal. A run of text that is main text with a
 marginal of one half or more is kept. All potentials are smoothed counts over
@@ -15,7 +16,8 @@ Messages run over arrays in document order, so deep nesting needs no recursion.
 
 Cases: a null or empty html has an empty text; so has a page whose text is all
 outside main text; broken markup (unclosed, stray or cut-off tags) is read as
-browsers do in the common cases, in time linear in the page; repeated rows each
+browsers do in the common cases, in time linear in the page, however long; a tag
+or quoted value that never ends takes the rest of the page; repeated rows each
 get their result; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from fieldmark.llm.common import map_batches
 from fieldmark.llm.labelled_pages import MAIN_CLOSE, MAIN_OPEN, pages
 
-TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A tag's end is the first > outside quoted values; quotes open behind = alone, and a tag or value that does not end takes the rest of the page, once.
+TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=\"']++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+|[\"'])*+)(?:>|\Z)", re.S)
 #: One attribute, name and value; matched end to end, so nothing is looked for inside a value.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 #: Fixed values of HTML: elements without content, with raw text, and that end an open paragraph.
@@ -48,6 +51,8 @@ BLOCKS = frozenset(
 )
 ENDS_PARAGRAPH = BLOCKS - frozenset("body button dd dt html li option select tbody td textarea tfoot th thead tr".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+#: Elements that, where a page has them, tell in and out apart; what that means is learned.
+FRAMED = frozenset(("article", "main"))
 GROUPS = {tag: tag for tag in "nav header footer aside form article main section div p a li table pre blockquote body html".split()}
 GROUPS |= {"#root": "root", "#text": "text"}
 GROUPS |= dict.fromkeys("button input select option textarea label fieldset legend".split(), "control") | dict.fromkeys("h1 h2".split(), "title") | dict.fromkeys("h3 h4 h5 h6".split(), "heading") | dict.fromkeys("ul ol dl menu".split(), "list") | dict.fromkeys("tr td th tbody thead tfoot".split(), "cell")
@@ -174,7 +179,7 @@ class Tree:
         return closed
 
     def signs(self) -> list[tuple]:
-        """For each node: tag group, that with the parent's, words of its class, share of its text in links, length of its text."""
+        """For each node: tag group, that with the parent's, words of its class, share of its text in links, length of its text, place in or out of the page's frames."""
         n = len(self.tag)
         length, linked = [0] * n, [0] * n
         for node, text in self.texts:
@@ -186,7 +191,17 @@ class Tree:
             linked[self.parent[i]] += linked[i]
         group = [GROUPS.get(t, "other") for t in self.tag]
         both = [f"{group[p]}>{g}" if p >= 0 else g for p, g in zip(self.parent, group, strict=True)]
-        return [(g, b, h, share_of(k, s), size_of(s)) for g, b, h, s, k in zip(group, both, self.hint, length, linked, strict=True)]
+        inside: list[frozenset[str]] = [frozenset()] * n
+        for i, tag in enumerate(self.tag):
+            above = inside[self.parent[i]] if i else frozenset()
+            inside[i] = above | {tag} if tag in FRAMED else above
+        frames = FRAMED.intersection(self.tag)  # where a page has both, what is in one alone is told from what is in both
+        names = {x: f"{'+'.join(sorted(x))} of {'+'.join(sorted(frames))}" for x in set(inside)}
+        place, hint = [names[x] for x in inside], list(self.hint)
+        for i in range(1, n):  # a part without words of its own stands under its parent's
+            if hint[i] == NOTHING:
+                hint[i] = hint[self.parent[i]]
+        return [(g, b, h, share_of(k, s), size_of(s), x) for g, b, h, s, k, x in zip(group, both, hint, length, linked, place, strict=True)]
 
     def states(self) -> list[int]:
         """The labelled state of each node: all its text is main, none is, or both."""
@@ -225,7 +240,7 @@ class Model:
     """Potentials from smoothed counts: of each sign given a node's state, and of a child's state given its parent's."""
 
     def __init__(self, labelled: list[Tree], smoothing: float = 0.02) -> None:
-        counts: list[dict[str, list[float]]] = [{} for _ in range(5)]
+        counts: list[dict[str, list[float]]] = [{} for _ in range(6)]
         total, edges = [0] * STATES, [[smoothing] * STATES for _ in range(STATES)]
         for tree in labelled:
             state = tree.states()
@@ -236,7 +251,6 @@ class Model:
                         counts[k].setdefault(one, [0] * STATES)[state[i]] += 1
                 if i:
                     edges[state[tree.parent[i]]][state[i]] += 1
-        counts[2]["hidden"] = [0, total[ELSE], 0]
         self.sign = [{s: [(c[x] + smoothing) / (total[x] + smoothing * (len(kind) + 1)) for x in range(STATES)] for s, c in kind.items()} for kind in counts]
         self.edge = [[e / sum(row) for e in row] for row in edges]
         self.known: dict[tuple, list[float]] = {}

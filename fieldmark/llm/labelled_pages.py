@@ -45,9 +45,18 @@ COMMENT_LIST = '<ol id="{comments}"><li><p>{t}</p></li><li><p>{t}</p><p>{t}</p><
 COMMENT_ARTICLES = '<section id="{comments}"><h2>{s}</h2><article class="comment"><p>{t}</p></article><article class="comment"><p>{t}</p><p>{t}</p></article></section>'
 ROLES = '<div role="complementary"><p>{t}</p></div><div role="contentinfo"><p>{s}</p></div>'
 COMMENT_DIVS = '<div class="{comments}"><p>{s}</p><p>{t}</p><div>{s}</div></div>'
+ONE_COMMENT = '<div class="{comments}"><p>{s}</p></div>'
 SHARE = '<div class="{share}"><a href="{u}">{s}</a><a href="{u}">{s}</a></div>'
 RELATED = '<div class="{related}"><h4>{s}</h4><ul><li><a href="{u}">{t}</a></li><li><a href="{u}">{t}</a></li></ul></div>'
 LINKED = '[[<h1>{s}</h1><ul><li><a href="{u}">{t}</a></li><li><a href="{u}">{s}</a></li><li>{s}</li></ul><p>{t}</p><ol><li><a href="{u}">{s}</a> {t}</li><li>{t}</li></ol><p>{t}</p>]]'
+ITEM = '<li><a href="{u}">{s}</a></li>'
+WORDED = '<li><a href="{u}">{s} {s}</a></li>'
+LISTED = f"[[<h1>{{s}}</h1><p>{{t}}</p><ul>{ITEM * 3}</ul><p>{{t}}</p>]]"
+REFERENCES = f"[[<h1>{{s}}</h1><p>{{t}}</p><p>{{t}}</p><h2>{{s}}</h2><ol>{WORDED * 4}</ol>]]"
+FEW_LINKS = f'[[<h1>{{s}}</h1><p>{{t}}</p><ul>{WORDED}{ITEM}</ul><h2>{{s}}</h2><p>{{t}}</p><ul>{ITEM}<li>{{s}}</li>{WORDED}</ul>]]'
+MANY_LINKS = f"[[<h1>{{s}}</h1><ul>{ITEM * 8}</ul><p>{{t}}</p><ul>{WORDED * 5}</ul>]]"
+UNSEEN = '<div hidden><p>{t}</p></div><p style="display:none">{t}</p><span aria-hidden="true">{s}</span>'
+PLAIN = "<div><div><p>{t}</p><p>{s}</p></div></div>"
 SECTIONS = '[[<h1>{s}</h1><section><h2>{s}</h2><p>{t}</p><pre>{t}</pre></section><section><h2>{s}</h2><p>{t}</p><dl><dt>{s}</dt><dd>{t}</dd></dl></section>]]'
 BODY = "[[<h1>{s}</h1><p>{t}</p><p>{t} <b>{s}</b> {t}</p><p>{s}</p><p>{t}</p>]]"
 RICH = '[[<h1>{s}</h1><p>{t}</p><h2>{s}</h2><p>{t} <a href="{u}">{s}</a> {t}</p><h3>{s}</h3><p>{t}</p><ul><li>{s}</li><li>{t}</li></ul><blockquote><p>{t}</p></blockquote><table><tr><th>{s}</th><td>{s}</td></tr></table><pre><code>{s}</code></pre><figure><figcaption>{s}</figcaption></figure>]]'
@@ -80,6 +89,23 @@ LAYOUTS = [
     NAV + f'<article class="{{main}}">{LINKED}{ASK}</article>' + FOOT_LINKS,
     MENU_LIST + f'<div class="{{main}}">{SECTIONS}{RELATED}</div>' + ASK + FOOT,
     NAMED_TOP + MENU_LIST + f'<div id="{{main}}"><div class="{{main}}">{BODY}</div>{COMMENTS}</div>' + FOOT,
+    NAV + f"<article>{LISTED}</article>" + FOOT,
+    TOP + NAV + f"<main>{REFERENCES}</main>" + SIDE + FOOT,
+    NAV + f"<article>{REFERENCES}</article>" + COMMENT_LIST + FOOT_LINKS,
+    MENU + f"<main><article>{FEW_LINKS}{SHARE}</article></main>" + SIDE + FOOT,
+    NAMED_TOP + MENU_LIST + f'<div class="{{main}}">{LISTED}{RELATED}</div>' + FOOT,
+    TOP + NAV + f'<div id="{{main}}">{FEW_LINKS}</div>' + SIDE_TEXT + FOOT_LINKS,
+    NAV + f"<main>{MANY_LINKS}</main>" + FOOT,
+    NAV + f"<article>{MANY_LINKS}</article>" + SIDE + FOOT,
+    f"<article>[[<p>{{s}}</p>]]{ONE_COMMENT}</article>",
+    NAV + f"<main><article>{BODY}{ONE_COMMENT}</article></main>" + FOOT,
+    NAV + f"<article>{SHORT}{FORM}{SIDE_TEXT}{COMMENTS}</article>" + FOOT,
+    "<article><div><div><div>[[<p>{s}</p>]]</div></div></div></article>",
+    NAV + f"<article><div>{BODY}</div></article>" + FOOT,
+    TOP + f"<main><div><div><article><div>{RICH}</div></article></div></div></main>" + SIDE + FOOT,
+    UNSEEN + NAV + f"<article>{UNSEEN}{BODY}{UNSEEN}</article>" + FOOT,
+    PLAIN + NAV + f"<article>{BODY}</article>" + PLAIN + FOOT,
+    TOP + PLAIN + f"<main>{RICH}</main>" + PLAIN + FOOT_LINKS,
     PROMO + f"<main><section>{BODY}</section><section>[[<h2>{{s}}</h2><p>{{t}}</p>]]</section></main>" + SIDE + FOOT_LINKS,
 ]
 #: Pages without the usual frame.

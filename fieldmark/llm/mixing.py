@@ -20,8 +20,8 @@ is a cut-off key, and documents are compared with it without being moved.
 Cases: tokens are words ``[^\\x20\\x09-\\x0D]+``; a null or empty text has none
 and is taken only where its leaf repeats whole epochs or the prefix passes it;
 null lang or source is the leaf ''; siblings that tie are taken in name order;
-a weight of 0 leaves a node out; repeated rows are ordered next to each other and
-taken each; further columns, whatever their names, are kept; an empty table
+a weight of 0 leaves a node out; repeated rows are ordered next to each other,
+and where the first of them is taken all are; further columns, whatever their names, are kept; an empty table
 gives an empty result.
 """
 
@@ -124,8 +124,8 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 4, weights
         ends = sums.withColumn("opens", opens).where("opens < rest and opens + tokens >= rest")
         ends = stage(ends.select(*LEVELS, "bucket", F.col("opens").alias("before")), "leaf-buckets")  # at most one row a leaf
         last = last.drop("before").join(hint(ends), [*LEVELS, "bucket"])
-    order = Window.partitionBy(*LEVELS).orderBy("key", "rk_id", "rk_text")
-    last = last.withColumn("so_far", F.col("before") + F.sum("tokens").over(order) - F.col("tokens")).where("so_far < rest")
+    order = Window.partitionBy(*LEVELS).orderBy("key", "rk_id", "rk_text").rowsBetween(Window.unboundedPreceding, -1)  # repeated rows stand one after another
+    last = last.withColumn("so_far", F.col("before") + F.coalesce(F.sum("tokens").over(order), F.lit(0))).where("so_far < rest")
     cuts = last.groupBy(*LEVELS).agg(F.max(F.struct("key", "rk_id", "rk_text")).alias("cut"))
     cuts = stage(plan.join(cuts, LEVELS, "left").where("whole > 0 or cut is not null").drop("rest"), "leaf-cuts")
     for x in LEVELS:

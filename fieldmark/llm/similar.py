@@ -25,6 +25,7 @@ their names, are kept; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,11 @@ from pyspark.sql import functions as F
 from fieldmark.llm.common import NARROW_ROWS, components, free, keyed_rows, keyed_texts, map_batches, split_join, stage
 from fieldmark.llm.simhash import SEED, majority, part_masks, shared_parts, shingle_hashes, table
 
-SHINGLE, SIMILARITY, FINGERPRINTS = 5, 0.8, 16
-#: Blocks of a fingerprint; a part is what three of them spare.
-BLOCKS, SPARED = 5, 3
+SHINGLE, SIMILARITY = 5, 0.8
+#: Fewest blocks of a fingerprint; a part is what three of them spare. Fingerprints where there are so few blocks.
+BLOCKS, SPARED, FINGERPRINTS = 5, 3, 16
+#: Bits that a part's coordinates tell apart, of its own; share of bits in which texts of the similarity differ.
+TOLD, DIFFERING = 0.84, 0.15
 #: Texts that share coordinates beyond which leaders are compared first, and how many leaders.
 BIG, LEADERS = 16, 3
 #: Share of differing bits from which a pair is chance: a similarity of 0.8 gives 0.15 on average, and all fingerprints together hardly stray from it.
@@ -46,6 +49,26 @@ FAR = 0.35
 SALT = 64
 
 
+def found_by_one(blocks: int) -> float:
+    """The chance that one fingerprint's parts find a pair of the similarity: that its differing bits lie in the spared blocks."""
+    same = (1 - DIFFERING) ** (64 / blocks)
+    return sum(comb(blocks, k) * (1 - same) ** k * same ** (blocks - k) for k in range(SPARED + 1))
+
+
+def plan_for(texts: int) -> tuple[int, int]:
+    """Blocks and fingerprints for so many texts.
+
+    The bits of a part grow with the number of texts, so that chance candidates
+    of a text do not grow with it; as longer parts find fewer pairs, there are
+    more fingerprints, so that as many pairs are found.
+    """
+    blocks = BLOCKS
+    while TOLD * 64 * (blocks - SPARED) / blocks < texts.bit_length() and blocks < 12:
+        blocks += 1
+    missed = (1 - found_by_one(BLOCKS)) ** FINGERPRINTS
+    return blocks, max(FINGERPRINTS, ceil(log(missed) / log(1 - found_by_one(blocks))))
+
+
 def shingle_set(text: bytes | None) -> np.ndarray:
     """The distinct hashes of a text's word shingles, ascending."""
     chunks = list(shingle_hashes(text, SHINGLE))
@@ -119,15 +142,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similarity: f
     return found
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int = FINGERPRINTS) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int | None = None) -> DataFrame:
     """``(rk_id, rk_text, class)`` of every row of ``docs``: rows of one class are linked by texts of the similarity."""
     keyed = keyed_texts(docs)
+    blocks, planned = plan_for(keyed.count())
+    fingerprints = fingerprints or planned
     rows = stage(fingerprinted(keyed, fingerprints), "fingerprints")
     row = F.struct("rk_id", "rk_text")
     nodes = rows.groupBy("h1", "h2").agg(F.min(row).alias("rep"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.count(F.lit(1)).alias("times"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # texts without words are one node and have no bits to be looked up by
-    shared = stage(shared_parts(table(nodes.where("n > 0").select("node", "n", "fps"), part_masks(SPARED, BLOCKS), "fps").drop("fps")), "shared")
+    shared = stage(shared_parts(table(nodes.where("n > 0").select("node", "n", "fps"), part_masks(SPARED, blocks), "fps").drop("fps")), "shared")
     same = [F.col("a.key") == F.col("b.key"), possible("a", "b", similarity)]
     few = shared.where(F.col("m") <= BIG)
     few = few.alias("a").join(few.alias("b"), [*same, F.col("a.node") < F.col("b.node")]).select(*pair("a", "b"))
@@ -156,7 +181,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int =
     return split_join(rows.select("rk_id", "rk_text", "h1", "h2"), named, ["h1", "h2"], "times", narrow=True).select("rk_id", "rk_text", "class")
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int = FINGERPRINTS) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int | None = None) -> DataFrame:
     """The rows of ``docs`` with one document of each class: that with the smallest doc_id, once."""
     row = F.struct("rk_id", "rk_text")
     kept = classes(docs, similarity, fingerprints).groupBy("class").agg(F.min(row).alias("k")).select("k.*")

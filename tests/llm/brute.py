@@ -99,14 +99,19 @@ def contamination(rows, bench, width=10):
     return out
 
 
+def text_hash(t):
+    """XXH64 as a signed long, which orders rows of equal ids; a null's is the seed."""
+    return 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t, 42)).astype(np.int64))
+
+
 def mix(rows, share, epochs, weights, seed):
     """Times each row ``(doc_id, text, lang, source)`` is taken."""
     leaf = defaultdict(list)
     for k, (d, t, lang, source) in enumerate(rows):
         source = source or ""
         number = re.search(r"(\d{1,9})$", source)
-        leaf[f"domain{(int(number[1]) if number else 0) % 4}", lang or "", source].append((key(d), len((t or "").encode().split()), k))
-    tokens = {p: sum(n for _, n, _ in v) for p, v in leaf.items()}
+        leaf[f"domain{(int(number[1]) if number else 0) % 4}", lang or "", source].append((key(d), text_hash(t), len((t or "").encode().split()), k))
+    tokens = {p: sum(n for _, _, n, _ in v) for p, v in leaf.items()}
     budgets = {(): math.floor(sum(tokens.values()) * share)}
     for depth, level in enumerate(("domain", "lang", "source")):
         below, known = {}, weights.get(level, {})
@@ -127,8 +132,9 @@ def mix(rows, share, epochs, weights, seed):
     out = {}
     for p, v in leaf.items():
         whole = budgets[p] // tokens[p] if tokens[p] else 0
-        rest, so_far = budgets[p] - whole * tokens[p], 0
-        for _, _, n, k in sorted((hashlib.md5(f"{seed}:{whole + 1}:{d}".encode()).hexdigest(), d, n, k) for d, n, k in v):
-            out[k] = whole + (so_far < rest)
-            so_far += n
+        rest, so_far, last, taken = budgets[p] - whole * tokens[p], 0, None, False
+        for *row, n, k in sorted((hashlib.md5(f"{seed}:{whole + 1}:{d}".encode()).hexdigest(), d, h, n, k) for d, h, n, k in v):
+            taken = taken if row == last else so_far < rest  # repeated rows are taken together
+            out[k] = whole + taken
+            so_far, last = so_far + n, row
     return {k: n for k, n in out.items() if n}

@@ -24,3 +24,16 @@ PAGES = [
     # spans and line breaks
     f'<div class="navigation">{_} {_}</div><div class="post-body">[[<span>{A}</span><br><br><span>{B}</span><br>{C}]]</div><div class="social">{_}{_}</div><div class="replies"><div>{B}</div><div>{T}</div></div>',
 ]
+
+NEXT = '<a href="/y">Older</a>'
+LINKS = "<ul><li><a>First reference work</a></li><li><a>Second one</a></li><li><a>Third one</a></li></ul>"
+
+#: Pages whose class words no labelled page has, so that structure alone speaks, and reference lists.
+UNSEEN_NAMES = [
+    f'<div class="rail-left"><p>{T}</p>{_}{NEXT}</div><article class="kern">[[<h1>{T}</h1><p>{A}</p><p>{B}</p>]]</article><div class="talkback"><p>{C}</p><p>{B}</p></div><div class="colophon"><p>{T}</p></div>',
+    f'<div class="zone-1">{_}{NEXT}{_}</div><main class="zone-2">[[<h1>{T}</h1><p>{A}</p><p>{B}</p><p>{C}</p>]]</main><div class="zone-3"><p>{B}</p></div>',
+    f'<header class="x1">{_}</header><div class="x2"><p>{B}</p></div><article>[[<h2>{T}</h2><p>{A}</p>{LINKS}<p>{C}</p>]]</article><footer class="x9">{T}</footer>',
+    f'<nav>{_}{NEXT}</nav><main>[[<h1>{T}</h1><p>{A}</p><p>{B}</p>{LINKS}]]</main><div class="discussion"><p>{B}</p><p>{C}</p></div>',
+    f'<nav>{_}{NEXT}</nav><article>[[<h1>{T}</h1><p>{A}</p><h2>{T}</h2>{LINKS}]]</article><aside class="u7"><ul><li>{_}</li><li>{NEXT}</li></ul></aside>',
+    f'<div class="qz"><ul><li>{_}</li><li>{NEXT}</li><li>{_}</li></ul></div><div class="wv">[[<h1>{T}</h1><p>{A}</p><p>{B}</p><p>{C}</p>]]</div><div class="yk">{_} {NEXT}</div>',
+]

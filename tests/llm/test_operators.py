@@ -13,7 +13,7 @@ import pytest
 from llm import brute
 
 from fieldmark.llm import common, decontaminate, html_text, labelled_pages, media, mixing, prefix_free, quality, registry, simhash, substring_dedup, suffix_dedup, super_kmers, token_counts, warc
-from llm.held_out_pages import PAGES
+from llm.held_out_pages import PAGES, UNSEEN_NAMES
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string"
@@ -296,22 +296,55 @@ def test_linked_list_items_are_kept():
     assert html_text.main_text(page) == "Q a long item that is a link x the text goes on after the list for a while"
 
 
-def test_held_out_layouts():
-    """Word-level precision and recall on layouts that no labelled page has."""
+def page_score(page):
+    """Word-level F1 of a page's text against the part in double brackets."""
     import html
     import re
     from collections import Counter
 
-    scores = []
-    for page in PAGES:
-        main = " ".join(re.findall(r"\[\[(.*?)\]\]", page, re.S))
-        want = Counter(html.unescape(re.sub("<[^>]*>", " ", main)).split())
-        got = Counter(html_text.main_text(page.replace("[[", "").replace("]]", "")).split())
-        both = sum((want & got).values())
-        scores.append(2 * both / (sum(want.values()) + sum(got.values())))
+    main = " ".join(re.findall(r"\[\[(.*?)\]\]", page, re.S))
+    want = Counter(html.unescape(re.sub("<[^>]*>", " ", main)).split())
+    got = Counter(html_text.main_text(page.replace("[[", "").replace("]]", "")).split())
+    both = sum((want & got).values())
+    return 2 * both / (sum(want.values()) + sum(got.values()))
+
+
+def test_held_out_layouts():
+    """Layouts that no labelled page has, and such with class words that none has."""
+    scores = [page_score(p) for p in PAGES]
+    assert np.mean(scores) >= 0.9, scores
+    scores = [page_score(p) for p in UNSEEN_NAMES]
     assert np.mean(scores) >= 0.9, scores
 
 
+@pytest.mark.parametrize("frame", ["article", "main"])
+@pytest.mark.parametrize("items", [1, 2, 3, 6])
+@pytest.mark.parametrize("end", [True, False])
+def test_linked_lists_of_every_length_are_kept(frame, items, end):
+    long = "a paragraph that goes on for a while and says much of what there is to say on this"
+    listed = "".join(f"<li><a href=/r{i}>{'reference ' * (i % 3)}work {i}</a></li>" for i in range(items))
+    page = f"<nav><a href=/>Home</a> <a href=/b>About</a></nav><{frame}><h1>T</h1><p>{long}</p><ul>{listed}</ul>{'' if end else f'<p>{long}</p>'}</{frame}><footer>f</footer>"
+    assert f"work {items - 1}" in html_text.main_text(page) and "Home" not in html_text.main_text(page)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a b='", "<p c=\"", "<b d=\"'\" ", "<!--", "<![CDATA[", "</x y='"])
+def test_unclosed_tags_take_linear_time(piece):
+    import time
+
+    took = []
+    for n in (8000, 80_000):
+        page = piece * n + "\"'"
+        began = time.perf_counter()
+        html_text.main_text(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * max(took[0], 0.005), took
+
+
+def test_quotes_open_values_behind_an_equals_sign_alone():
+    page = "<article><p title=don't>it's some text</p><p a='>' b=\">\">more</p><p class = \"q\" >end</p></article>"
+    assert html_text.main_text(page) == "it's some text more end"
+
+
 def test_extraction_query_gives_the_article(spark):
     import html
     import re
@@ -402,6 +435,15 @@ def test_mix_equals_brute_force(spark, hard, share, epochs):
     assert by_text((r.doc_id, r.n_epochs) for r in got) == by_text((rows[k][0], n) for k, n in want.items())
 
 
+@pytest.mark.parametrize("share", [0.1, 0.35, 0.5, 0.8, 1.0, 2.6])
+def test_mix_takes_repeated_rows_at_the_cut(spark, share):
+    """Repeated rows and null ids, of one text and of several, where prefixes end."""
+    rows = [(7, "a b c", "en", "src1")] * 2 + [(3, "w " * 10, "fr", "src3")] * 2 + [(None, "x y", "en", "src1")] * 3 + [(None, f"n{i} " * (i + 1), "de", "src2") for i in range(6)] + [(9, "p q", "de", "src2"), (9, "q p r", "de", "src2"), (None, None, "de", "src2"), (None, None, "de", "src2")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3), share, 4, {}, 42).collect()
+    want = brute.mix(rows, share, 4, {}, 42)
+    assert by_text((r.doc_id, r.text, r.n_epochs) for r in got) == by_text((*rows[k][:2], n) for k, n in want.items())
+
+
 def test_shortage_goes_to_siblings_first(spark):
     """lang a of domain x is short: its share goes to lang b of x, not to domain y."""
     rows = [("domain0", "a", "s0", 10), ("domain0", "b", "s4", 1000), ("domain1", "a", "s1", 1000)]
