@@ -10,10 +10,10 @@ from the similarity on, so nothing else is ever linked. How many of
 the pairs at the similarity are found depends on the number of fingerprints;
 the README has the measured share.
 
-Where more than ``BIG`` texts share coordinates, all are first compared with a
-few leaders; after that only pairs in different components are looked at. So a
-large group of copies does not cost the square of its size, and no candidate is
-left out.
+Texts that share coordinates are first compared with a few leaders; after that
+only pairs in different components are looked at, of all coordinates. So a large
+group of copies does not cost the square of its size, and no candidate is left
+out.
 
 Cases: a null text is empty, and texts without words have the empty set and are
 copies of each other; texts of fewer words than a shingle are one shingle;
@@ -41,10 +41,14 @@ SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, SPARED, FINGERPRINTS = 5, 3, 16
 #: Bits that a part's coordinates tell apart, of its own; share of bits in which texts of the similarity differ.
 TOLD, DIFFERING = 0.84, 0.15
-#: Texts that share coordinates beyond which leaders are compared first, and how many leaders.
-BIG, LEADERS = 16, 3
+#: Texts that share coordinates beyond which those of the largest component are not compared with each other.
+BIG = 16
+#: Texts are first compared with so many leaders of one in so many of their keys.
+LEADERS, LED = 3, 4
 #: Share of differing bits from which a pair is chance: a similarity of 0.8 gives 0.15 on average, and all fingerprints together hardly stray from it.
 FAR = 0.35
+#: Differing bits of the first fingerprint beyond which a candidate is chance: half of 64 on average there, about 10 at the similarity.
+FIRST_FAR = 24
 #: Parts that the pairs of one text are spread over.
 SALT = 64
 
@@ -102,9 +106,10 @@ def whole_sets(rows: DataFrame) -> DataFrame:
 
 
 def possible(a: str, b: str, similarity: float) -> Column:
-    """Whether the sizes of two sets leave the similarity possible."""
+    """Whether the sizes of two sets leave the similarity possible, and their first fingerprints are not as far apart as those of chance pairs."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-6
+    near = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= FIRST_FAR
+    return (F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-6) & near
 
 
 def pair(a: str, b: str) -> list[Column]:
@@ -152,30 +157,33 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int |
     nodes = rows.groupBy("h1", "h2").agg(F.min(row).alias("rep"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.count(F.lit(1)).alias("times"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # texts without words are one node and have no bits to be looked up by
-    shared = stage(shared_parts(table(nodes.where("n > 0").select("node", "n", "fps"), part_masks(SPARED, blocks), "fps").drop("fps")), "shared")
-    same = [F.col("a.key") == F.col("b.key"), possible("a", "b", similarity)]
-    few = shared.where(F.col("m") <= BIG)
-    few = few.alias("a").join(few.alias("b"), [*same, F.col("a.node") < F.col("b.node")]).select(*pair("a", "b"))
-    big = shared.where(F.col("m") > BIG)
-    first = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")) for k in range(LEADERS)]
-    leaders = big.groupBy("key").agg(F.array_distinct(F.transform(F.array(*first), lambda x: x.dropFields("h"))).alias("l"), F.count(F.lit(1)).alias("times"))
-    leaders = stage(leaders, "leaders")
-    led = split_join(big.select("key", F.col("node").alias("b"), F.col("n").alias("m_b")), leaders, ["key"], "times", narrow=True)
-    led = led.select(F.struct(F.col("b").alias("node"), F.col("m_b").alias("n")).alias("b"), F.explode("l").alias("a")).where("a.node != b.node").where(possible("a", "b", similarity))
-    pairs = stage(few.unionByName(led.select(*pair("a", "b"))).distinct(), "pairs")
+    looked_up = nodes.where("n > 0").select("node", "n", F.get("fps", F.lit(0)).alias("fp"), "fps")
+    shared = stage(shared_parts(table(looked_up, part_masks(SPARED, blocks), "fps").drop("fps")), "shared")
+    some = shared.where(F.pmod("key", F.lit(LED)) == 0)
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "fp")) for k in range(LEADERS)]
+    leaders = some.groupBy("key").agg(F.array_distinct(F.transform(F.array(*first), lambda x: x.dropFields("h"))).alias("l"), F.count(F.lit(1)).alias("times"))
+    led = split_join(some.select("key", F.struct("node", "n", "fp").alias("b")), stage(leaders, "leaders"), ["key"], "times", narrow=True)
+    led = led.select("b", F.explode("l").alias("a")).where("a.node != b.node").where(possible("a", "b", similarity))
+    pairs = stage(led.select(*pair("a", "b")).distinct(), "pairs")
     links = verified(pairs, nodes, keyed, similarity, fingerprints)
 
-    root = components(links)
-    part = stage(big.join(root, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("c")), "parts")
-    largest = part.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
+    root = stage(components(links), "roots")
+    root = F.broadcast(root) if root.count() <= NARROW_ROWS else root
+    part = stage(shared.join(root, "node", "left").select("key", "node", "n", "fp", "m", F.coalesce("root", "node").alias("c")), "parts")
+    free(shared)
+    apart = [F.col("a.key") == F.col("b.key"), F.col("a.c") != F.col("b.c"), possible("a", "b", similarity)]
+    few = part.where(F.col("m") <= BIG)
+    across = few.alias("a").join(few.alias("b"), [*apart, F.col("a.node") < F.col("b.node")]).select(*pair("a", "b"))
+    big = part.where(F.col("m") > BIG)
+    largest = big.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
     largest = largest.agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.sum("k").alias("times"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     # of two texts in different components one at least is outside the largest
-    outside = split_join(part, stage(largest, "largest"), ["key"], "times", narrow=True).where("c != most").alias("a")
-    across = (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("a.most")) | (F.col("a.node") < F.col("b.node")))
-    left = outside.join(part.alias("b"), [*same, across]).select(*pair("a", "b"))
-    left = stage(left.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    outside = split_join(big, stage(largest, "largest"), ["key"], "times", narrow=True).where("c != most").alias("a")
+    once = (F.col("b.c") == F.col("a.most")) | (F.col("a.node") < F.col("b.node"))
+    across = across.unionByName(outside.join(big.alias("b"), [*apart, once]).select(*pair("a", "b")))
+    left = stage(across.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(verified(left, nodes, keyed, similarity, fingerprints))
-    free(shared, part, pairs, left)
+    free(part, pairs, left)
 
     named = stage(nodes.select("h1", "h2", "node", "times").join(components(links), "node", "left").select("h1", "h2", "times", F.coalesce("root", "node").alias("class")), "classes")
     return split_join(rows.select("rk_id", "rk_text", "h1", "h2"), named, ["h1", "h2"], "times", narrow=True).select("rk_id", "rk_text", "class")
