@@ -260,11 +260,12 @@ def test_audits_scan_a_file_few_times(spark, tmp_path):
     """Scans and exchanges that adaptive execution really runs."""
     out = str(tmp_path / "rows")
     readings(spark, [f"00:00:{i % 60:02d}.{i}" for i in range(200)]).write.parquet(out)
-    for audit, scans, exchanges in ((cadence.file_audit, 3, 8), (multiplicity.file_audit, 2, 4)):
+    for audit, scans, exchanges in ((cadence.file_audit, 1, 8), (multiplicity.file_audit, 2, 4)):
         df = audit(spark.read.parquet(out))
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-        assert plan.count("FileScan") <= scans and plan.count("Exchange hashpartitioning") <= exchanges, plan
+        read = sum("FileScan" in x and "time_us#" in x for x in plan.splitlines())  # of the readings, not of the counted intervals
+        assert read <= scans and plan.count("Exchange hashpartitioning") <= exchanges, plan
 
 
 def test_listing_of_nothing_raises(spark, tmp_path):
