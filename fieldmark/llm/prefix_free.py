@@ -31,6 +31,10 @@ classes; a place that is taken twice is a string that repeats.
 4. Only what does *not* repeat is sent back, each to the one document that has
    it, so no passage of many documents is ever joined to all of them.
 
+A text of any length is cut, hashed and told of block by block, so a task needs
+about three bytes a byte of its longest text and a fixed rest, also where every
+gram is a trigger or none is (a run of one byte, a short period).
+
 Nothing is capped. The choice of the copy that is sent is written down before it
 is used, so a lost executor cannot change it halfway.
 """
@@ -38,6 +42,7 @@ is used, so a lost executor cannot change it halfway.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +55,8 @@ from fieldmark.llm.common import free, map_batches, stage
 
 #: Bytes of a trigger; one gram in EVERY is one; bytes at a trigger that a bucket's windows share.
 GRAM, EVERY, SHARED = 8, 32, 100
-#: Bytes hashed at once, windows ordered at once, pieces combined before the shuffle, bytes of pieces in a batch.
-BLOCK, ORDERED, COMBINED, HELD = 1 << 20, 1 << 18, 1 << 17, 16 << 20
+#: Bytes hashed at once, triggers cut at once, windows ordered at once, pieces combined before the shuffle, bytes of pieces in a batch.
+BLOCK, CUT, ORDERED, COMBINED, HELD = 1 << 20, 1 << 16, 1 << 18, 1 << 17, 16 << 20
 #: What is said of a piece: it stands once in a bucket of its own; or it shares its bucket, and stands once or more often.
 LONE, EDGE_ONCE, EDGE_MORE = 0, 1, 2
 
@@ -62,15 +67,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def triggers(text: bytes) -> np.ndarray:
-    """Where the triggers of ``text`` begin, ascending."""
-    found, units = [np.zeros(0, np.int64)], np.frombuffer(text, np.uint8)
+def triggers(text: bytes) -> Iterator[np.ndarray]:
+    """Where the triggers of ``text`` begin, ascending, a block of the text at a time."""
+    units = np.frombuffer(text, np.uint8)
     for at in range(0, len(units) - GRAM + 1, BLOCK):
         x = units[at : at + BLOCK + GRAM - 1].astype(np.uint64)
         for k in (1, 2, 4):  # grams of 2, 4 and 8 bytes
             x = x[:-k] | x[k:] << np.uint64(8 * k)
-        found.append(np.flatnonzero(mixed(x) < np.uint64(2**64 // EVERY)) + at)
-    return np.concatenate(found)
+        yield np.flatnonzero(mixed(x) < np.uint64(2**64 // EVERY)) + at
 
 
 def unzip(packed: bytes | None) -> bytes:
@@ -89,21 +93,26 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "rk_id long, rk_text long, z binary")
 
 
-def cut(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pieces of a text in order: first window, one past the last, trigger; runs of windows without a trigger have -1."""
+def cuts(text: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pieces of a text in order, CUT triggers at a time: first window, one past the last, trigger; runs of windows without a trigger have -1."""
     many, near = len(text) - width + 1, min(SHARED, width // 2)
     if many <= 0:
-        return (np.zeros(0, np.int64),) * 3
-    at = np.append(triggers(text), len(text) + width)
-    begin = np.append(0, at[:-1] + 1)
-    # no trigger up to the first edge, then far before it, then near it
-    bare = np.clip(at + GRAM - width, begin, at + 1)
-    far = np.clip(at - near + 1, bare, at + 1)
-    lo = np.stack((begin, bare, far), 1).ravel()
-    hi = np.minimum(np.stack((bare, far, at + 1), 1).ravel(), many)
-    trigger = np.stack((np.full(len(at), -1), at, at), 1).ravel()
-    some = lo < hi
-    return lo[some], hi[some], trigger[some]
+        return
+    begin, last = 0, [np.array([len(text) + width])]
+    for at in chain(triggers(text), last):
+        for k in range(0, len(at), CUT):
+            part = at[k : k + CUT]
+            first = np.append(begin, part[:-1] + 1)
+            begin = int(part[-1]) + 1
+            # no trigger up to the first edge, then far before it, then near it
+            bare = np.clip(part + GRAM - width, first, part + 1)
+            far = np.clip(part - near + 1, bare, part + 1)
+            lo = np.stack((first, bare, far), 1).ravel()
+            hi = np.minimum(np.stack((bare, far, part + 1), 1).ravel(), many)
+            trigger = np.stack((np.full(len(part), -1), part, part), 1).ravel()
+            some = lo < hi
+            if some.any():
+                yield lo[some], hi[some], trigger[some]
 
 
 def shared_bytes(text: bytes, start: int, trigger: int, width: int) -> bytes:
@@ -118,15 +127,19 @@ def bucket_of(text: bytes, start: int, trigger: int, width: int) -> int:
     return xxhash.xxh64_intdigest(shared_bytes(text, start, trigger, width)) - (1 << 63)
 
 
-def hashed_pieces(text: bytes, width: int) -> np.ndarray:
-    """``(bucket, hash of all bytes, first window)`` of each piece of a text, windows without a trigger one by one."""
+def hashed_pieces(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """``(bucket, hash of all bytes, first window)`` of each piece of a text, windows without a trigger one by one; at most COMBINED rows at a time."""
     digest, rows = xxhash.xxh64_intdigest, []
-    for a, e, t in zip(*(x.tolist() for x in cut(text, width)), strict=True):
-        if t < 0:
-            rows += [(bucket_of(text, x, t, width), digest(text[x : x + width], 1) - (1 << 63), x) for x in range(a, e)]
-        else:
-            rows.append((bucket_of(text, a, t, width), digest(text[a : e - 1 + width], 1) - (1 << 63), a))
-    return np.array(rows, np.int64).reshape(-1, 3)
+    for part in cuts(text, width):
+        for a, e, t in zip(*(x.tolist() for x in part), strict=True):
+            for x in range(a, e) if t < 0 else (a,):
+                whole = text[x : x + width] if t < 0 else text[a : e - 1 + width]
+                rows.append((bucket_of(text, x, t, width), digest(whole, 1) - (1 << 63), x))
+                if len(rows) == COMBINED:
+                    yield np.array(rows, np.int64)
+                    rows = []
+    if rows:
+        yield np.array(rows, np.int64)
 
 
 _SEEN = "bucket long, hash long, n long, rk_id long, rk_text long, start long"
@@ -151,14 +164,13 @@ def seen_pieces(docs: DataFrame, width: int) -> DataFrame:
         ids, found, held = [], [], 0
         for b in batches:
             for rk_id, rk_text, text in zip(*(b.column(c).to_pylist() for c in ("rk_id", "rk_text")), b.column("text").cast(pa.large_binary()), strict=True):
-                rows = hashed_pieces(text.as_py() or b"", width)
-                if len(rows):
+                for rows in hashed_pieces(text.as_py() or b"", width):
                     ids.append((rk_id, rk_text))
                     found.append(rows)
                     held += len(rows)
-                if held >= COMBINED:
-                    yield batch(ids, found)
-                    ids, found, held = [], [], 0
+                    if held >= COMBINED:
+                        yield batch(ids, found)
+                        ids, found, held = [], [], 0
         if held:
             yield batch(ids, found)
 
@@ -180,15 +192,6 @@ def true_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def open_windows(n: int, lo: np.ndarray, hi: np.ndarray, trigger: np.ndarray, lone: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs ``[lo, hi)`` of the windows of a text of ``n`` bytes that are in no piece that begins at one of ``lone``."""
-    of = np.searchsorted(lo, lone, "right") - 1
-    change = np.zeros(n - width + 2, np.int32)
-    np.add.at(change, lone, 1)
-    np.add.at(change, np.where(trigger[of] < 0, lone + 1, hi[of]), -1)
-    return true_runs(np.cumsum(change[:-1]) == 0)
-
-
 _PARSED = "rk_id long, rk_text long, open array<struct<lo: long, hi: long>>, bucket long, piece binary, at int, times long, start long"
 
 
@@ -211,20 +214,25 @@ def parsed(docs: DataFrame, told: DataFrame, width: int) -> DataFrame:
                 text = unzip(z.as_py())
                 if len(text) < width:
                     continue
-                lo, hi, trigger = cut(text, width)
-                code = codes.values.to_numpy() if codes.is_valid else np.zeros(0, np.int64)
-                first, last = open_windows(len(text), lo, hi, trigger, code[code % 4 == LONE] // 4, width)
+                code = np.sort(codes.values.to_numpy()) if codes.is_valid else np.zeros(0, np.int64)
+                lone = np.zeros(len(text) - width + 2, np.int8)  # where a run of windows that repeat nowhere begins and ends
+                for lo, hi, trigger in cuts(text, width):
+                    mine = code[np.searchsorted(code, lo[0] * 4) : np.searchsorted(code, hi[-1] * 4)]
+                    starts, of = mine // 4, np.searchsorted(lo, mine // 4, "right") - 1
+                    ends = np.where(trigger[of] < 0, starts + 1, hi[of])
+                    alone = mine % 4 == LONE
+                    np.add.at(lone, starts[alone], 1)
+                    np.add.at(lone, ends[alone], -1)
+                    for x, a, e, t in zip(*(c[~alone].tolist() for c in (mine % 4, starts, ends, trigger[of])), strict=True):
+                        piece = text[a : e - 1 + width]
+                        rows.append((rk_id, rk_text, None, bucket_of(text, a, t, width), piece, -1 if t < 0 else t - a, x, a))
+                        held += len(piece)
+                        if held >= HELD:
+                            yield batch(rows)
+                            rows, held = [], 0
+                first, last = true_runs(np.cumsum(lone, dtype=np.int8, out=lone)[:-1] == 0)
                 if len(first):
                     rows.append((rk_id, rk_text, [{"lo": x, "hi": y} for x, y in zip(first.tolist(), last.tolist(), strict=True)], None, None, None, None, None))
-                for x in code[code % 4 != LONE].tolist():
-                    a, of = x // 4, int(np.searchsorted(lo, x // 4, "right")) - 1
-                    t = int(trigger[of])
-                    piece = text[a : a + width] if t < 0 else text[a : int(hi[of]) - 1 + width]
-                    rows.append((rk_id, rk_text, None, bucket_of(text, a, t, width), piece, -1 if t < 0 else t - a, x % 4, a))
-                    held += len(piece)
-                    if held >= HELD:
-                        yield batch(rows)
-                        rows, held = [], 0
             if rows:
                 yield batch(rows)
                 rows, held = [], 0
@@ -341,7 +349,7 @@ def removed(size: int, open_: pa.Scalar, once: pa.Scalar, width: int) -> tuple[n
         if spans.is_valid:
             np.add.at(change, spans.values.field("lo").to_numpy(), sign)
             np.add.at(change, spans.values.field("hi").to_numpy(), -sign)
-    lo, hi = true_runs(np.cumsum(change[:-1]) > 0)
+    lo, hi = true_runs(np.cumsum(change, dtype=np.int32, out=change)[:-1] > 0)
     stop = hi - 1 + width
     new = np.append(True, lo[1:] > stop[:-1]) if len(lo) else np.zeros(0, bool)
     first = np.flatnonzero(new)

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import zlib
 from functools import partial
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,7 @@ def test_corpus_order_of_one_bucket_equals_brute_force():
     texts += [texts[i % 6][5:50] + rng.integers(97, 100, 9).astype(np.uint8).tobytes() for i in range(12)] + [texts[0]]
     rows = []
     for k, t in enumerate(texts):
-        for a, e, at in zip(*(x.tolist() for x in prefix_free.cut(t, width)), strict=True):
+        for a, e, at in zip(*(np.concatenate(x).tolist() for x in zip(*prefix_free.cuts(t, width), strict=True)), strict=True):
             if at >= 0:
                 rows.append((0, t[a : e - 1 + width], at - a, 1, k, 0, a))
     pieces = Counter((r[1], r[2]) for r in rows)
@@ -139,9 +140,50 @@ def test_segments_do_not_change_what_repeats():
 
 def test_triggers_do_not_depend_on_blocks(monkeypatch):
     text = np.random.default_rng(2).integers(97, 123, 5000).astype(np.uint8).tobytes()
-    whole = prefix_free.triggers(text).tolist()
+    whole = np.concatenate([*prefix_free.triggers(text)]).tolist()
     monkeypatch.setattr(prefix_free, "BLOCK", 37)
-    assert prefix_free.triggers(text).tolist() == whole and len(whole) > 50
+    assert np.concatenate([*prefix_free.triggers(text)]).tolist() == whole and len(whole) > 50
+
+
+@pytest.mark.parametrize("letters", [26, 2, 1])
+def test_pieces_do_not_depend_on_blocks(monkeypatch, letters):
+    text = np.random.default_rng(4).integers(97, 97 + letters, 9000).astype(np.uint8).tobytes() + b"z" * 700
+
+    def made():
+        pieces = [np.concatenate(x).tolist() for x in zip(*prefix_free.cuts(text, 60), strict=True)]
+        return pieces, np.concatenate([*prefix_free.hashed_pieces(text, 60)]).tolist()
+
+    whole = made()
+    lo, hi, _ = whole[0]
+    assert lo[0] == 0 and lo[1:] == hi[:-1] and hi[-1] == len(text) - 59  # every window is in one piece
+    for name, size in (("BLOCK", 41), ("CUT", 3), ("COMBINED", 7)):
+        monkeypatch.setattr(prefix_free, name, size)
+    assert made() == whole
+
+
+def test_memory_of_texts_without_triggers_is_bounded():
+    """20 MB of one byte, of a short period, and of a gram that is a trigger everywhere, each cut and hashed in a process of its own."""
+    import subprocess
+    import sys
+
+    gram = next(bytes([b]) for b in range(256) if len([*prefix_free.triggers(bytes([b]) * 8)][0]))
+    for unit, size in ((b"a", 20_000_000), (b"abcdefg", 2_000_000), (gram, 5_000_000)):
+        code = f"""
+import resource
+from fieldmark.llm import prefix_free
+text = ({unit!r} * {size})[:{size}]
+assert sum(len(x) for x in prefix_free.hashed_pieces(text, 200)) > 0
+assert sum(int((hi - lo).sum()) for lo, hi, _ in prefix_free.cuts(text, 200)) == {size} - 199
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+        done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+        assert int(done.stdout) < 500
+
+
+def test_long_runs_are_removed_whole(spark):
+    rows = [(1, "a" * 1_000_000, "en", "s", 1_000_000), (2, "\0" * 1_000_000, "en", "s", 1_000_000), (3, "short", "en", "s", 5)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in got) == [(1, 1_000_000, 1), (2, 1_000_000, 1), (3, 0, 0)]
 
 
 def test_hot_keys_split_the_join(spark, monkeypatch):
