@@ -98,8 +98,11 @@ def cuts(text: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
     many, near = len(text) - width + 1, min(SHARED, width // 2)
     if many <= 0:
         return
-    begin, last = 0, [np.array([len(text) + width])]
-    for at in chain(triggers(text), last):
+    begin, blocks = 0, triggers(text)
+    at = next(blocks, np.zeros(0, np.int64))
+    for following in chain(blocks, (None,)):
+        if following is None:
+            at = np.append(at, len(text) + width)
         for k in range(0, len(at), CUT):
             part = at[k : k + CUT]
             first = np.append(begin, part[:-1] + 1)
@@ -113,6 +116,7 @@ def cuts(text: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
             some = lo < hi
             if some.any():
                 yield lo[some], hi[some], trigger[some]
+        at = following
 
 
 def shared_bytes(text: bytes, start: int, trigger: int, width: int) -> bytes:
@@ -128,16 +132,21 @@ def bucket_of(text: bytes, start: int, trigger: int, width: int) -> int:
 
 
 def hashed_pieces(text: bytes, width: int) -> Iterator[np.ndarray]:
-    """``(bucket, hash of all bytes, first window)`` of each piece of a text, windows without a trigger one by one; at most COMBINED rows at a time."""
+    """``(bucket, hash of all bytes, first window)`` of each piece of a text, windows without a trigger one by one; some COMBINED rows at a time."""
     digest, rows = xxhash.xxh64_intdigest, []
     for part in cuts(text, width):
         for a, e, t in zip(*(x.tolist() for x in part), strict=True):
-            for x in range(a, e) if t < 0 else (a,):
-                whole = text[x : x + width] if t < 0 else text[a : e - 1 + width]
-                rows.append((bucket_of(text, x, t, width), digest(whole, 1) - (1 << 63), x))
-                if len(rows) == COMBINED:
+            if t >= 0:
+                rows.append((bucket_of(text, a, t, width), digest(text[a : e - 1 + width], 1) - (1 << 63), a))
+                continue
+            for k in range(a, e, COMBINED):
+                rows += [(bucket_of(text, x, t, width), digest(text[x : x + width], 1) - (1 << 63), x) for x in range(k, min(k + COMBINED, e))]
+                if len(rows) >= COMBINED:
                     yield np.array(rows, np.int64)
                     rows = []
+        if len(rows) >= COMBINED:
+            yield np.array(rows, np.int64)
+            rows = []
     if rows:
         yield np.array(rows, np.int64)
 
