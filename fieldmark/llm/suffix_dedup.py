@@ -63,9 +63,9 @@ def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
             kept = [stripped(t.as_py(), o, s, width)[3].decode("utf-8", "ignore") if t.is_valid else None for t, o, s in zip(given, b.column("open"), b.column("once"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(kept, pa.string())], ["row", "text"])
 
-    rows = keyed_rows(docs).withColumn("text", F.col("row.text").cast("string"))
+    # the text travels once: not in the row too
+    rows = keyed_rows(docs).withColumn("text", F.col("row.text").cast("string")).withColumn("row", F.col("row").dropFields("text"))
     joined = rows.join(repeated_spans(keyed_texts(docs), width), ["rk_id", "rk_text"], "left").select("row", "text", "open", "once")
-    row = joined.schema["row"].dataType
     done = map_batches(joined, run, joined.select("row", "text").schema)
-    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(row["n_chars"].dataType)} if "n_chars" in row.names else {})
-    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in row.names])
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
