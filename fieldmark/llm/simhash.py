@@ -108,17 +108,19 @@ def part_masks(max_bits: int, blocks: int) -> np.ndarray:
     return np.array([sum(c) for c in combinations(block, blocks - max_bits)], np.uint64)
 
 
-def part_coordinates(fps: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """For each fingerprint and part the distances to the part's pivots, packed in a long."""
+def part_coordinates(fps: np.ndarray, masks: np.ndarray, n_pivots: int = PART_PIVOTS) -> np.ndarray:
+    """For each fingerprint and part the distances to the part's pivots, packed in a long; where there are more than fit, the longs are hashed into one."""
     out = np.zeros((len(fps), len(masks)), np.uint64)
     for k, mask in enumerate(masks):
-        for i, pivot in enumerate(pivots(PART_PIVOTS, f"part {k} pivot")):
+        for i, pivot in enumerate(pivots(n_pivots, f"part {k} pivot")):
+            if i and i % PART_PIVOTS == 0:
+                out[:, k] = mixed(out[:, k])
             distance = np.bitwise_count((fps ^ pivot) & mask).astype(np.uint64)
-            out[:, k] |= distance << np.uint64(6 * i)
+            out[:, k] ^= distance << np.uint64(6 * (i % PART_PIVOTS))
     return out
 
 
-def table(distinct: DataFrame, masks: np.ndarray, column: str = "fp") -> DataFrame:
+def table(distinct: DataFrame, masks: np.ndarray, column: str = "fp", n_pivots: int = PART_PIVOTS) -> DataFrame:
     """The pivot table: ``distinct`` with ``parts``, the packed coordinates of each part of its fingerprints (a long or a list of longs)."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in distinct.schema)}, parts array<bigint>"
 
@@ -128,7 +130,7 @@ def table(distinct: DataFrame, masks: np.ndarray, column: str = "fp") -> DataFra
             fps = (given.flatten() if pa.types.is_list(given.type) else given).to_numpy().view(np.uint64)
             width = len(fps) // max(1, batch.num_rows) * len(masks)
             # one-to-one for each part of each fingerprint; what two different parts share by chance is told apart when pairs are verified
-            keys = mixed(part_coordinates(fps, masks)).reshape(batch.num_rows, width) ^ pivots(width, "part")
+            keys = mixed(part_coordinates(fps, masks, n_pivots)).reshape(batch.num_rows, width) ^ pivots(width, "part")
             parts = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, parts], [*batch.schema.names, "parts"])
 

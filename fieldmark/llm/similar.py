@@ -39,8 +39,10 @@ from fieldmark.llm.simhash import SEED, majority, part_masks, shared_parts, shin
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fewest blocks of a fingerprint; a part is what three of them spare. Fingerprints where there are so few blocks.
 BLOCKS, SPARED, FINGERPRINTS = 5, 3, 16
-#: Bits that a part's coordinates tell apart, of its own; share of bits in which texts of the similarity differ.
-TOLD, DIFFERING = 0.84, 0.15
+#: Pivots on each part: so many that different bits hardly ever have equal coordinates.
+PIVOTS = 20
+#: Share of bits in which texts of the similarity differ.
+DIFFERING = 0.15
 #: Texts that share coordinates beyond which those of the largest component are not compared with each other.
 BIG = 16
 #: Texts are first compared with so many leaders of one in so many of their keys.
@@ -67,7 +69,7 @@ def plan_for(texts: int) -> tuple[int, int]:
     more fingerprints, so that as many pairs are found.
     """
     blocks = BLOCKS
-    while TOLD * 64 * (blocks - SPARED) / blocks < texts.bit_length() and blocks < 12:
+    while 64 * (blocks - SPARED) / blocks < texts.bit_length() and blocks < 12:
         blocks += 1
     missed = (1 - found_by_one(BLOCKS)) ** FINGERPRINTS
     return blocks, max(FINGERPRINTS, ceil(log(missed) / log(1 - found_by_one(blocks))))
@@ -158,7 +160,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int |
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # texts without words are one node and have no bits to be looked up by
     looked_up = nodes.where("n > 0").select("node", "n", F.get("fps", F.lit(0)).alias("fp"), "fps")
-    shared = stage(shared_parts(table(looked_up, part_masks(SPARED, blocks), "fps").drop("fps")), "shared")
+    shared = stage(shared_parts(table(looked_up, part_masks(SPARED, blocks), "fps", PIVOTS).drop("fps")), "shared")
     some = shared.where(F.pmod("key", F.lit(LED)) == 0)
     first = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "fp")) for k in range(LEADERS)]
     leaders = some.groupBy("key").agg(F.array_distinct(F.transform(F.array(*first), lambda x: x.dropFields("h"))).alias("l"), F.count(F.lit(1)).alias("times"))
