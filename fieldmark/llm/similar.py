@@ -10,10 +10,13 @@ from the similarity on, so nothing else is ever linked. How many of
 the pairs at the similarity are found depends on the number of fingerprints;
 the README has the measured share.
 
-Texts that share coordinates are first compared with a few leaders; after that
-only pairs in different components are looked at, of all coordinates. So a large
-group of copies does not cost the square of its size, and no candidate is left
-out.
+Texts that share coordinates are first compared with a few leaders: texts from
+the middle of a group, the closest of those that their coordinates name. After
+that only pairs in different components are looked at, of all coordinates, and of
+those in large groups only pairs that can be similar at all: shingles that no
+other text of the groups has (edits, mostly) are in no other's set, which bounds
+the similarity from above. So a large group of copies does not cost the square of
+its size, and no link is left out.
 
 Cases: a null text is empty, and texts without words have the empty set and are
 copies of each other; texts of fewer words than a shingle are one shingle;
@@ -47,6 +50,8 @@ DIFFERING = 0.15
 BIG = 16
 #: Texts are first compared with so many leaders of one in so many of their keys.
 LEADERS, LED = 3, 4
+#: Leaders of all its keys that a text is compared with: the closest, by steps of so many bits.
+TRIED, STEP = 6, 4
 #: Share of differing bits from which a pair is chance: a similarity of 0.8 gives 0.15 on average, and all fingerprints together hardly stray from it.
 FAR = 0.35
 #: Differing bits of the first fingerprint beyond which a candidate is chance: half of 64 on average there, about 10 at the similarity.
@@ -137,18 +142,41 @@ def close(pairs: DataFrame, nodes: DataFrame, fingerprints: int) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similarity: float, fingerprints: int) -> DataFrame:
     """Those of ``pairs`` ``(a, b)`` whose sets have the Jaccard similarity. Only texts of close fingerprints are looked at, by their whole sets."""
     near = stage(close(pairs, nodes, fingerprints), "close-pairs")
-    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    names = stage(nodes.join(wanted, "node").select("node", "rep.*"), "close-nodes")
-    few = names.count() <= NARROW_ROWS
-    texts = keyed.join(F.broadcast(names) if few else names, ["rk_id", "rk_text"]).select("node", "text").dropDuplicates(["node"])
-    sets = stage(whole_sets(texts), "sets")
+    sets = sets_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), nodes, keyed)
     common = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - common
     found = stage(attached(near, sets, "shingles").where(common >= union * F.lit(similarity) - 1e-6).select("a", "b"), "links")
-    free(near, names, sets)
+    free(near, sets)
     return found
 
 
+def sets_of(wanted: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``(node, shingles)`` of the nodes in ``wanted``, from one text of each."""
+    names = stage(nodes.join(wanted, "node").select("node", "rep.*"), "names")
+    few = names.count() <= NARROW_ROWS
+    texts = keyed.join(F.broadcast(names) if few else names, ["rk_id", "rk_text"]).select("node", "text").dropDuplicates(["node"])
+    sets = stage(whole_sets(texts), "sets")
+    free(names)
+    return sets
+
+
+def own_shingles(wanted: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``(node, own)``: how many shingles of a node in ``wanted`` no other of them has."""
+    sets = sets_of(wanted, nodes, keyed)
+    alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1")
+    own = sets.select("node").join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "node", "left")
+    own = stage(own.select("node", F.coalesce("own", F.lit(0)).alias("own")), "own-shingles")
+    free(sets)
+    return own
+
+
+def reachable(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets can have the similarity if neither has its own shingles in common with the other. Where one's are not counted (null) they can."""
+    common = F.least(F.col(f"{a}.n") - F.col(f"{a}.own"), F.col(f"{b}.n") - F.col(f"{b}.own"))
+    uncounted = F.col(f"{a}.own").isNull() | F.col(f"{b}.own").isNull()  # least() would pass over a null
+    return uncounted | (common >= (F.col(f"{a}.n") + F.col(f"{b}.n") - common) * F.lit(similarity) - 1e-6)
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int | None = None) -> DataFrame:
     """``(rk_id, rk_text, class)`` of every row of ``docs``: rows of one class are linked by texts of the similarity."""
     keyed = keyed_texts(docs)
@@ -161,31 +189,42 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int |
     # texts without words are one node and have no bits to be looked up by
     looked_up = nodes.where("n > 0").select("node", "n", F.get("fps", F.lit(0)).alias("fp"), "fps")
     shared = stage(shared_parts(table(looked_up, part_masks(SPARED, blocks), "fps", PIVOTS).drop("fps")), "shared")
-    some = shared.where(F.pmod("key", F.lit(LED)) == 0)
-    first = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "fp")) for k in range(LEADERS)]
-    leaders = some.groupBy("key").agg(F.array_distinct(F.transform(F.array(*first), lambda x: x.dropFields("h"))).alias("l"), F.count(F.lit(1)).alias("times"))
+    # a text near the middle of a group shares the most coordinates with the others, and is likeliest to be similar to them
+    weight = shared.groupBy("node").agg(F.sum("m").alias("w"))
+    some = shared.where(F.pmod("key", F.lit(LED)) == 0).join(weight, "node")
+    first = [F.max(F.when(F.pmod(F.xxhash64("node"), F.lit(LEADERS)) == k, F.struct("w", "node", "n", "fp"))) for k in range(LEADERS)]
+    leaders = some.groupBy("key").agg(F.array_compact(F.array(*first)).alias("l"), F.count(F.lit(1)).alias("times"))
     led = split_join(some.select("key", F.struct("node", "n", "fp").alias("b")), stage(leaders, "leaders"), ["key"], "times", narrow=True)
     led = led.select("b", F.explode("l").alias("a")).where("a.node != b.node").where(possible("a", "b", similarity))
-    pairs = stage(led.select(*pair("a", "b")).distinct(), "pairs")
+    apart_by = F.floor(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) / STEP)
+    # texts that are as close to many leaders choose the same ones; what is not tried is looked at below
+    choice = F.struct(apart_by.alias("d"), (-F.col("a.w")).alias("w"), F.col("a.node").alias("node"))
+    tried = led.groupBy(F.col("b.node").alias("node")).agg(F.slice(F.array_sort(F.collect_set(choice)), 1, TRIED).alias("l"))
+    tried = tried.select(F.struct("node").alias("b"), F.explode("l").alias("a"))
+    pairs = stage(tried.select(*pair("a", "b")).distinct(), "pairs")
     links = verified(pairs, nodes, keyed, similarity, fingerprints)
 
     root = stage(components(links), "roots")
     root = F.broadcast(root) if root.count() <= NARROW_ROWS else root
     part = stage(shared.join(root, "node", "left").select("key", "node", "n", "fp", "m", F.coalesce("root", "node").alias("c")), "parts")
     free(shared)
-    apart = [F.col("a.key") == F.col("b.key"), F.col("a.c") != F.col("b.c"), possible("a", "b", similarity)]
-    few = part.where(F.col("m") <= BIG)
-    across = few.alias("a").join(few.alias("b"), [*apart, F.col("a.node") < F.col("b.node")]).select(*pair("a", "b"))
     big = part.where(F.col("m") > BIG)
     largest = big.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
     largest = largest.agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.sum("k").alias("times"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    met = split_join(big, stage(largest, "largest"), ["key"], "times", narrow=True)
+    own = own_shingles(met.select("node").distinct(), nodes, keyed)
+    narrow_own = F.broadcast(own) if own.count() <= NARROW_ROWS else own
+    met = stage(met.join(narrow_own, "node"), "apart")
+    apart = [F.col("a.key") == F.col("b.key"), F.col("a.c") != F.col("b.c"), possible("a", "b", similarity), reachable("a", "b", similarity)]
+    few = part.where(F.col("m") <= BIG).join(narrow_own, "node", "left")
+    across = few.alias("a").join(few.alias("b"), [*apart, F.col("a.node") < F.col("b.node")]).select(*pair("a", "b"))
     # of two texts in different components one at least is outside the largest
-    outside = split_join(big, stage(largest, "largest"), ["key"], "times", narrow=True).where("c != most").alias("a")
+    outside = met.where("c != most").alias("a")
     once = (F.col("b.c") == F.col("a.most")) | (F.col("a.node") < F.col("b.node"))
-    across = across.unionByName(outside.join(big.alias("b"), [*apart, once]).select(*pair("a", "b")))
+    across = across.unionByName(outside.join(met.alias("b"), [*apart, once]).select(*pair("a", "b")))
     left = stage(across.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(verified(left, nodes, keyed, similarity, fingerprints))
-    free(part, pairs, left)
+    free(part, pairs, met, own, left)
 
     named = stage(nodes.select("h1", "h2", "node", "times").join(components(links), "node", "left").select("h1", "h2", "times", F.coalesce("root", "node").alias("class")), "classes")
     return split_join(rows.select("rk_id", "rk_text", "h1", "h2"), named, ["h1", "h2"], "times", narrow=True).select("rk_id", "rk_text", "class")

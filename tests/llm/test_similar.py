@@ -95,3 +95,43 @@ def test_recall_and_precision_at_the_similarity(spark):
 
 def test_empty_table(spark):
     assert STAGE(spark, spark.createDataFrame([], DOCS), "").collect() == []
+
+
+def test_bound_by_own_shingles_loses_no_pair():
+    """Random sets around one base: a pair of the similarity is never ruled out, and pairs of many own shingles are."""
+    rng = random.Random(3)
+    sets = []
+    for g in range(60):
+        base = set(range(100)) - set(rng.sample(range(100), rng.randrange(12)))
+        sets.append(base | {1000 * (g + 1) + i for i in range(rng.randrange(25))})
+    own = [len(s - set().union(*(x for x in sets if x is not s))) for s in sets]
+    ruled_out = 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            common = min(len(x) - own[i], len(y) - own[j])
+            if common < (len(x) + len(y) - common) * 0.8 - 1e-6:
+                ruled_out += 1
+                assert similarity(x, y) < 0.8
+    assert ruled_out > 100
+
+
+def test_coordinates_of_many_pivots_tell_parts_apart():
+    """Equal bits have equal coordinates; 20 pivots leave fewer chance equals than 10."""
+    import numpy as np
+
+    from fieldmark.llm.simhash import part_coordinates, part_masks
+
+    fps = np.random.default_rng(5).integers(0, 2**63, 60_000, np.uint64)
+    masks = part_masks(similar.SPARED, similar.BLOCKS)[:2]
+    few, many = (len(fps) - len(np.unique(part_coordinates(fps, masks, n)[:, 0])) for n in (10, similar.PIVOTS))
+    real = len(fps) - len(np.unique(fps & masks[0]))
+    assert real <= many <= real + 2 and many * 4 < few
+    same = part_coordinates(np.array([fps[0], fps[0] ^ ~masks[0]]), masks, similar.PIVOTS)
+    assert same[0, 0] == same[1, 0]
+
+
+def test_a_text_without_a_count_bounds_nothing(spark):
+    rows = [((100, None), (100, 90)), ((100, 90), (100, None)), ((100, 90), (100, 0)), ((100, 5), (100, 5))]
+    df = spark.createDataFrame(rows, "a struct<n: long, own: long>, b struct<n: long, own: long>")
+    assert [r[0] for r in df.select(similar.reachable("a", "b", 0.8)).collect()] == [True, True, False, True]
