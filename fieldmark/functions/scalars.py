@@ -27,11 +27,21 @@ def month_of(date: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """A byte count with two decimals and its unit, up to TB."""
-    out = F.format_string("%.2f TB", size / 1024.0**4)
+    """A byte count with two decimals and its unit, up to TB; half to even, as ``printf`` rounds, and null for null."""
+    whole = F.abs(size.cast("long"))
+
+    def text(power: int, unit: str) -> Column:
+        # whole numbers throughout, as Spark's own format rounds half up
+        hundred, one = (whole % F.lit(1024**power)) * 100, F.lit(1024**power)
+        cents, rest = F.call_function("div", hundred, one), hundred % one
+        up = (rest * 2 > one) | ((rest * 2 == one) & (cents % 2 == 1))
+        total = F.call_function("div", whole, one) * 100 + cents + up.cast("long")
+        return F.format_string(f"%d.%02d {unit}", F.call_function("div", total, F.lit(100)), total % 100)
+
+    out = text(4, "TB")
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(size < 1024.0 ** (power + 1), F.format_string(f"%.2f {unit}", size / 1024.0**power)).otherwise(out)
-    return out
+        out = F.when(size < 1024 ** (power + 1), text(power, unit)).otherwise(out)
+    return F.when(size.isNotNull(), F.concat(F.when(size < 0, "-").otherwise(""), out))
 
 
 def file_name(path: Column) -> Column:

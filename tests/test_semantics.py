@@ -41,6 +41,11 @@ def test_human_size(spark, size, text):
     assert one(spark, size, scalars.human_size, "long") == text
 
 
+@pytest.mark.parametrize(("size", "text"), [(128 * 9, "1.12 KB"), (128 * 11, "1.38 KB"), (128 * 13, "1.62 KB"), (9 << 37, "1.12 TB"), ((1 << 20) - 1, "1024.00 KB"), (-5, "-5.00 B"), (None, None)])
+def test_human_size_rounds_half_to_even(spark, size, text):
+    assert one(spark, size, scalars.human_size, "long") == text
+
+
 @pytest.mark.parametrize(("path", "folder"), [("/raw/a/b/c.csv", "a/b"), ("/raw/c.csv", "."), ("/raw/a/c.csv", "a")])
 def test_category(spark, path, folder):
     assert one(spark, path, lambda c: scalars.category(c, "/raw")) == folder
