@@ -40,6 +40,8 @@ from fieldmark.llm.prefix_free import mixed
 SEED = 42
 #: Pivots on all bits, and on each part; six bits a distance there.
 N_PIVOTS, PART_PIVOTS = 16, 10
+#: Distances of 6 bits that a long holds.
+PACKED = 10
 #: Shingles hashed at once, so that a very long text takes bounded memory.
 CHUNK = 1 << 16
 #: Fingerprints that share coordinates beyond which their pairs are dealt over tasks.
@@ -108,15 +110,15 @@ def part_masks(max_bits: int, blocks: int) -> np.ndarray:
     return np.array([sum(c) for c in combinations(block, blocks - max_bits)], np.uint64)
 
 
-def part_coordinates(fps: np.ndarray, masks: np.ndarray, n_pivots: int = PART_PIVOTS) -> np.ndarray:
+def part_coordinates(fps: np.ndarray, masks: np.ndarray, n_pivots: int | None = None) -> np.ndarray:
     """For each fingerprint and part the distances to the part's pivots, packed in a long; where there are more than fit, the longs are hashed into one."""
     out = np.zeros((len(fps), len(masks)), np.uint64)
     for k, mask in enumerate(masks):
-        for i, pivot in enumerate(pivots(n_pivots, f"part {k} pivot")):
-            if i and i % PART_PIVOTS == 0:
+        for i, pivot in enumerate(pivots(PART_PIVOTS if n_pivots is None else n_pivots, f"part {k} pivot")):
+            if i and i % PACKED == 0:
                 out[:, k] = mixed(out[:, k])
             distance = np.bitwise_count((fps ^ pivot) & mask).astype(np.uint64)
-            out[:, k] ^= distance << np.uint64(6 * (i % PART_PIVOTS))
+            out[:, k] ^= distance << np.uint64(6 * (i % PACKED))
     return out
 
 
