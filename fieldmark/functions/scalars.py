@@ -85,7 +85,8 @@ def time_of_day_us(text: Column) -> Column:
 def parse_timestamp(text: Column) -> Column:
     """A time stamp from text in the accepted forms, null otherwise."""
     trimmed = F.regexp_replace(text.cast("string"), EDGES, "")
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in TIMESTAMP_FORMS])
+    # every form has a hyphen; a parse that fails costs far more than the look
+    return F.when(F.contains(trimmed, F.lit("-")), F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in TIMESTAMP_FORMS]))
 
 
 def parse_clock_or_timestamp(text: Column) -> Column:
