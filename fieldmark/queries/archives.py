@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
@@ -25,20 +24,21 @@ def recordings(spark, d) -> str:
     root = fresh_folder(spark, "recordings")
     rows = sensor(spark, d).withColumns({c: F.col("speed") for c in schemas.SENSOR_VALUES if c not in ("lat", "lon", "speed", "heart_rate")})
 
-    def write(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        user = int(group["file"].iloc[0])
-        rate = pa.array(group["heart_rate"], pa.float64(), from_pandas=True)
-        columns = {c: pa.array(group[c], from_pandas=True) for c in schemas.SENSOR_COLUMNS}
+    def write(group: pa.Table) -> pa.Table:
+        group = group.sort_by("pos")
+        user, team = group.column("file")[0].as_py(), group.column("team")[0].as_py()
+        rate = group.column("heart_rate").to_numpy()
+        rate = pa.array(rate, pa.float64(), from_pandas=True)
+        columns = {c: group.column(c) for c in schemas.SENSOR_COLUMNS}
         columns["heart_rate"] = (rate, rate.cast(pa.int32()), rate.cast(pa.int64()).cast(pa.string()))[user % 3]
         if user % 10 == 9:
             columns.pop("heart_rate")
-        path = f"{root}/{group['team'].iloc[0]}/2020-01-{user % 28 + 1:02d}-{group['team'].iloc[0]}-{user}.parquet"
+        path = f"{root}/{team}/2020-01-{user % 28 + 1:02d}-{team}-{user}.parquet"
         with readers.opened_for_writing(path) as sink:
             pq.write_table(pa.table(columns), sink)
-        return pd.DataFrame({"path": [path]})
+        return pa.table({"path": [path]})
 
-    rows.groupBy("file").applyInPandas(write, "path string").count()
+    rows.groupBy("file").applyInArrow(write, "path string").count()
     return root
 
 

@@ -18,12 +18,19 @@ from pyspark.sql import functions as F
 
 from fieldmark import schemas
 from fieldmark.functions import scalars
+from fieldmark.sources.shared import kept
 
 
 #: Stored types that are numbers as they are.
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "string")
 #: Files whose paths one scan is given.
 FILES_PER_SCAN = 20_000
+#: Bytes up to which a file is read whole by the task that has its path.
+SMALL_FILE = 32 << 20
+#: Small files, and bytes of them, that a task opens.
+FILES_PER_TASK, BYTES_PER_TASK = 500, 128 << 20
+#: Stored types that tasks hand on as they are.
+PLAIN = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
@@ -33,15 +40,16 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataF
     listing that the driver has made for the scan.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    files, names = found.select("path", "length"), found.inputFiles()
+    names = found.inputFiles()
+    if not names:
+        raise FileNotFoundError(f"no {glob} below {root}")
+    # asked for once; a scan would have a task for every few files, and a part of the listing for each
+    files = kept(found.select("path", "length").coalesce(tasks_for(spark, len(names))), "listed")
     if files.count() < len(names):
         seen = {r.path for r in files.select("path").toLocalIterator()}
         blank = [(n, 0) for n in names if n not in seen and n.replace("file:///", "file:/") not in seen]
         files = files.unionByName(spark.createDataFrame(blank, "path string, length long"))
-    files = files.select("path", scalars.file_name(F.col("path")).alias("filename"), F.col("length").alias("size_bytes"))
-    if files.isEmpty():
-        raise FileNotFoundError(f"no {glob} below {root}")
-    return files
+    return files.select("path", scalars.file_name(F.col("path")).alias("filename"), F.col("length").alias("size_bytes"))
 
 
 def as_given(path: str) -> str:
@@ -136,20 +144,34 @@ def coerced(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in columns], *out, missing.alias("raw_missing"))
 
 
-def recordings(spark: SparkSession, facts: DataFrame, columns: list[str]) -> DataFrame:
+def tasks_for(spark: SparkSession, files: int, size: int = 0) -> int:
+    """Tasks that open so many files of so many bytes: their number grows with both, and each has enough files to be worth its start."""
+    return max(1, min(files, spark.sparkContext.defaultParallelism), -(-files // FILES_PER_TASK), min(files, size // BYTES_PER_TASK))
+
+
+def recordings(spark: SparkSession, facts: DataFrame, columns: list[str], open_small: bool = False) -> DataFrame:
     """The readings of the good files of ``facts`` ``(path, kind, error)``, with ``file``, ``pos`` and ``raw_missing``.
 
     Files are grouped by ``kind``, the stored types of ``columns``: each kind
     has a scan of its own with its own schema and casts, so no file's types
     decide over another's. A scan is given the paths of its files and opens no
     other; nothing is joined. The driver holds the paths, as every scan does.
+    With ``open_small``, files of up to ``SMALL_FILE`` bytes (``size_bytes`` of
+    ``facts``) and plain types are left to ``small_files`` instead, so that many
+    of them need no list on the driver.
     """
     good = facts.where(F.col("error") == "")
-    kinds = good.groupBy("kind").agg(F.min("path").alias("one")).orderBy("kind").collect()
+    small = F.col("size_bytes") <= SMALL_FILE if open_small else F.lit(False)
+    size = F.sum(F.when(small, F.col("size_bytes"))) if open_small else F.lit(0)
+    kinds = good.groupBy("kind").agg(F.min("path").alias("one"), F.count_if(small).alias("small"), size.alias("size")).orderBy("kind").collect()
     scans = []
     for kind in kinds:
         schema = spark.read.parquet(as_given(kind.one)).select(*[f"`{c}`" for c in columns]).schema
-        paths = [as_given(r.path) for r in good.where(F.col("kind") == kind.kind).select("path").orderBy("path").toLocalIterator()]
+        files = good.where(F.col("kind") == kind.kind)
+        if kind.small and all(f.dataType.simpleString() in PLAIN for f in schema):
+            scans.append(coerced(small_files(files.where(small), tasks_for(spark, kind.small, kind.size), {f.name: f.dataType.simpleString() for f in schema}), columns))
+            files = files.where(~small)
+        paths = [as_given(r.path) for r in files.select("path").orderBy("path").toLocalIterator()]
         for at in range(0, len(paths), FILES_PER_SCAN):
             rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*paths[at : at + FILES_PER_SCAN])
             rows = rows.select(*[f"`{c}`" for c in columns], plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("pos"))
@@ -157,6 +179,34 @@ def recordings(spark: SparkSession, facts: DataFrame, columns: list[str]) -> Dat
     return reduce(DataFrame.unionByName, scans) if scans else spark.createDataFrame([], part_schema(columns))
 
 
+def small_files(files: DataFrame, tasks: int, types: dict[str, str]) -> DataFrame:
+    """The stored columns of small files, with ``file`` and ``pos``. Each is opened once; what can be read of a damaged one is read.
+
+    A scan of Spark's is planned from a list of files that the driver holds,
+    and has a task for every few of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for path in (p for batch in batches for p in batch.column("path").to_pylist()):
+            try:
+                with opened(path) as source:
+                    at = 0
+                    for part in pq.ParquetFile(source).iter_batches(8192, columns=list(types)):
+                        data = [part.column(part.schema.get_field_index(c)).cast(PLAIN[t]) for c, t in types.items()]
+                        held.append(pa.RecordBatch.from_arrays([*data, pa.array([path] * len(part), pa.string()), pa.array(np.arange(at, at + len(part)), pa.int64())], [*types, "file", "pos"]))
+                        at, rows = at + len(part), rows + len(part)
+                        if rows >= 8192:
+                            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                            held, rows = [], 0
+            except Exception:  # noqa: BLE001, S110  the rows that are lacking tell of the damage
+                pass
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return files.select("path").repartition(tasks, "path").mapInArrow(run, ", ".join([*[f"`{c}` {t}" for c, t in types.items()], "file string", "pos long"]))
+
+
 def part_schema(columns: list[str]) -> str:
     return "file string, pos long, " + ", ".join(f"`{c}` {'string' if c in schemas.SENSOR_TEXTS else 'double'}" for c in columns) + ", raw_missing int"
 

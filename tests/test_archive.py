@@ -279,3 +279,40 @@ def test_summaries_of_catalogue_and_players(spark, tmp_path):
     assert (total.files, total.teams, total.years, total.months, total.dates, total.players, total.unmatched) == (4, 2, 1, 3, 3, 2, 1)
     assert tuple(found["session_counts"].first()) == (1, 2, pytest.approx(4 / 3)) and tuple(found["inventory_totals"].first()) == (2, 3, 1)
     assert [tuple(r) for r in found["players_by_team"].collect()] == [("TeamA", 1), ("TeamB", 2)]
+
+
+def test_an_audit_opens_small_files_once(spark, tmp_path, monkeypatch):
+    """Its tables come from what was read once, equal to what scans give, and damaged files are told."""
+    for i, (kind, rate) in enumerate(RATES.items()):
+        recording(tmp_path, f"2020-06-{i + 1:02d}-TeamA-{kind}", heart_rate=rate)
+    recording(tmp_path, "2020-06-09-TeamA-p 1%20x")
+    root = f"file://{tmp_path}"
+    columns = audits.value_audit(spark, root)["columns"]
+    assert not [f for f in columns.inputFiles() if str(tmp_path) in f]
+    known = audits.known_files(spark, root, None, schemas.SENSOR_COLUMNS)
+    order = ["file", "pos", "raw_missing", "time_us", *schemas.SENSOR_COLUMNS]
+    want = sorted(audits.readings(known, schemas.SENSOR_COLUMNS, 3).select(order).collect(), key=repr)
+    assert sorted(audits.readings_once(known, schemas.SENSOR_COLUMNS, 3).select(order).collect(), key=repr) == want and len(want) == 17 * 5
+    monkeypatch.setattr(readers, "SMALL_FILE", 0)
+    assert sorted(audits.readings_once(known, schemas.SENSOR_COLUMNS, 3).select(order).collect(), key=repr) == want
+
+
+def test_tasks_grow_with_the_files(spark):
+    assert [readers.tasks_for(spark, n) for n in (0, 2, 1000)] == [1, 2, 4]
+    assert readers.tasks_for(spark, 540_000) == 1080 and readers.tasks_for(spark, 100, 100 << 25) == 25
+
+
+def test_files_of_few_rows_need_no_sketch(spark, tmp_path):
+    recording(tmp_path, "2020-06-01-TeamA-p1")
+    plan = audits.value_audit(spark, f"file://{tmp_path}")["columns"]._jdf.queryExecution().toString()
+    assert "bracket" not in plan and "median" in plan
+
+
+def test_a_clock_text_is_not_tried_as_a_date(spark):
+    from fieldmark.functions import scalars
+
+    texts = ["13:48:39.6", "2020-01-02 03:04:05", "2020-01-02T03:04:05.5", "2020-01-02", " 2020-01-02 ", "-", "20200102", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "v string").select(scalars.parse_timestamp(F.col("v")).cast("string")).collect()]
+    assert got == [None, "2020-01-02 03:04:05", "2020-01-02 03:04:05.5", "2020-01-02 00:00:00", "2020-01-02 00:00:00", None, None, None, None]
+    plan = spark.createDataFrame([("x",)], "v string").select(scalars.parse_timestamp(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" in plan.lower()
