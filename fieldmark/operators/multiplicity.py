@@ -66,26 +66,41 @@ def heart_rate_zero_fraction(sensor: DataFrame) -> DataFrame:
     return sensor.groupBy("file").agg((zero / F.count(F.lit(1))).alias("heart_rate_zero_fraction"))
 
 
-def column_variation(sensor: DataFrame, columns: list[str]) -> DataFrame:
+def column_variation(sensor: DataFrame, columns: list[str], small: bool = False) -> DataFrame:
     """For each file and column, how many values its time stamps hold; a missing value, null or NaN, counts as one more value.
 
-    Two grouped levels with one set per column, so no row is multiplied by the
-    number of columns.
+    A time stamp of one or two rows, as most are, needs no set: least and
+    largest value tell. The others have one set per column. Time stamps of a file that are alike in
+    all columns are counted together, so no row is multiplied by the number of
+    columns. With ``small``, files fit a task and their rows are brought together once.
     """
-    valid = scalars.nan_as_null(sensor, *columns).where(F.col("time_us").isNotNull())
-    inner = []
-    for c in columns:
-        x = to_numeric(F.col(c))
-        unique = F.size(F.collect_set(F.col(c))) + F.max(F.col(c).isNull().cast("int"))
-        inner += [unique.alias(f"{c}:u"), F.count_if(x == 0).alias(f"{c}:z"), F.count_if(x.isNull()).alias(f"{c}:m")]
-    groups = valid.groupBy("file", "time_us").agg(*inner)
-    outer = []
+    valid = scalars.nan_as_null(sensor, *columns).where(F.col("time_us").isNotNull()).select("file", "time_us", *columns)
+    if small:
+        valid = valid.repartition("file")
+    met = valid.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("file", "time_us")))
+
+    def unique(c: Column, sets: bool) -> Column:
+        values = F.size(F.collect_set(c)) if sets else F.when(F.count(c) == 0, 0).when(F.min(c) == F.max(c), 1).otherwise(2)
+        return (values + F.max(c.isNull().cast("int"))).cast("long")
+
+    parts = []
+    for sets in (False, True):
+        inner = []
+        for c in columns:
+            x = to_numeric(F.col(c))
+            inner += [unique(F.col(c), sets).alias(f"{c}:u"), F.count_if(x == 0).alias(f"{c}:z"), F.count_if(x.isNull()).alias(f"{c}:m")]
+        parts.append(met.where(F.col("size") > 2 if sets else F.col("size") <= 2).groupBy("file", "time_us").agg(*inner))
+    groups = parts[0].unionByName(parts[1])
+    sums = [F.sum(f"`{c}:{k}`").alias(f"{c}:{k}") for c in columns for k in "zm"]
+    alike = groups.groupBy("file", *[F.col(f"`{c}:u`") for c in columns]).agg(F.count(F.lit(1)).alias("n"), *sums)
+    outer, n = [], F.sum("n")
     for c in columns:
         u = F.col(f"`{c}:u`")
-        stats = F.count(u), F.count_if(u <= 1), F.count_if(u > 1), F.count_if(u > 1) / F.count(u), F.avg(u), F.median(u), F.max(u), F.sum(f"`{c}:z`"), F.sum(f"`{c}:m`")
-        outer += [s.alias(f"{c}:{n}") for n, s in zip(VARIATION, stats, strict=True)]
-    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}:{n}`").alias(n) for n in VARIATION]) for c in columns]
-    return groups.groupBy("file").agg(*outer).select("file", F.inline(F.array(*rows)))
+        varying = F.sum(F.when(u > 1, F.col("n")).otherwise(0))
+        stats = n, n - varying, varying, varying / n, F.sum(u * F.col("n")) / n, F.percentile(u, 0.5, F.col("n")).cast("double"), F.max(u).cast("int"), F.sum(f"`{c}:z`"), F.sum(f"`{c}:m`")
+        outer += [s.alias(f"{c}:{name}") for name, s in zip(VARIATION, stats, strict=True)]
+    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}:{name}`").alias(name) for name in VARIATION]) for c in columns]
+    return alike.groupBy("file").agg(*outer).select("file", F.inline(F.array(*rows)))
 
 
 def variation_by_column(variation: DataFrame) -> DataFrame:

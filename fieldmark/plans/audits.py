@@ -17,6 +17,8 @@ from fieldmark.sources import readers, sinks
 from fieldmark.sources.shared import kept
 
 Tables = dict[str, DataFrame]
+#: Rows up to which a file's time stamps are brought together in one task.
+TASK_ROWS = 1 << 20
 
 
 def archive(spark: SparkSession, root: str) -> Tables:
@@ -147,7 +149,8 @@ def multiplicity_audit(spark: SparkSession, root: str, files_per_group: int | No
     known = known_files(spark, root, files_per_group, schemas.SENSOR_COLUMNS)
     rows = readings_once(known, schemas.SENSOR_COLUMNS, start, rows_per_file)
     files = kept(with_errors(multiplicity.file_audit(rows), known, "rows_inspected", start, rows_per_file), "multiplicity-audit")
-    columns, good = kept(multiplicity.column_variation(rows, schemas.SENSOR_VALUES), "variation"), outcomes.successes(files)
+    small = (known.agg(F.max("row_count")).first()[0] or 0) <= TASK_ROWS
+    columns, good = kept(multiplicity.column_variation(rows, schemas.SENSOR_VALUES, small), "variation"), outcomes.successes(files)
     return {
         "files": files, "columns": columns, "examples": examples(rows.where(F.col("time_us").isNotNull()), schemas.VALID_ROWS, schemas.SENSOR_COLUMNS), "rollup": multiplicity.rollup(good),
         "modes": multiplicity.mode_histogram(good), "variation": multiplicity.variation_by_column(columns), "spread": cadence.spread_of(good, "unique_timestamps_per_second", "estimated_rows_per_second"),

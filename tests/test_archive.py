@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldmark import schemas
-from fieldmark.operators import ranks, reports, tables, values
+from fieldmark.operators import multiplicity, ranks, reports, tables, values
 from fieldmark.plans import audits
 from fieldmark.sources import readers, sinks
 
@@ -316,3 +316,26 @@ def test_a_clock_text_is_not_tried_as_a_date(spark):
     assert got == [None, "2020-01-02 03:04:05", "2020-01-02 03:04:05.5", "2020-01-02 00:00:00", "2020-01-02 00:00:00", None, None, None, None]
     plan = spark.createDataFrame([("x",)], "v string").select(scalars.parse_timestamp(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
     assert "contains" in plan.lower()
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_variation_equals_brute_force(spark, small):
+    """Time stamps of one, two and more rows, with nulls, NaN, text and both zeros; one set a column only where there are more."""
+    rng = random.Random(5)
+    rows = [(f"f{rng.randrange(3)}", rng.choice([None, *range(40)]), rng.choice([None, float("nan"), 0.0, -0.0, 1.5, 2.5]), rng.choice([None, "0", "7", "x"])) for _ in range(260)]
+    df = spark.createDataFrame(rows, "file string, time_us long, x double, t string").repartition(5)
+    found = multiplicity.column_variation(df, ["x", "t"], small)
+    got = {(r.file, r.column): tuple(r)[2:] for r in found.collect()}
+    for f in ("f0", "f1", "f2"):
+        for i, c in ((2, "x"), (3, "t")):
+            groups = {}
+            for r in rows:
+                if r[0] == f and r[1] is not None:
+                    groups.setdefault(r[1], []).append(None if r[i] is None or r[i] != r[i] else r[i] + 0.0 if i == 2 else r[i])
+            u = [len(set(g)) for g in groups.values()]
+            cells = [v for g in groups.values() for v in g]
+            n, varying = len(u), sum(k > 1 for k in u)
+            zero, missing = sum(v in (0.0, "0") for v in cells), sum(v is None or v == "x" for v in cells)
+            assert got[f, c] == (n, n - varying, varying, varying / n, sum(u) / n, statistics.median(u), max(u), zero, missing)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan and any("Aggregate [file" in line and "min(x" in line and "collect_set" not in line for line in plan.splitlines())
