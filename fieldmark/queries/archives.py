@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
@@ -24,8 +27,8 @@ def recordings(spark, d) -> str:
     root = fresh_folder(spark, "recordings")
     rows = sensor(spark, d).withColumns({c: F.col("speed") for c in schemas.SENSOR_VALUES if c not in ("lat", "lon", "speed", "heart_rate")})
 
-    def write(group: pa.Table) -> pa.Table:
-        group = group.sort_by("pos")
+    def write(parts: list[pa.RecordBatch]) -> str:
+        group = pa.Table.from_batches(parts)
         user, team = group.column("file")[0].as_py(), group.column("team")[0].as_py()
         rate = group.column("heart_rate").to_numpy()
         rate = pa.array(rate, pa.float64(), from_pandas=True)
@@ -35,10 +38,26 @@ def recordings(spark, d) -> str:
             columns.pop("heart_rate")
         path = f"{root}/{team}/2020-01-{user % 28 + 1:02d}-{team}-{user}.parquet"
         with readers.opened_for_writing(path) as sink:
-            pq.write_table(pa.table(columns), sink)
-        return pa.table({"path": [path]})
-
-    rows.groupBy("file").applyInArrow(write, "path string").count()
+            pq.write_table(pa.table(columns), sink, use_dictionary=False)
+        return path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            users, paths = batch.column("file").to_numpy(), []
+            edges = [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(users)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if held and held[0].column("file")[0].as_py() != users[lo]:
+                    paths.append(write(held))
+                    held = []
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([write(held)], pa.string())], ["path"])
+
+    # a file's rows lie together in order, so a task writes many files without a group of Python's for each
+    rows.repartition("file").sortWithinPartitions("file", "pos").mapInArrow(run, "path string").count()
     return root
 
 

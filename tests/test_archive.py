@@ -318,6 +318,27 @@ def test_a_clock_text_is_not_tried_as_a_date(spark):
     assert "contains" in plan.lower()
 
 
+def test_written_recordings_need_no_group_of_python(spark, tmp_path, monkeypatch):
+    """A user's rows over several batches make one file, in order."""
+    from pyspark.sql import GroupedData
+
+    from fieldmark.queries import archives
+
+    rows = "SELECT id AS event_id, timestamp'2020-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts, id * id % 7 AS user_id, CAST(id AS DOUBLE) AS value FROM range(200)"
+    spark.sql(rows).repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda *a: 1 / 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        root = archives.recordings(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    known = audits.known_files(spark, root, None, ["time"])
+    got = {}
+    for r in audits.readings(known, ["time"]).orderBy("file", "pos").collect():
+        got.setdefault(int(r.file.rsplit("-", 1)[1].split(".")[0]), []).append(r.time and int(r.time[3:5]) * 60 + int(r.time[6:8]))
+    assert got == {u: [None if i % 101 == 0 else i for i in range(200) if i * i % 7 == u] for u in (0, 1, 2, 4)}
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_variation_equals_brute_force(spark, small):
     """Time stamps of one, two and more rows, with nulls, NaN, text and both zeros; one set a column only where there are more."""
