@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import fnmatch
 import io
 import re
 from collections.abc import Iterator
@@ -36,9 +37,17 @@ PLAIN = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigin
 def list_files(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
     """``(path, filename, size_bytes)`` of every file below ``root``; contents are not read. Raises if there is none.
 
-    A scan leaves out files of 0 bytes, so their names are added from the
-    listing that the driver has made for the scan.
+    Tasks list the folders where Arrow opens the store, so the driver holds no
+    names. Elsewhere, and where ``root`` is a file or a pattern, a scan lists;
+    it leaves out files of 0 bytes, so their names are added from the listing
+    that the driver has made for it.
     """
+    folder = qualified(spark, root)
+    if is_folder(folder):
+        files = below(spark, folder, glob)
+        if files.isEmpty():
+            raise FileNotFoundError(f"no {glob} below {root}")
+        return files.select("path", scalars.file_name(F.col("path")).alias("filename"), F.col("length").alias("size_bytes"))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     names = found.inputFiles()
     if not names:
@@ -52,6 +61,56 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataF
     return files.select("path", scalars.file_name(F.col("path")).alias("filename"), F.col("length").alias("size_bytes"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its store, as scans name files; one without a scheme is in the cluster's default store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def store_of(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI and the path in it."""
+    return (pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else pafs.FileSystem.from_uri(uri)
+
+
+def is_folder(uri: str) -> bool:
+    """Whether a URI, no pattern, is a folder in a store that Arrow opens."""
+    if as_given(uri) != uri:
+        return False
+    try:
+        fs, name = store_of(uri)
+        return uri.endswith(name) and fs.get_file_info(name).type == pafs.FileType.Directory
+    except (OSError, ValueError, NotImplementedError):  # another store, or one that Arrow was built without
+        return False
+
+
+def hidden(name: str) -> bool:
+    """Names that a scan passes over."""
+    kept_ones = name.startswith(("_metadata", "_common_metadata"))
+    return not kept_ones and (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+
+def below(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """``(path, length)`` of the files below the folder ``root``, level by level; a folder is listed by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for folder in (p for batch in batches for p in batch.column("path").to_pylist()):
+            fs, name = store_of(folder)
+            store = folder.removesuffix(name)
+            found = [f for f in fs.get_file_info(pafs.FileSelector(name)) if not hidden(f.base_name)]
+            found = [f for f in found if f.type == pafs.FileType.Directory or fnmatch.fnmatchcase(f.base_name, glob)]
+            lengths = [None if f.type == pafs.FileType.Directory else f.size for f in found]
+            table = pa.table({"path": pa.array([store + f.path for f in found], pa.string()), "length": pa.array(lengths, pa.int64())})
+            yield from table.to_batches(8192)
+
+    folders, levels, n = spark.createDataFrame([(root,)], "path string"), [], 1
+    while n:
+        seen = kept(folders.repartition(tasks_for(spark, n * FILES_PER_TASK)).mapInArrow(run, "path string, length long"), "listed")
+        levels.append(seen.where(F.col("length").isNotNull()))
+        folders = seen.where(F.col("length").isNull()).select("path")
+        n = folders.count()
+    return reduce(DataFrame.unionByName, levels)
+
+
 def as_given(path: str) -> str:
     """A path of a listing for a scan, which would take some characters for a pattern."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
@@ -80,12 +139,12 @@ def rows_per_file(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def opened(path: str) -> pa.NativeFile:
     """A file for executor-side range reads, in any store that Arrow opens."""
-    fs, name = (pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else pafs.FileSystem.from_uri(path)
+    fs, name = store_of(path)
     return fs.open_input_file(name)
 
 
 def opened_for_writing(path: str) -> pa.NativeFile:
-    fs, name = (pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else pafs.FileSystem.from_uri(path)
+    fs, name = store_of(path)
     fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
     return fs.open_output_stream(name)
 
@@ -192,7 +251,7 @@ def small_files(files: DataFrame, tasks: int, types: dict[str, str]) -> DataFram
             try:
                 with opened(path) as source:
                     at = 0
-                    for part in pq.ParquetFile(source).iter_batches(8192, columns=list(types)):
+                    for part in pq.ParquetFile(source).iter_batches(8192, columns=list(types), use_threads=False):
                         data = [part.column(part.schema.get_field_index(c)).cast(PLAIN[t]) for c, t in types.items()]
                         held.append(pa.RecordBatch.from_arrays([*data, pa.array([path] * len(part), pa.string()), pa.array(np.arange(at, at + len(part)), pa.int64())], [*types, "file", "pos"]))
                         at, rows = at + len(part), rows + len(part)

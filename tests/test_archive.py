@@ -318,6 +318,25 @@ def test_a_clock_text_is_not_tried_as_a_date(spark):
     assert "contains" in plan.lower()
 
 
+def test_tasks_list_folders_as_a_scan_does(spark, tmp_path, monkeypatch):
+    """Hidden names are passed over, files of 0 bytes are not, and the driver asks for no names."""
+    for name in ("a/x.parquet", "a/b c%20/[y].parquet", "_hidden/z.parquet", ".dot/z.parquet", "_k=1/z.parquet", "a/_tmp.parquet", "a/.x.parquet", "a/x.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"abc")
+    root = f"file://{tmp_path}"
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
+    want = sorted((r.path, r.length) for r in scan.select("path", "length").collect())
+    (tmp_path / "empty.parquet").touch()
+    (tmp_path / "none").mkdir()
+    monkeypatch.setattr(type(scan), "inputFiles", lambda self: 1 / 0)
+    for given in (root, str(tmp_path), f"{root}/"):
+        got = sorted((r.path, r.size_bytes) for r in readers.list_files(spark, given).collect())
+        assert got == sorted([*want, (f"file:{tmp_path}/empty.parquet", 0)])
+    monkeypatch.undo()
+    for given in (f"{root}/a", f"{root}/[a]"):  # a pattern is left to a scan
+        assert sorted(r.filename for r in readers.list_files(spark, given).collect()) == ["[y].parquet", "x.parquet"]
+
+
 def test_written_recordings_need_no_group_of_python(spark, tmp_path, monkeypatch):
     """A user's rows over several batches make one file, in order."""
     from pyspark.sql import GroupedData
