@@ -14,9 +14,11 @@ Texts that share coordinates are first compared with a few leaders: texts from
 the middle of a group, the closest of those that their coordinates name. After
 that only pairs in different components are looked at, of all coordinates, and of
 those in large groups only pairs that can be similar at all: shingles that no
-other text of the groups has (edits, mostly) are in no other's set, which bounds
-the similarity from above. So a large group of copies does not cost the square of
-its size, and no link is left out.
+other text of the groups has (edits, mostly) are in no other's set, and of the
+others two sets have, in each class of hashes, no more in common than the smaller
+number there; both bound the similarity from above, so no link is left out. Pairs
+are tested where they meet; of a group of texts a little below the similarity
+hardly any are compared by their sets.
 
 Cases: a null text is empty, and texts without words have the empty set and are
 copies of each other; texts of fewer words than a shingle are one shingle;
@@ -56,6 +58,8 @@ TRIED, STEP = 6, 4
 FAR = 0.35
 #: Differing bits of the first fingerprint beyond which a candidate is chance: half of 64 on average there, about 10 at the similarity.
 FIRST_FAR = 24
+#: Classes of shingle hashes by which what two sets can have in common is bounded.
+CLASSES = 64
 #: Parts that the pairs of one text are spread over.
 SALT = 64
 
@@ -102,14 +106,16 @@ def fingerprinted(keyed: DataFrame, fingerprints: int) -> DataFrame:
 
 
 def whole_sets(rows: DataFrame) -> DataFrame:
-    """``(node, shingles)`` of ``rows`` ``(node, text)``."""
+    """``(node, shingles, held)`` of ``rows`` ``(node, text)``; ``held`` is how many shingles are in each class."""
+    classes_of = CLASSES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([shingle_set(t.as_py()).view(np.int64) for t in batch.column("text").cast(pa.large_binary())], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "shingles"])
+            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column("text").cast(pa.large_binary())]
+            held = [np.bincount(s % classes_of, minlength=classes_of) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int32()))], ["node", "shingles", "held"])
 
-    return map_batches(rows.select("node", "text"), run, "node long, shingles array<long>")
+    return map_batches(rows.select("node", "text"), run, "node long, shingles array<long>, held array<int>")
 
 
 def possible(a: str, b: str, similarity: float) -> Column:
@@ -151,7 +157,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similarity: f
 
 
 def sets_of(wanted: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
-    """``(node, shingles)`` of the nodes in ``wanted``, from one text of each."""
+    """``(node, shingles, held)`` of the nodes in ``wanted``, from one text of each."""
     names = stage(nodes.join(wanted, "node").select("node", "rep.*"), "names")
     few = names.count() <= NARROW_ROWS
     texts = keyed.join(F.broadcast(names) if few else names, ["rk_id", "rk_text"]).select("node", "text").dropDuplicates(["node"])
@@ -161,11 +167,14 @@ def sets_of(wanted: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
 
 
 def own_shingles(wanted: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
-    """``(node, own)``: how many shingles of a node in ``wanted`` no other of them has."""
+    """``(node, own, held)``: how many shingles of a node in ``wanted`` no other of them has, and how many of the rest are in each class."""
     sets = sets_of(wanted, nodes, keyed)
     alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1")
-    own = sets.select("node").join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "node", "left")
-    own = stage(own.select("node", F.coalesce("own", F.lit(0)).alias("own")), "own-shingles")
+    alone = alone.groupBy("node", F.pmod("s", F.lit(CLASSES)).cast("int").alias("i")).agg(F.count(F.lit(1)).cast("int").alias("k"))
+    alone = alone.groupBy("node").agg(F.sum("k").alias("own"), F.map_from_entries(F.collect_list(F.struct("i", "k"))).alias("by"))
+    rest = F.transform("held", lambda k, i: k - F.coalesce(F.try_element_at("by", i), F.lit(0)))
+    own = sets.select("node", "held").join(alone, "node", "left")
+    own = stage(own.select("node", F.coalesce("own", F.lit(0)).alias("own"), rest.alias("held")), "own-shingles")
     free(sets)
     return own
 
@@ -177,6 +186,12 @@ def reachable(a: str, b: str, similarity: float) -> Column:
     return uncounted | (common >= (F.col(f"{a}.n") + F.col(f"{b}.n") - common) * F.lit(similarity) - 1e-6)
 
 
+def meeting(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets can have the similarity if in no class more is common than the smaller number there (``held``). Where one's is not counted (null) they can."""
+    common = F.aggregate(F.zip_with(f"{a}.held", f"{b}.held", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    return F.coalesce(common >= (F.col(f"{a}.n") + F.col(f"{b}.n") - common) * F.lit(similarity) - 1e-6, F.lit(True))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int | None = None) -> DataFrame:
     """``(rk_id, rk_text, class)`` of every row of ``docs``: rows of one class are linked by texts of the similarity."""
     keyed = keyed_texts(docs)
@@ -213,9 +228,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int |
     largest = largest.agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.sum("k").alias("times"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     met = split_join(big, stage(largest, "largest"), ["key"], "times", narrow=True)
     own = own_shingles(met.select("node").distinct(), nodes, keyed)
-    narrow_own = F.broadcast(own) if own.count() <= NARROW_ROWS else own
+    narrow_own = F.broadcast(own) if own.count() <= NARROW_ROWS // 2 else own
     met = stage(met.join(narrow_own, "node"), "apart")
-    apart = [F.col("a.key") == F.col("b.key"), F.col("a.c") != F.col("b.c"), possible("a", "b", similarity), reachable("a", "b", similarity)]
+    apart = [F.col("a.key") == F.col("b.key"), F.col("a.c") != F.col("b.c"), possible("a", "b", similarity), reachable("a", "b", similarity), meeting("a", "b", similarity)]
     few = part.where(F.col("m") <= BIG).join(narrow_own, "node", "left")
     across = few.alias("a").join(few.alias("b"), [*apart, F.col("a.node") < F.col("b.node")]).select(*pair("a", "b"))
     # of two texts in different components one at least is outside the largest

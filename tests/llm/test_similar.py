@@ -135,3 +135,34 @@ def test_a_text_without_a_count_bounds_nothing(spark):
     rows = [((100, None), (100, 90)), ((100, 90), (100, None)), ((100, 90), (100, 0)), ((100, 5), (100, 5))]
     df = spark.createDataFrame(rows, "a struct<n: long, own: long>, b struct<n: long, own: long>")
     assert [r[0] for r in df.select(similar.reachable("a", "b", 0.8)).collect()] == [True, True, False, True]
+
+
+def test_a_group_below_the_similarity_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Classes of hashes rule out most pairs of a large group of near copies, and the links stay the same."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    texts = [edited(base, rng.randrange(2, 5), rng) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS).repartition(3)
+    monkeypatch.setattr(similar, "BIG", 2)
+    verified, found, compared = similar.verified, {}, {}
+    for n in (1, similar.CLASSES):
+        compared[n] = []
+        monkeypatch.setattr(similar, "CLASSES", n)
+        monkeypatch.setattr(similar, "verified", lambda pairs, *a, n=n: (compared[n].append(pairs.count()), verified(pairs, *a))[1])
+        found[n] = {r.rk_id: r["class"] for r in similar.classes(docs).collect()}
+    least = [{c: min(i for i in of if of[i] == c) for c in set(of.values())} for of in found.values()]
+    assert [[x[of[i]] for i in range(120)] for x, of in zip(least, found.values(), strict=True)].count([least[0][found[1][i]] for i in range(120)]) == 2
+    assert compared[1][0] == compared[64][0] and compared[64][1] * 5 < compared[1][1], compared
+
+
+def test_bound_by_classes_loses_no_pair(spark):
+    """Numbers by class of random sets around one base: no pair of the similarity is ruled out, most others are; a null rules out nothing."""
+    rng = random.Random(4)
+    sets = [set(range(100)) - set(rng.sample(range(100), rng.randrange(3, 30))) for _ in range(40)]
+    held = [[len([x for x in s if x % 50 == c]) for c in range(50)] for s in sets]
+    rows = [((len(x), held[i]), (len(sets[j]), held[j]), similarity(x, sets[j])) for i, x in enumerate(sets) for j in range(i)]
+    df = spark.createDataFrame([*rows, ((9, None), (9, held[0]), 0.0)], "a struct<n: long, held: array<int>>, b struct<n: long, held: array<int>>, j double")
+    got = df.select(similar.meeting("a", "b", 0.8).alias("ok"), "j").collect()
+    assert got[-1].ok and all(r.ok for r in got if r.j >= 0.8)
+    below = [r.ok for r in got[:-1] if r.j < 0.8]
+    assert len(below) > 50 and sum(below) < 0.7 * len(below)
