@@ -12,13 +12,14 @@ the README has the measured share.
 
 Texts that share coordinates are first compared with a few leaders: texts from
 the middle of a group, the closest of those that their coordinates name. After
-that only pairs in different components are looked at, of all coordinates, and of
-those in large groups only pairs that can be similar at all: shingles that no
-other text of the groups has (edits, mostly) are in no other's set, and of the
-others two sets have, in each class of hashes, no more in common than the smaller
-number there; both bound the similarity from above, so no link is left out. Pairs
-are tested where they meet; of a group of texts a little below the similarity
-hardly any are compared by their sets.
+that only pairs in different components are looked at, of all coordinates: what
+texts of one component alone share makes no rows, and what two texts share is a
+pair once it is counted. Of pairs in large groups those go that cannot be similar:
+shingles that no other text of the groups has (edits, mostly) are in no other's
+set, and of the others two sets have, in each class of hashes, no more in common
+than the smaller number there; both bound the similarity from above, so no link is
+left out. Pairs are tested where they meet; of a group of texts a little below the
+similarity hardly any are compared by their sets.
 
 Cases: a null text is empty, and texts without words have the empty set and are
 copies of each other; texts of fewer words than a shingle are one shingle;
@@ -30,6 +31,7 @@ their names, are kept; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, comb, log
 
 import numpy as np
@@ -39,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import NARROW_ROWS, components, free, keyed_rows, keyed_texts, map_batches, split_join, stage
-from fieldmark.llm.simhash import SEED, majority, part_masks, shared_parts, shingle_hashes, table
+from fieldmark.llm.simhash import SEED, majority, part_masks, shingle_hashes, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fewest blocks of a fingerprint; a part is what three of them spare. Fingerprints where there are so few blocks.
@@ -192,6 +194,25 @@ def meeting(a: str, b: str, similarity: float) -> Column:
     return F.coalesce(common >= (F.col(f"{a}.n") + F.col(f"{b}.n") - common) * F.lit(similarity) - 1e-6, F.lit(True))
 
 
+def coordinates(nodes: DataFrame, blocks: int) -> DataFrame:
+    """A row for each part of the fingerprints of ``nodes``: ``parts`` of the pivot table and ``fps`` give way to ``key``."""
+    rows = table(nodes, part_masks(SPARED, blocks), "fps", PIVOTS).drop("fps")
+    return rows.select("*", F.explode("parts").alias("key")).drop("parts")
+
+
+def ends() -> list[Column]:
+    """The least and the greatest node of a key: where it has two rows, both of them."""
+    return [F.min("node").alias("lo"), F.max("node").alias("hi")]
+
+
+def of_two(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b)``, the ``nodes`` of the keys that two texts share (``key, lo, hi, m``), once each: these need no row by key."""
+    found, row = groups.where("m = 2 and lo != hi").select("lo", "hi").distinct(), F.struct(*[c for c in nodes.columns if c != "fps"])
+    for side, end in (("a", "lo"), ("b", "hi")):
+        found = found.join(nodes.select(F.col("node").alias(end), row.alias(side)), end)
+    return found.select("a", "b")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int | None = None) -> DataFrame:
     """``(rk_id, rk_text, class)`` of every row of ``docs``: rows of one class are linked by texts of the similarity."""
     keyed = keyed_texts(docs)
@@ -203,10 +224,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int |
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # texts without words are one node and have no bits to be looked up by
     looked_up = nodes.where("n > 0").select("node", "n", F.get("fps", F.lit(0)).alias("fp"), "fps")
-    shared = stage(shared_parts(table(looked_up, part_masks(SPARED, blocks), "fps", PIVOTS).drop("fps")), "shared")
+    some = coordinates(looked_up, blocks).where(F.pmod("key", F.lit(LED)) == 0)
+    groups = stage(some.groupBy("key").agg(*ends(), F.count(F.lit(1)).alias("m")).where("m > 1"), "led-keys")
+    two = of_two(groups, looked_up).where(possible("a", "b", similarity)).select(*pair("a", "b"))
+    shared = stage(split_join(some, groups.where("m > 2").select("key", "m"), ["key"], "m", narrow=True), "shared")
     # a text near the middle of a group shares the most coordinates with the others, and is likeliest to be similar to them
     weight = shared.groupBy("node").agg(F.sum("m").alias("w"))
-    some = shared.where(F.pmod("key", F.lit(LED)) == 0).join(weight, "node")
+    some = shared.join(weight, "node")
     first = [F.max(F.when(F.pmod(F.xxhash64("node"), F.lit(LEADERS)) == k, F.struct("w", "node", "n", "fp"))) for k in range(LEADERS)]
     leaders = some.groupBy("key").agg(F.array_compact(F.array(*first)).alias("l"), F.count(F.lit(1)).alias("times"))
     led = split_join(some.select("key", F.struct("node", "n", "fp").alias("b")), stage(leaders, "leaders"), ["key"], "times", narrow=True)
@@ -216,30 +240,35 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int |
     choice = F.struct(apart_by.alias("d"), (-F.col("a.w")).alias("w"), F.col("a.node").alias("node"))
     tried = led.groupBy(F.col("b.node").alias("node")).agg(F.slice(F.array_sort(F.collect_set(choice)), 1, TRIED).alias("l"))
     tried = tried.select(F.struct("node").alias("b"), F.explode("l").alias("a"))
-    pairs = stage(tried.select(*pair("a", "b")).distinct(), "pairs")
+    pairs = stage(tried.select(*pair("a", "b")).union(two).distinct(), "pairs")
     links = verified(pairs, nodes, keyed, similarity, fingerprints)
+    free(groups, shared)
 
     root = stage(components(links), "roots")
     root = F.broadcast(root) if root.count() <= NARROW_ROWS else root
-    part = stage(shared.join(root, "node", "left").select("key", "node", "n", "fp", "m", F.coalesce("root", "node").alias("c")), "parts")
-    free(shared)
+    placed = looked_up.join(root, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
+    every = coordinates(placed, blocks)
+    several = every.groupBy("key").agg(*ends(), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m"))
+    groups = stage(several.where("c0 != c1").select("key", "lo", "hi", "m"), "apart-keys")
+    # nodes are numbered without regard to their texts, so the least one is in a component as likely as that is large there
+    most = groups.where("m > 2").select("key", "m", "lo").join(placed.select(F.col("node").alias("lo"), F.col("c").alias("most")), "lo").drop("lo")
+    part = stage(split_join(every, stage(most, "most"), ["key"], "m", narrow=True), "parts")
     big = part.where(F.col("m") > BIG)
-    largest = big.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
-    largest = largest.agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.sum("k").alias("times"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    met = split_join(big, stage(largest, "largest"), ["key"], "times", narrow=True)
-    own = own_shingles(met.select("node").distinct(), nodes, keyed)
+    own = own_shingles(big.select("node").distinct(), nodes, keyed)
     narrow_own = F.broadcast(own) if own.count() <= NARROW_ROWS // 2 else own
-    met = stage(met.join(narrow_own, "node"), "apart")
-    apart = [F.col("a.key") == F.col("b.key"), F.col("a.c") != F.col("b.c"), possible("a", "b", similarity), reachable("a", "b", similarity), meeting("a", "b", similarity)]
+    met = stage(big.join(narrow_own, "node"), "apart")
+    alike = [F.col("a.c") != F.col("b.c"), possible("a", "b", similarity), reachable("a", "b", similarity), meeting("a", "b", similarity)]
+    apart = [F.col("a.key") == F.col("b.key"), *alike]
     few = part.where(F.col("m") <= BIG).join(narrow_own, "node", "left")
     across = few.alias("a").join(few.alias("b"), [*apart, F.col("a.node") < F.col("b.node")]).select(*pair("a", "b"))
-    # of two texts in different components one at least is outside the largest
+    across = across.unionByName(of_two(groups, placed.join(narrow_own, "node", "left")).where(reduce(Column.__and__, alike)).select(*pair("a", "b")))
+    # of two texts in different components one at least is outside any given one
     outside = met.where("c != most").alias("a")
     once = (F.col("b.c") == F.col("a.most")) | (F.col("a.node") < F.col("b.node"))
     across = across.unionByName(outside.join(met.alias("b"), [*apart, once]).select(*pair("a", "b")))
     left = stage(across.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(verified(left, nodes, keyed, similarity, fingerprints))
-    free(part, pairs, met, own, left)
+    free(groups, part, pairs, met, own, left)
 
     named = stage(nodes.select("h1", "h2", "node", "times").join(components(links), "node", "left").select("h1", "h2", "times", F.coalesce("root", "node").alias("class")), "classes")
     return split_join(rows.select("rk_id", "rk_text", "h1", "h2"), named, ["h1", "h2"], "times", narrow=True).select("rk_id", "rk_text", "class")

@@ -166,3 +166,43 @@ def test_bound_by_classes_loses_no_pair(spark):
     assert got[-1].ok and all(r.ok for r in got if r.j >= 0.8)
     below = [r.ok for r in got[:-1] if r.j < 0.8]
     assert len(below) > 50 and sum(below) < 0.7 * len(below)
+
+
+def test_rows_by_key_are_made_once_and_not_for_pairs(spark, monkeypatch):
+    """What two texts share makes no rows by key, and a large group of one component makes them for the leaders' keys alone."""
+    from fieldmark.llm import simhash
+
+    made, join = [], similar.split_join
+
+    def counting(rows, table, keys, *a, **k):
+        found = join(rows, table, keys, *a, **k)
+        if keys == ["key"]:
+            made.append(found.count())
+        return found
+
+    monkeypatch.setattr(similar, "split_join", counting)
+    monkeypatch.setattr(simhash, "split_join", counting)
+    rng = random.Random(13)
+    twos = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(40)]
+    one = [f"b{i}" for i in range(400)]
+    for texts, most, kinds in (
+        ([t for w in twos for t in (" ".join(w), edited(w, 1, rng))], 0, 40),
+        ([edited(one, 1, rng) for _ in range(80)], 80 * 160 // similar.LED * 2.5, 1),
+    ):
+        made.clear()
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS).repartition(3)
+        assert len({r["class"] for r in similar.classes(docs).collect()}) == kinds
+        assert sum(made) <= most, made
+
+
+def test_any_component_of_a_key_may_stand_inside(spark, monkeypatch):
+    """Two large groups and texts between them: links are the same whatever component a key's least node is in."""
+    monkeypatch.setattr(similar, "BIG", 2)
+    monkeypatch.setattr(similar, "TRIED", 1)
+    rng = random.Random(17)
+    base = [f"b{i}" for i in range(200)]
+    other = edited(base, 5, rng).split()
+    rows = list(enumerate([edited(x, n, rng) for x, n, k in ((base, 1, 30), (other, 1, 25), (base, 4, 40)) for _ in range(k)]))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS).repartition(4)
+    assert sorted((r.doc_id, r.text) for r in STAGE(spark, docs, "").collect()) == kept(rows)
