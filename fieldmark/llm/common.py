@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key that holds more than one in so many of all rows is hot; there are at most so many of them.
@@ -149,22 +149,35 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def labelled(edges: DataFrame, least: DataFrame, small: bool) -> DataFrame:
-    """``edges(a, b)`` joined with ``least(a, m, n)``: broadcast if small, else with the hubs' labels broadcast and the others' shuffled."""
-    if small:
-        return edges.join(F.broadcast(least.drop("n")), "a")
-    return split_join(edges, least, ["a"], "n").drop("n")
+def one_task_round(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step over few ``edges(a, b)``, in one task: minima over windows, so nothing is broadcast and no step is made twice."""
+    least, b = F.min("b").over(Window.partitionBy("a")), F.col("b").alias("a")
+    both = edges.coalesce(1).select(F.inline(F.array(F.struct("a", "b"), F.struct(b, F.col("a").alias("b")))))
+    large = both.withColumn("m", F.least(least, "a")).where("b > a").select(b, F.col("m").alias("b")).distinct().withColumn("m", least)
+    small = large.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(b, F.col("m").alias("b")))))
+    return small.where("a != b").distinct()
+
+
+def shuffled_round(edges: DataFrame) -> DataFrame:
+    """The same over any number of edges: grouped minima, and joins with the hubs' labels broadcast and the others' shuffled."""
+    count = F.count(F.lit(1)).alias("n")
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), count)
+    large = split_join(both.where("b > a"), least, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    least = large.groupBy("a").agg(F.min("b").alias("m"), count)
+    joined = split_join(large, least, ["a"], "n").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return joined.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` of longs, as ``(node, root)``; root is the least node.
 
     Alternates the large-star and small-star steps. Both are a grouped minimum
-    (combined before the shuffle) and a join, so no neighbourhood is ever held
+    (combined before the shuffle) and a join, so no large neighbourhood is held
     in one task's memory. Each round is written to the shared folder. Self
     loops are ignored; an empty input gives an empty result. The rounds end by
     themselves: each either lowers a label or is the last. A round of at most
-    ``NARROW_ROWS`` edges is one small task, which needs no shuffle.
+    ``NARROW_ROWS`` edges is one small task, which needs no shuffle and no broadcast.
     """
     now = stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -173,15 +186,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state[0] == 0 or state == before:
             break
         before = state
-        small = state[0] <= NARROW_ROWS
-        one = (lambda df: df.coalesce(1)) if small else (lambda df: df)
-        count = F.count(F.lit(1)).alias("n")
-        both = one(now).select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), count)
-        large = labelled(both.where("b > a"), least, small).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), count)
-        joined = labelled(large, least, small).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = stage(one(joined.unionByName(least.select("a", F.col("m").alias("b")))).distinct(), "edges")
+        after = stage(one_task_round(now) if state[0] <= NARROW_ROWS else shuffled_round(now), "edges")
         free(now)
         now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

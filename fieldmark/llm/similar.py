@@ -246,7 +246,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int |
 
     root = stage(components(links), "roots")
     root = F.broadcast(root) if root.count() <= NARROW_ROWS else root
-    placed = looked_up.join(root, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
+    # written, so that the roots are broadcast once and not for each of the tables below
+    placed = stage(looked_up.join(root, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root"), "placed")
     every = coordinates(placed, blocks)
     several = every.groupBy("key").agg(*ends(), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m"))
     groups = stage(several.where("c0 != c1").select("key", "lo", "hi", "m"), "apart-keys")
@@ -260,15 +261,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, fingerprints: int |
     alike = [F.col("a.c") != F.col("b.c"), possible("a", "b", similarity), reachable("a", "b", similarity), meeting("a", "b", similarity)]
     apart = [F.col("a.key") == F.col("b.key"), *alike]
     few = part.where(F.col("m") <= BIG).join(narrow_own, "node", "left")
-    across = few.alias("a").join(few.alias("b"), [*apart, F.col("a.node") < F.col("b.node")]).select(*pair("a", "b"))
-    across = across.unionByName(of_two(groups, placed.join(narrow_own, "node", "left")).where(reduce(Column.__and__, alike)).select(*pair("a", "b")))
+    # each kind of pairs is a plan of its own: one plan of all is planned anew, whole, after each of its shuffles
+    by_few = stage(few.alias("a").join(few.alias("b"), [*apart, F.col("a.node") < F.col("b.node")]).select(*pair("a", "b")), "pairs-by-few")
+    by_two = stage(of_two(groups, placed.join(narrow_own, "node", "left")).where(reduce(Column.__and__, alike)).select(*pair("a", "b")), "pairs-by-two")
     # of two texts in different components one at least is outside any given one
     outside = met.where("c != most").alias("a")
     once = (F.col("b.c") == F.col("a.most")) | (F.col("a.node") < F.col("b.node"))
-    across = across.unionByName(outside.join(met.alias("b"), [*apart, once]).select(*pair("a", "b")))
-    left = stage(across.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    by_many = stage(outside.join(met.alias("b"), [*apart, once]).select(*pair("a", "b")), "pairs-by-many")
+    left = stage(by_few.unionByName(by_two).unionByName(by_many).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(verified(left, nodes, keyed, similarity, fingerprints))
-    free(groups, part, pairs, met, own, left)
+    free(groups, part, pairs, met, own, by_few, by_two, by_many, left, placed)
 
     named = stage(nodes.select("h1", "h2", "node", "times").join(components(links), "node", "left").select("h1", "h2", "times", F.coalesce("root", "node").alias("class")), "classes")
     return split_join(rows.select("rk_id", "rk_text", "h1", "h2"), named, ["h1", "h2"], "times", narrow=True).select("rk_id", "rk_text", "class")

@@ -9,7 +9,7 @@ import pytest
 from llm import brute
 
 import corpus_pipeline
-from fieldmark.llm import similar
+from fieldmark.llm import common, similar
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 STAGE = corpus_pipeline.STAGES[1][1]
@@ -206,3 +206,35 @@ def test_any_component_of_a_key_may_stand_inside(spark, monkeypatch):
     rng.shuffle(rows)
     docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS).repartition(4)
     assert sorted((r.doc_id, r.text) for r in STAGE(spark, docs, "").collect()) == kept(rows)
+
+
+def plans_of(monkeypatch, *modules):
+    """The plans of what ``modules`` write, as they are written."""
+    plans = []
+    for module in modules:
+        monkeypatch.setattr(module, "stage", lambda df, name, f=module.stage: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or f(df, name))
+    return plans
+
+
+def test_small_rounds_of_components_broadcast_nothing(spark, monkeypatch):
+    """A round in one task has neither a join nor a broadcast, which the driver would hold, and gives what a shuffled one gives."""
+    rng = random.Random(19)
+    edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(50)]
+    given = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    plans = plans_of(monkeypatch, common)
+    found = sorted(common.components(given).collect())
+    assert len(plans) > 2 and not [name for name, plan in plans if "Join" in plan or "Broadcast" in plan]
+    monkeypatch.setattr(common, "NARROW_ROWS", 0)
+    assert found == sorted(common.components(given).collect())
+
+
+def test_no_plan_of_the_stage_holds_all_pairs(spark, monkeypatch):
+    """Each kind of pairs is planned by itself, and the roots of texts are broadcast once."""
+    rng = random.Random(23)
+    base = [f"b{i}" for i in range(200)]
+    texts = [edited(base, n, rng) for n in (1, 4) for _ in range(25)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS).repartition(3)
+    plans = plans_of(monkeypatch, common, similar)
+    similar.classes(docs).count()
+    most, broadcast = max(plan.count("Join") for _, plan in plans), sum(plan.count("BroadcastExchange") for _, plan in plans)
+    assert most <= 6 and broadcast <= 50, (most, broadcast)
